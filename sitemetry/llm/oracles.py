@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .passages import UNIT
+
 OP2 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -40,4 +42,63 @@ SELECT doc_id, text, lang, source, n_chars, mix_copy,
 FROM copies
 """
 
-ORACLE_SQL = {"op2_chat_formatting": OP2, "op9_source_mixing": OP9}
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), classes AS (
+  SELECT array_to_string(w, ' ') AS k, min(doc_id) AS copy_id, any_value(w) AS w FROM words WHERE len(w) > 0 GROUP BY 1
+), grams AS (
+  SELECT DISTINCT copy_id, unnest(CASE WHEN len(w) < 5 THEN [k] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM classes
+), sizes AS (
+  SELECT copy_id, count(*) AS n FROM grams GROUP BY 1
+), shared AS (
+  SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.copy_id < b.copy_id GROUP BY 1, 2
+), linked AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.copy_id = a JOIN sizes y ON y.copy_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-6::DOUBLE
+), pairs AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach AS (
+  SELECT copy_id AS node, copy_id AS root FROM classes
+  UNION
+  SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.node WHERE r.root < p.b
+), roots AS (
+  SELECT node, min(root) AS class_id FROM reach GROUP BY 1
+), counts AS (
+  SELECT a AS node, count(*) AS links FROM pairs GROUP BY 1
+)
+SELECT w.doc_id, coalesce(r.class_id, w.doc_id) AS class_id, coalesce(c.copy_id, w.doc_id) AS copy_id, coalesce(n.links, 0) AS links
+FROM words w LEFT JOIN classes c ON len(w.w) > 0 AND c.k = array_to_string(w.w, ' ') LEFT JOIN roots r ON r.node = c.copy_id LEFT JOIN counts n ON n.node = c.copy_id
+"""
+
+OP8 = (
+    r"""
+WITH units AS (
+  SELECT doc_id, text, regexp_extract_all(text, '"""
+    + UNIT
+    + r"""', 1) AS u FROM documents
+), normal AS (
+  SELECT doc_id, text, u, list_transform(u, lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))) AS n FROM units
+), spans AS (
+  SELECT doc_id, i, n[i:i + 2] AS run FROM (SELECT doc_id, n, unnest(range(1, len(n) - 1)) AS i FROM normal)
+), long_enough AS (
+  SELECT * FROM spans WHERE list_sum(list_transform(run, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) >= 10
+), later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM long_enough) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later
+), parts AS (
+  SELECT x.doc_id, string_agg(x.part, '' ORDER BY x.i) AS stay, count(*) AS n
+  FROM (SELECT doc_id, unnest(u) AS part, unnest(range(1, len(u) + 1)) AS i FROM units) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i
+  GROUP BY 1
+), losers AS (
+  SELECT doc_id, count(*) AS removed FROM gone GROUP BY 1
+)
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE regexp_replace(coalesce(p.stay, ''), '^[ \t\n\r\f]+', '') END AS text, coalesce(l.removed, 0) AS removed_units
+FROM documents d LEFT JOIN losers l ON l.doc_id = d.doc_id LEFT JOIN parts p ON p.doc_id = d.doc_id
+"""
+)
+
+ORACLE_SQL = {
+    "op6_ngram_jaccard_join": OP6,
+    "op8_substring_dedup": OP8,
+    "op2_chat_formatting": OP2, "op9_source_mixing": OP9}

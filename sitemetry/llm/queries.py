@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing
+from . import bpe, chat, fingerprints, language_id, mixing, near_duplicates, passages
 from .runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(
@@ -31,6 +35,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
@@ -40,8 +52,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }

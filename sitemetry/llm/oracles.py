@@ -98,7 +98,21 @@ FROM documents d LEFT JOIN losers l ON l.doc_id = d.doc_id LEFT JOIN parts p ON
 """
 )
 
+OP7 = r"""
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": OP6,
+    "op7_exact_topk": OP7,
     "op8_substring_dedup": OP8,
     "op2_chat_formatting": OP2, "op9_source_mixing": OP9}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language_id, mixing, near_duplicates, passages
+from . import bpe, chat, fingerprints, html_text, language_id, mixing, near_duplicates, passages, topk, url_filter
 from .runtime import table
 
+#: (verdict, host and path) of the explicit URL rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -31,6 +33,14 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_turns(turns))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
 
@@ -39,6 +49,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,8 +69,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_exact_topk": op7_exact_topk,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,

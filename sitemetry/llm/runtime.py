@@ -34,3 +34,9 @@ def short_text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables."""
+    use_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

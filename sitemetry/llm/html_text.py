@@ -153,7 +153,8 @@ def _counts(page: str) -> Counter:
         elif n := len(i[1].split()):
             container, element, link = i[2]
             found[f"word {container} {element} {link}", i[5]] += n
-            found[f"word {element} {link}", i[5]] += n
+            if not i[3]:  # the general feature is for words of no marked part
+                found[f"word {element} {link}", i[5]] += n
     return found
 
 

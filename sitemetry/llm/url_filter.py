@@ -28,13 +28,13 @@ VARIABLE = r"^(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-f]{8,}(?:-[0-9a-f]{4,})*|(?=.*[0-9
 
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and ``/``, ``?``, ``#`` or the end, with A-Z in lower case; '' if there is none."""
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(url, r"(?s)^(?>.*?://)([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """From the host's end up to ``?``, ``#`` or the end; '' if there is no host part."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:

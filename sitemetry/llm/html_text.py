@@ -161,7 +161,7 @@ def _counts(page: str) -> Counter:
 def learn_weights(pages: DataFrame) -> dict[str, float]:
     """Weights of features from at most SAMPLE_PAGES pages, picked by a hash of the page.
 
-    Log-odds of standing in a content element, within plus or minus 4; tags between -0.5 and -0.05.
+    Log-odds of standing in a content element, within plus or minus 4; tags between -0.3 and -0.05.
     """
     rows = pages.where("html is not null").select("html", F.xxhash64("html").alias("draw"))
     total = max(1, rows.count())
@@ -185,7 +185,7 @@ def learn_weights(pages: DataFrame) -> dict[str, float]:
     for r in sums.orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(MAX_FEATURES).collect():
         if r["a"] + r["b"] >= ENOUGH:
             odds = math.log((r["a"] + 0.5) / (r["b"] + 0.5))
-            weights[r["feature"]] = min(-0.05, max(-0.5, odds / 8 - 0.2)) if r["feature"].startswith("tag ") else min(4.0, max(-4.0, odds))
+            weights[r["feature"]] = min(-0.05, max(-0.3, odds / 8 - 0.2)) if r["feature"].startswith("tag ") else min(4.0, max(-4.0, odds))
     return weights
 
 

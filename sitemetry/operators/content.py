@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.rules import CORE_TOPIC_PAGES, priority_rank
 from ..functions.text import capitalized, text_or_empty
-from ..functions.urls import slug_phrase
+from ..functions.urls import link_key, slug_phrase
 from .visibility import planner_topic
 
 PLAN_LENGTH = 6
@@ -192,3 +192,26 @@ def content_clusters(plan: DataFrame, most: int = 6) -> DataFrame:
         return pd.DataFrame({"crawl_run_id": [group["crawl_run_id"].iloc[0]] * len(best), "cluster": [b[0] for b in best], "topics": [b[1] for b in best]}, dtype=object)
 
     return plan.select("crawl_run_id", "place", "topic").groupBy("crawl_run_id").applyInPandas(cluster, "crawl_run_id string, cluster string, topics array<string>")
+
+
+def content_link_suggestions(plan: DataFrame, pages: DataFrame, edges: DataFrame, most: int = 8, pages_of_topic: int = 64) -> DataFrame:
+    """(crawl_run_id, place, source, target, topic): pages of a planned topic that don't link each other.
+
+    A plan has at most six topics a crawl, so plan and pages meet on the crawl. Only the first eight
+    pairs of a crawl are kept, from the first ``pages_of_topic`` pages of each topic.
+    """
+    words = F.filter(F.split(F.lower("topic"), "[^a-z0-9]+"), lambda w: F.length(w) > 3)
+    topics = plan.select("crawl_run_id", F.col("place").alias("t"), "topic", words.alias("w"))
+    text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower("url"))
+    shown = pages.select("crawl_run_id", "page_seq", link_key(F.col("url")).alias("key"), text.alias("text"))
+    hits = topics.join(shown, "crawl_run_id").where(F.exists("w", lambda w: F.contains(F.col("text"), w)))
+    nth = F.row_number().over(Window.partitionBy("crawl_run_id", "t").orderBy("page_seq"))
+    hits = hits.withColumn("n", nth).where(F.col("n") <= pages_of_topic).select("crawl_run_id", "t", "topic", "n", "key")
+    a, b = hits.select("crawl_run_id", "t", "topic", F.col("n").alias("i"), F.col("key").alias("source")), hits.select("crawl_run_id", "t", F.col("n").alias("j"), F.col("key").alias("target"))
+    pairs = a.join(b, ["crawl_run_id", "t"]).where("i < j and source != target")
+    both = edges.select("crawl_run_id", "source", "target").union(edges.select("crawl_run_id", "target", "source")).distinct()
+    open_ = pairs.join(both, ["crawl_run_id", "source", "target"], "left_anti").withColumn("pair", F.sort_array(F.array("source", "target")))
+    first = F.row_number().over(Window.partitionBy("crawl_run_id", "pair").orderBy("t", "i", "j"))
+    place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("t", "i", "j"))
+    once = open_.withColumn("k", first).where("k = 1").withColumn("place", place).where(F.col("place") <= most)
+    return once.select("crawl_run_id", "place", "source", "target", "topic")

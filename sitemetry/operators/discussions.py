@@ -8,10 +8,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import priority_of
-from ..functions.text import js_round, significant_tokens
+from ..functions.rules import CORE_TOPIC_PAGES, is_content_page, literals, priority_of
+from ..functions.text import bigrams, discussion_tokens, js_round, js_trim, significant_tokens
+from ..functions.urls import slug_phrase
 
 DISCUSSIONS_KEPT = 10
+QUERIES_KEPT, TITLE_WORDS, SLUG_WORDS, PHRASE_CHARS = 8, 4, 5, 40
+
+# Words too general to be a search by themselves.
+GENERAL = """
+tool tools guide guides app apps application applications website websites software business businesses company companies
+service services online free best top fast quick quickly simple easy help helpful info information example examples
+feature features function functions result results make making works working good great use used using
+calculator calculators calculate calculated calculating percentage percent amount amounts total totals splits
+choose copy round select enter input value values number numbers price prices rate rates
+solution solutions platform provider suite our your their ours theirs provide provides provided
+offer offers offered get gets got need needs want wants find finds helps various many stuff
+things thing one two three first second third like just really very also new old next last
+faq meta title description descriptive valid default generic sample placeholder
+""".split()
+SINGLE, BIGRAM, PHRASE, OPPORTUNITY = range(4)
+
+
+def discussion_terms(pages: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(crawl_run_id, term, tokens, doc_freq, dedicated, kind): what a crawl's discussions could be about.
+
+    Words, pairs and short whole phrases of slugs (all pages) and of titles and descriptions (content
+    pages), and the queries of three types of opportunities. A term seen as several kinds has the highest.
+    """
+    content = is_content_page(F.col("status_code"), F.col("content_type"))
+    only = lambda c: F.when(content, F.coalesce(c, F.lit(""))).otherwise("")
+    fields = [(slug_phrase(F.col("url")), True, 1, SLUG_WORDS), (only(F.col("title")), True, 2, TITLE_WORDS), (only(F.col("meta_description")), False, 1, 0)]
+    rows = pages.select("crawl_run_id", "page_id", "page_seq", *[f.alias(f"f{i}") for i, (f, *_) in enumerate(fields)])
+    rows = rows.select("*", *[discussion_tokens(F.col(f"f{i}")).alias(f"t{i}") for i in range(3)])
+
+    def entry(term, tokens, dedicated: bool, kind: int, at: int):
+        return F.struct(term.alias("term"), tokens.alias("tokens"), F.lit(dedicated).alias("dedicated"), F.lit(kind).alias("kind"), F.lit(at).alias("at"))
+
+    def parts(terms, tokens_of, dedicated: bool, kind: int, at: int):
+        return F.transform(terms, lambda x: entry(x, tokens_of(x), dedicated, kind, at))
+
+    found = []
+    for i, (_, dedicated, least, most) in enumerate(fields):
+        t, phrase = F.col(f"t{i}"), F.lower(js_trim(F.col(f"f{i}")))
+        fits = (F.size(t) >= least) & (F.size(t) <= most) & (F.length(phrase) <= PHRASE_CHARS)
+        found.append(F.when(fits, F.array(entry(phrase, t, dedicated, PHRASE, 10 * i))).otherwise(F.array()))
+        found.append(parts(t, F.array, dedicated, SINGLE, 10 * i + 1))
+        found.append(parts(bigrams(t), lambda b: F.split(b, " "), dedicated, BIGRAM, 10 * i + 2))
+    terms = rows.select("crawl_run_id", "page_id", "page_seq", F.explode(F.concat(*found)).alias("e")).select("crawl_run_id", "page_id", F.struct("page_seq", "e.at").alias("ord"), "e.term", "e.tokens", "e.dedicated", "e.kind")
+    query = F.lower(F.trim("query"))
+    asked = opportunities.where(F.col("opportunity_type").isin("CONTENT_GAP", "SEARCH_INTENT_GAP", "WEAK_TOPIC_COVERAGE")).select(
+        "crawl_run_id", F.lit(None).cast("string").alias("page_id"), F.struct(F.lit(2**62).alias("page_seq"), F.lit(0).alias("at")).alias("ord"), query.alias("term"), discussion_tokens(query).alias("tokens"), F.lit(None).cast("boolean").alias("dedicated"), F.lit(OPPORTUNITY).alias("kind")
+    )
+    every = terms.where("length(term) >= 3").unionByName(asked.where("size(tokens) > 0"))
+    per_page = every.groupBy("crawl_run_id", "term", "page_id").agg(F.bool_or("dedicated").alias("dedicated"), F.max("kind").alias("kind"), F.min_by("tokens", "ord").alias("tokens"), F.min("ord").alias("ord"))
+    return per_page.groupBy("crawl_run_id", "term").agg(
+        F.min_by("tokens", "ord").alias("tokens"), F.count("page_id").alias("doc_freq"), F.coalesce(F.bool_or("dedicated"), F.lit(True)).alias("dedicated"), F.max("kind").alias("kind")
+    )
+
+
+def _specific(tokens):
+    return F.filter(tokens, lambda w: ~F.array_contains(literals(GENERAL), w))
+
+
+def noise_filter(terms: DataFrame) -> DataFrame:
+    """``terms`` without general ones, and without pairs that stand inside one of the crawl's phrases."""
+    kept = terms.where(F.when(F.col("kind") == SINGLE, ~F.array_contains(literals(GENERAL), F.col("term"))).otherwise(F.size(_specific(F.col("tokens"))) > 0))
+    inside = terms.where(F.col("kind") == PHRASE).select("crawl_run_id", F.explode(bigrams(F.col("tokens"))).alias("pair")).distinct().withColumn("kind", F.lit(BIGRAM))
+    return kept.withColumn("pair", F.array_join("tokens", " ")).join(inside, ["crawl_run_id", "pair", "kind"], "left_anti").drop("pair")
+
+
+def rank_discussion_queries(kept: DataFrame, most: int = QUERIES_KEPT) -> DataFrame:
+    """(crawl_run_id, query_ord, query, term_score, core): the searches of a crawl, best first."""
+    clear = F.size(_specific(F.col("tokens"))) == F.size("tokens")
+    general_first = F.array_contains(literals(GENERAL), F.get("tokens", F.lit(0)))
+    kind = F.col("kind")
+    specificity = (
+        F.when(kind == OPPORTUNITY, 50)
+        .when(kind == PHRASE, F.when(clear, 30).otherwise(15))
+        .when(kind == BIGRAM, F.when(clear, 25).when(general_first, 5).otherwise(10))
+        .otherwise(F.when(clear, 5).otherwise(0))
+    )
+    scored = kept.withColumn("term_score", 20 * F.col("doc_freq") + F.when(F.col("dedicated"), 10).otherwise(0) + specificity)
+    place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy(F.desc("term_score"), "term"))
+    ranked = scored.withColumn("query_ord", place).where(F.col("query_ord") <= most)
+    return ranked.select("crawl_run_id", "query_ord", F.col("term").alias("query"), "term_score", (F.col("doc_freq") >= CORE_TOPIC_PAGES).alias("core"))
 
 
 def score_discussions(posts: DataFrame, core_terms: DataFrame, as_of: datetime) -> DataFrame:

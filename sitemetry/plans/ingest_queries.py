@@ -64,6 +64,39 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("crawl_run_id", F.lit("q").alias("query"), F.to_json(F.struct(F.struct(F.col("x.c").alias("children")).alias("data"))).alias("payload"))
 
 
+def _flat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document is a comment on the post before it."""
+    d = _read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    item = F.struct(
+        F.when(i % 3 == 2, "comment").otherwise("post").alias("type"),
+        F.concat(F.lit("p"), i.cast("string")).alias("id"),
+        F.concat(F.lit("p"), (i - i % 3).cast("string")).alias("postId"),
+        F.lit("sub").alias("subreddit"),
+        F.concat(F.lit("Post "), i.cast("string")).alias("title"),
+        F.concat(F.lit("https://forum.example/r/sub/"), i.cast("string")).alias("url"),
+        F.lit("me").alias("author"),
+        (i % 90).alias("score"),
+        F.when(i % 2 == 0, i * 1000 + 1_700_000_000_000).otherwise(i + 1_700_000_000).alias("created"),
+        F.concat(F.lit("body "), i.cast("string")).alias("body"),
+    )
+    g = d.groupBy(F.floor(i / 30).cast("string").alias("crawl_run_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("c")))).alias("x"))
+    posts = payloads.map_flat_items(g.select("crawl_run_id", F.lit("q").alias("query"), F.to_json("x.c").alias("payload")))
+    return posts.select("crawl_run_id", "post_ord", "title", "permalink", "score", "created_at", F.transform(F.coalesce("comments", F.array()), lambda c: c["body"]).alias("comments"))
+
+
+def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    url = F.concat(F.when(i % 7 == 0, "https://elsewhere.test/r/").otherwise("https://www.reddit.com/r/"), F.lit("sub/comments/"), (i % 400).cast("string"))
+    item = F.struct(url.alias("url"), F.concat(F.lit("Post "), i.cast("string")).alias("title"), F.array(F.lit("first"), F.lit("second")).alias("snippets"))
+    age = F.struct(F.array(F.lit(""), F.lit("2024-01-02"), F.lit(""), F.when(i % 2 == 0, "2024-01-03T00:00:00Z").otherwise("soon")).alias("age"))
+    g = d.groupBy(F.floor(i / 30).cast("string").alias("crawl_run_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("c"), age.alias("a")))).alias("x"))
+    sources = F.map_from_entries(F.transform("x", lambda e: F.struct(e["c"]["url"], e["a"])))
+    payload = F.to_json(F.struct(F.struct(F.col("x.c").alias("generic")).alias("grounding"), sources.alias("sources")))
+    return payloads.map_grounding_results(g.select("crawl_run_id", F.lit("q").alias("query"), payload.alias("payload"))).drop("query")
+
+
 def _answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "conversations")
     parts = F.array(F.struct(F.substring("text", 1, 30).alias("text")), F.struct(F.expr("substring(text, 31)").alias("text")))
@@ -143,6 +176,8 @@ QUERIES = {
     "flatten_query_metrics": lambda s, d: payloads.flatten_query_metrics(_metric_payloads(s, d)),
     "flatten_metric_sites": lambda s, d: payloads.flatten_metric_sites(_site_payloads(s, d)),
     "map_listing_posts": lambda s, d: payloads.map_listing_posts(_listings(s, d)),
+    "map_flat_items": _flat_items,
+    "map_grounding_results": _grounding,
     "extract_answer_text": _answer_texts,
     "extract_sitemap_urls": _sitemaps,
     "parse_robots": _robots,
@@ -176,6 +211,11 @@ ORACLE_SQL = {
       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'me' END AS author, greatest(0, doc_id - 10)::INTEGER AS score, (doc_id % 60)::INTEGER AS num_comments, make_timestamp((doc_id * 1000 + 1700000000) * 1000000) AS created_at,
       CASE WHEN doc_id % 3 = 0 OR trim(text, ' ' || chr(10)) = '' THEN NULL ELSE substr(trim(text, ' ' || chr(10)), 1, 500) END AS body_snippet FROM documents)
       WHERE split_part(permalink, '/', 3)::BIGINT % 13 <> 0 AND split_part(permalink, '/', 3)::BIGINT % 11 <> 0 AND (split_part(permalink, '/', 3)::BIGINT % 4 = 0 OR split_part(permalink, '/', 3)::BIGINT % 17 <> 0)""",
+    "map_flat_items": """SELECT (doc_id // 30)::VARCHAR AS crawl_run_id, (doc_id % 30)::INTEGER AS post_ord, 'Post ' || doc_id AS title, '/r/sub/' || doc_id AS permalink, (doc_id % 90)::INTEGER AS score,
+      make_timestamp(CASE WHEN doc_id % 2 = 0 THEN (doc_id * 1000 + 1700000000000) * 1000 ELSE (doc_id + 1700000000) * 1000000 END) AS created_at,
+      CASE WHEN doc_id % 3 = 0 AND doc_id + 2 IN (SELECT doc_id FROM documents) THEN ['body ' || (doc_id + 2)] ELSE [] END AS comments FROM documents WHERE doc_id % 3 <> 2""",
+    "map_grounding_results": """SELECT * FROM (SELECT (doc_id // 30)::VARCHAR AS crawl_run_id, (doc_id % 30)::INTEGER AS post_ord, 'sub' AS subreddit, 'Post ' || doc_id AS title, '/r/sub/comments/' || (doc_id % 400) || '/' AS permalink,
+      CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-02' END AS created_at, 'first' AS body_snippet, ['second'] AS comments FROM documents WHERE doc_id % 7 <> 0) QUALIFY row_number() OVER (PARTITION BY crawl_run_id ORDER BY post_ord) <= 10""",
     "extract_answer_text": r"SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS answer FROM conversations",
     "extract_sitemap_urls": search_with() + "SELECT DISTINCT crawl_run_id, url || '?a=1&b=2' AS url FROM crawled",
     "robots_allowed": search_with() + f"SELECT host, url, {_ALLOWED} AS allowed FROM (SELECT crawl_run_id AS host, url FROM crawled)",

@@ -115,7 +115,35 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.upsert_latest(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["subscription_id"], ["event_ts", "event_id"])
 
 
+def _terms(operator):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = crawled_pages(spark, sf_dir)
+        return operator(discussions.discussion_terms(pages, opportunities.rank_opportunities(pages)))
+
+    return query
+
+
+def _brief_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts(spark, sf_dir)
+    head = F.when(F.col("post_ord") % 5 == 0, F.lit("no labels")).otherwise(F.concat(F.lit("Here:\ntitle: q "), F.trim("query")))
+    text = F.concat(head, F.when(F.col("post_ord") % 3 == 0, F.lit("\nINTENT: commercial ")).otherwise(F.lit("")), F.lit("\nSTRUCTURE:\n- one\n2. two\n\n* "), F.trim("subreddit"))
+    b = content.parse_brief_text(text)
+    return p.select("post_ord", b["title"].alias("title"), b["intent"].alias("intent"), b["structure"].alias("structure"))
+
+
+def _enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = opportunities.rank_opportunities(crawled_pages(spark, sf_dir))
+    text = F.concat(F.lit("ANGLE: "), F.when(F.col("rank") % 4 == 0, F.lit("new angle")).otherwise(F.lit("")), F.lit("\nTITLE: T"), F.col("rank").cast("string"), F.lit("\nSTRUCTURE:\n- a\n- b\nKEY_POINTS:\n"))
+    parsed = found.where("rank % 2 = 0").select("opportunity_id", content.parse_enhancement_text(text).alias("e")).select("opportunity_id", "e.*")
+    return content.apply_brief_enhancement(content.opportunity_brief(found), parsed).select("opportunity_id", "target_topic", "suggested_title", "structure", "ai_enhanced", (F.col("angle") == "new angle").alias("new_angle"))
+
+
 QUERIES = {
+    "discussion_terms": _terms(lambda t: t),
+    "noise_filter": _terms(discussions.noise_filter),
+    "rank_discussion_queries": _terms(lambda t: discussions.rank_discussion_queries(discussions.noise_filter(t))),
+    "parse_brief_text": _brief_texts,
+    "apply_brief_enhancement": _enhanced,
     "discussion_tokens": lambda s, d: posts(s, d).select("post_ord", discussion_tokens(F.col("title")).alias("tokens")),
     "coverage_for_type": lambda s, d: opportunities.rank_opportunities(crawled_pages(s, d)).select("crawl_run_id", "rank", R.coverage_for_type(F.col("opportunity_type")).alias("coverage")),
     "score_to_priority": lambda s, d: _scored(s, d).select("post_ord", R.priority_of(F.col("opportunity_score")).alias("priority")),
@@ -228,6 +256,9 @@ _PLAN = search_with(OPP_SQL, PLAN_SQL)
 _SUBS = "WITH subs AS (SELECT user_id, user_id || '-' || (event_id % 3) AS subscription_id, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'signup' THEN 'renewed' ELSE 'cancelled' END AS status, ts AS event_ts, event_id FROM events) "
 
 ORACLE_SQL = {
+    "parse_brief_text": f"WITH {POST_SQL} SELECT post_ord, CASE WHEN post_ord % 5 > 0 THEN trim('q ' || trim(query)) END AS title, CASE WHEN post_ord % 5 > 0 THEN CASE WHEN post_ord % 3 = 0 THEN 'commercial' ELSE 'informational' END END AS intent, CASE WHEN post_ord % 5 > 0 THEN ['one', 'two', subreddit] END AS structure FROM posts",
+    "apply_brief_enhancement": search_with(OPP_SQL)
+    + f"""SELECT opportunity_id, query AS target_topic, CASE WHEN rank % 2 = 0 THEN 'T' || rank ELSE {_cap("query")} END AS suggested_title, CASE WHEN rank % 2 = 0 THEN ['a', 'b'] ELSE {_outline("intent", "query")} END AS structure, rank % 2 = 0 AS ai_enhanced, rank % 4 = 0 AS new_angle FROM ranked""",
     "discussion_tokens": f"WITH {POST_SQL} SELECT post_ord, {tokens_sql('title', 3)} AS tokens FROM posts",
     "coverage_for_type": search_with(OPP_SQL) + "SELECT crawl_run_id, rank, coverage FROM ranked",
     "score_to_priority": f"WITH {POST_SQL} SELECT post_ord, priority FROM pscored",

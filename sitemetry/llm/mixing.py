@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut_lineage
+
 #: Means above this are drawn as a sum of several independent draws, since e^-mean underflows.
 MEAN_PER_DRAW = 8.0
 #: Terms of the cumulative sum in one draw. P(X > 64) for a mean of 8 is under 1e-30,
@@ -20,6 +22,8 @@ MEAN_PER_DRAW = 8.0
 TERMS = 64
 #: Hex digits of the hash that make a number in [0, 1).
 DIGITS = 13
+#: Rates are broadcast up to this many bytes, and spread over so many keys a source beyond it.
+BROADCAST_BYTES, SALTS = 16_000_000, 64
 
 
 def hashed_unit(*parts: Column) -> Column:
@@ -52,7 +56,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
     if weights is None:
         weighed = counts.withColumn("raw_weight", F.lit(1.0))
     else:
-        pairs = docs.sparkSession.createDataFrame(sorted(weights.items()), "mix_source string, raw_weight double")
+        pairs = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in sorted(weights.items())], "mix_source string, raw_weight double")
         weighed = counts.join(pairs, "mix_source")
     total = weighed.agg(F.sum("raw_weight").alias("weight_sum"), F.sum("n_rows").alias("row_sum"))
     rows = F.lit(float(target_rows)) if target_rows is not None else F.col("row_sum").cast("double")
@@ -64,6 +68,21 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
     )
 
 
+def join_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` with their source's ``__rate``.
+
+    The rates are measured first. Up to BROADCAST_BYTES they are sent to every task, and the
+    texts aren't shuffled for them. Beyond that both sides are salted: a source's rate is copied
+    to SALTS keys over which its rows are spread.
+    """
+    rates = cut_lineage(rates)
+    size = rates.agg(F.sum(F.length("__source") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(rates), "__source")
+    salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"]).drop("__salt")
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: int | None = None, seed: int = 0) -> DataFrame:
     """All columns of ``docs`` with ``mix_copy`` (from 1) and ``mix_order`` (place in the shuffle).
 
@@ -79,9 +98,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, target_r
     inner = {c: f"__row_{i}" for i, c in enumerate(kept)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in inner.items()], source.alias("__source"), doc.alias("__doc"))
     rates = source_rates(docs, weights, target_rows).select(F.col("mix_source").alias("__source"), F.col("rate").alias("__rate"))
-    # Which side is small is left to the planner, which broadcasts by measured size only.
     draws = F.greatest(F.lit(1), F.ceil(F.col("__rate") / F.lit(MEAN_PER_DRAW))).cast("int")
-    rated = rows.join(rates, "__source").withColumn("__draws", draws)
+    rated = join_rates(rows, rates).withColumn("__draws", draws)
     count = F.aggregate(
         F.transform(
             F.sequence(F.lit(1), F.col("__draws")),

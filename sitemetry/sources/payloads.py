@@ -5,6 +5,8 @@ Payloads are read as text and parsed with all-nullable schemas; what doesn't fit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,12 +37,21 @@ def _author(value: Column) -> Column:
     return F.when((name != "") & (name != "[deleted]"), name)
 
 
+def _entries(payloads: DataFrame, keys: list[str], outer: str, items: Callable[[Column], Column], place: str, schema: str) -> DataFrame:
+    """One row for each entry of a payload's array, with its place and the entry as struct ``r``.
+
+    Entries are parsed one by one, so a malformed one is null and spoils no other.
+    """
+    rows = payloads.select(*keys, F.posexplode(items(F.from_json("payload", outer))).alias(place, "__entry"))
+    return rows.select(*keys, place, F.from_json("__entry", schema).alias("r"))
+
+
 def flatten_query_metrics(payloads: DataFrame) -> DataFrame:
     """(site_url, row_ord, keys, clicks, impressions, ctr, position) from (site_url, payload) ``{rows: [...]}``."""
     fields = ["clicks", "impressions", "ctr", "position"]
     # Numbers may come as text, so they are read as text; keys are kept only where they are strings.
-    schema = "rows array<struct<keys: array<string>, " + ", ".join(f"{f}: string" for f in fields) + ">>"
-    rows = payloads.select("site_url", F.posexplode(F.from_json("payload", schema)["rows"]).alias("row_ord", "r"))
+    schema = "keys array<string>, " + ", ".join(f"{f} string" for f in fields)
+    rows = _entries(payloads, ["site_url"], "rows array<string>", lambda p: p["rows"], "row_ord", schema)
     keys = F.filter("r.keys", lambda k: k.isNotNull())
     return rows.where("r is not null").select("site_url", "row_ord", keys.alias("keys"), *[_number(F.col(f"r.{f}")).alias(f) for f in fields]).where("size(keys) > 0")
 
@@ -54,8 +65,8 @@ def flatten_metric_sites(payloads: DataFrame) -> DataFrame:
 def map_listing_posts(payloads: DataFrame) -> DataFrame:
     """Posts of a listing ``{data: {children: [{kind, data}]}}`` in (crawl_run_id, query, payload)."""
     data = "subreddit: string, title: string, permalink: string, author: string, score: string, num_comments: string, created_utc: double, selftext: string"
-    children = F.from_json("payload", f"data struct<children: array<struct<kind: string, data: struct<{data}>>>>")["data"]["children"]
-    rows = payloads.select("crawl_run_id", "query", F.posexplode(children).alias("post_ord", "c")).select("crawl_run_id", "query", "post_ord", "c.kind", "c.data.*")
+    rows = _entries(payloads, ["crawl_run_id", "query"], "data struct<children: array<string>>", lambda p: p["data"]["children"], "post_ord", f"kind string, data struct<{data}>")
+    rows = rows.select("crawl_run_id", "query", "post_ord", "r.kind", "r.data.*")
     body = _text(F.col("selftext"))
     out = rows.where("kind is null or kind = 't3'").select(
         "crawl_run_id",
@@ -85,7 +96,7 @@ def map_flat_items(payloads: DataFrame) -> DataFrame:
     Comments meet their post on its id within a payload.
     """
     item = "type: string, id: string, postId: string, subreddit: string, title: string, permalink: string, url: string, author: string, score: string, numComments: string, created: string, selftext: string, body: string"
-    rows = payloads.select("crawl_run_id", "query", F.posexplode(F.from_json("payload", f"array<struct<{item}>>")).alias("post_ord", "i")).select("crawl_run_id", "query", "post_ord", "i.*")
+    rows = _entries(payloads, ["crawl_run_id", "query"], "array<string>", lambda p: p, "post_ord", item.replace(": ", " ")).select("crawl_run_id", "query", "post_ord", "r.*")
     key = ["crawl_run_id", "query", "post_id"]
     comment = F.struct(F.col("post_ord").alias("ord"), _author(F.col("author")).alias("author"), F.substring(_text(F.col("body")), 1, COMMENT_CHARS).alias("body"), _count(F.col("score")).alias("score"), _moment(F.col("created")).alias("created_at"))
     comments = rows.where((F.col("type") == "comment") & (_text(F.col("body")) != "")).withColumnRenamed("postId", "post_id").where("post_id is not null")

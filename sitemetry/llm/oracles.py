@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .passages import UNIT
+from .url_filter import CHILD_SHARE, LEVELS, MOST_CHILDREN, PRIOR_BAD, PRIOR_WEIGHT, REJECT_AT, SAME_BELOW
 
 OP2 = r"""
 WITH turns AS (
@@ -42,6 +43,67 @@ SELECT doc_id, text, lang, source, n_chars, mix_copy,
 FROM copies
 """
 
+#: The given pages mark their article, so a cut at the mark and at its tags gives the same text.
+OP3 = r"""
+WITH marked AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS inner_html FROM pages
+), blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<br>', ' '), '<[^>]*>'),
+    lambda b: trim(regexp_replace(replace(replace(replace(replace(b, '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS b FROM marked
+)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10))) AS n_chars FROM blocks
+"""
+
+_VARIABLE = (
+    r"regexp_matches({0}, '^(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-f]{{8,}}(?:-[0-9a-f]{{4,}})*)(?:\.[a-z]{{2,5}})?$')"
+    r" OR (regexp_matches({0}, '^[0-9A-Za-z_-]{{16,}}(?:\.[a-z]{{2,5}})?$') AND regexp_matches({0}, '[0-9]'))"
+)
+
+
+def _level(k: int) -> str:
+    """One level of the template tree: branches, the variable ones among them, and the longer templates."""
+    return f"""
+h{k} AS (
+  SELECT *, CASE WHEN {_VARIABLE.format(f"seg[{k + 1}]")} THEN '*' ELSE seg[{k + 1}] END AS here FROM t{k}
+), w{k} AS (
+  SELECT host, template FROM (SELECT host, template, here, sum(n) AS n FROM h{k} WHERE here IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) > {MOST_CHILDREN} AND count(*) > {CHILD_SHARE}::DOUBLE * sum(n)
+), t{k + 1} AS (
+  SELECT h.host, h.path, n, good, bad, seg, CASE WHEN here IS NULL THEN h.template ELSE h.template || '/' || CASE WHEN w.host IS NULL THEN here ELSE '*' END END AS template, CASE WHEN here IS NULL THEN parent ELSE h.template END AS parent
+  FROM h{k} h LEFT JOIN w{k} w ON w.host = h.host AND w.template = h.template
+)"""
+
+
+OP4 = (
+    r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest
+), ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split
+), t0 AS (
+  SELECT host, path, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template, '' AS parent
+  FROM ruled GROUP BY host, path
+), """
+    + ", ".join(_level(k) for k in range(LEVELS))
+    + f"""
+, tree AS (
+  SELECT host, path, good, bad, CASE WHEN len(seg) > {LEVELS} THEN template || '/**' ELSE template END AS template, CASE WHEN len(seg) > {LEVELS} THEN template ELSE parent END AS parent FROM t{LEVELS}
+), own AS (
+  SELECT host, parent, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM tree GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT *, good + bad AS n, sum(good + bad) OVER family AS m, sum(bad) OVER family AS all_bad FROM own WINDOW family AS (PARTITION BY host, parent)
+), alike AS (
+  SELECT *, CASE WHEN n > 0 AND m > n THEN CASE WHEN all_bad = 0 OR all_bad = m THEN true ELSE abs(bad / n - (all_bad - bad) / (m - n)) / sqrt(all_bad / m * (1 - all_bad / m) * (1 / n + 1 / (m - n))) < {SAME_BELOW}::DOUBLE END ELSE false END AS same FROM pairs
+), judged AS (
+  SELECT host, template, (CASE WHEN same THEN all_bad ELSE bad END + {PRIOR_WEIGHT * PRIOR_BAD}::DOUBLE) / (CASE WHEN same THEN m ELSE n END + {PRIOR_WEIGHT}::DOUBLE) AS impurity FROM alike
+)
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN r.rule IS NOT NULL OR j.impurity > {REJECT_AT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, t.template, 1 - j.impurity AS purity
+FROM ruled r JOIN tree t ON t.host = r.host AND t.path = r.path JOIN judged j ON j.host = t.host AND j.template = t.template
+"""
+)
+
 OP6 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
@@ -115,4 +177,8 @@ ORACLE_SQL = {
     "op6_ngram_jaccard_join": OP6,
     "op7_exact_topk": OP7,
     "op8_substring_dedup": OP8,
-    "op2_chat_formatting": OP2, "op9_source_mixing": OP9}
+    "op2_chat_formatting": OP2,
+    "op3_html_extraction": OP3,
+    "op4_url_filter": OP4,
+    "op9_source_mixing": OP9,
+}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import short_text_batches
+from .runtime import short_text_batches, small_ids
 
 HIDDEN, WINDOW = 6, 64
 #: The training sample: documents of a language, windows from a document, languages at most.
@@ -269,4 +269,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """``docs`` without the documents that no language fits: ``und``, or a score under ``least_score``."""
     found = identify(docs).where(F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") < least_score)).select(F.col("doc_id").alias("__drop")).distinct()
+    found = small_ids(found)
     return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__drop")), "left_anti").select(*docs.columns)

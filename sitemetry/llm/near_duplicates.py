@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut_lineage, short_text_batches
+from .runtime import cut_lineage, short_text_batches, small_ids
 
 #: Words in an n-gram and the least similarity of a link.
 N, SIMILARITY = 5, 0.8
@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     shared = exploded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = cut_lineage(exploded.join(shared, ["band", "hash"]).select("band", "hash", "words_id", "members"))
     candidates = members.select("words_id").distinct().join(classes, "words_id").select("words_id", "copy_id", "bands")
-    texts = _doc_texts(docs).join(candidates.select(F.col("copy_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").where("text is not null")
+    wanted = small_ids(candidates.select(F.col("copy_id").alias("doc_id")).distinct())
+    texts = _doc_texts(docs).join(wanted, "doc_id", "left_semi").select("text").where("text is not null")
     sets = candidates.select("words_id", "bands").join(_gram_sets(texts, n).dropDuplicates(["words_id"]), "words_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     spread = members.join(sets, "words_id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("words_id"), F.col("blocks")).cast("int"))
@@ -306,5 +307,5 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """``docs`` without those that another document of their group stands for: the smallest doc_id stays."""
-    found = near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__drop")).distinct()
+    found = small_ids(near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__drop")).distinct())
     return docs.join(found, F.col("doc_id").cast("bigint") == F.col("__drop"), "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that carries whole texts. Texts have no length bound, so the
 #: batch is kept short: a Python worker holds one batch at a time.
@@ -32,6 +33,19 @@ def short_text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None
         spark.conf.set(key, str(rows))
 
 
+#: Ids are broadcast up to this many bytes.
+ID_BYTES = 64_000_000
+
+
+def small_ids(ids: DataFrame, bytes_per_row: int = 32) -> DataFrame:
+    """Ids for a semi or anti join against texts: counted first, and broadcast if they fit ID_BYTES.
+
+    Beyond that the join shuffles both sides; the result is the same.
+    """
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() * bytes_per_row <= ID_BYTES else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

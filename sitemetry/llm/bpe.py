@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .runtime import short_text_batches
 
-#: Matches whose ids a worker remembers; when full, the memory starts anew.
-CACHED_MATCHES = 300_000
+#: Matches in each of the two generations that a worker remembers.
+CACHED_MATCHES = 200_000
 #: Longer matches are encoded each time, so that the memory is bounded in bytes as well.
 CACHED_BYTES = 64
 
@@ -42,48 +42,41 @@ def encode_match(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(data)) is not None:
         return [whole]
     none = len(ranks) * n + n  # above every key
-    size = 1
-    while size < n:
-        size *= 2
-    tree = [none] * (2 * size)
+    rank_of = ranks.get
     # A key is rank * n + position: its minimum is the leftmost pair of lowest rank.
-    for i in range(n - 1):
-        rank = ranks.get(data[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * n + i
-    for node in range(size - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a < b else b
-    end = list(range(1, n + 1))  # token at i covers data[i:end[i]]
-    before = list(range(-1, n - 1))
-
-    def put(i: int, key: int) -> None:
-        node = size + i
-        tree[node] = key
-        node //= 2
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            low = a if a < b else b
-            if tree[node] == low:
-                break
-            tree[node] = low
-            node //= 2
-
-    def key_at(i: int) -> int:
-        right = end[i]
-        rank = ranks.get(data[i : end[right]]) if right < n else None
-        return none if rank is None else rank * n + i
+    keys = [none if (rank := rank_of(data[i : i + 2])) is None else rank * n + i for i in range(n - 1)]
+    size = 1 << (n - 1).bit_length()
+    level = keys + [none] * (size - n + 1)
+    levels = [level]
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        levels.append(level)
+    tree = [none, *chain.from_iterable(reversed(levels))]  # node v has the children 2v and 2v + 1
+    end = list(range(1, n + 1))  # the token at i covers data[i:end[i]]
+    before = list(range(-1, n))
 
     while (low := tree[1]) < none:
         i = low % n
         j = end[i]
-        end[i] = end[j]
-        if end[i] < n:
-            before[end[i]] = i
-        put(j, none)
-        put(i, key_at(i))
-        if (k := before[i]) >= 0:
-            put(k, key_at(k))
+        end[i] = right = end[j]
+        before[right] = i
+        k = before[i]
+        rank = rank_of(data[i : end[right]]) if right < n else None
+        changed = [(j, none), (i, none if rank is None else rank * n + i)]
+        if k >= 0:
+            rank = rank_of(data[k:right])
+            changed.append((k, none if rank is None else rank * n + k))
+        for at, key in changed:
+            node = size + at
+            tree[node] = key
+            while node > 1:
+                sibling = tree[node ^ 1]
+                if sibling < key:
+                    key = sibling
+                node >>= 1
+                if tree[node] == key:
+                    break
+                tree[node] = key
     ids, i = [], 0
     while i < n:
         ids.append(ranks[data[i : end[i]]])
@@ -132,19 +125,28 @@ def pattern_finder(pattern: str) -> Callable[[str], list[str]]:
 
 
 class _Matches(dict):
-    """Ids of matches, computed when first asked for."""
+    """Ids of matches, computed when first asked for.
+
+    Two generations bound the memory: when the young one is full it becomes the old one, and what
+    is asked for again moves back to the young.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
-        data = match.encode()
-        ids = tuple(encode_match(data, self.ranks))
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_MATCHES:
-                self.clear()
-            self[match] = ids
+        ids = self.old.get(match)
+        if ids is None:
+            data = match.encode()
+            ids = tuple(encode_match(data, self.ranks))
+            if len(data) > CACHED_BYTES:
+                return ids
+        if len(self) >= CACHED_MATCHES:
+            self.old = dict(self)
+            self.clear()
+        self[match] = ids
         return ids
 
 

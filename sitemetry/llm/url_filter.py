@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut_lineage
+
 #: Levels of the tree with branches of their own; what lies deeper is one wildcard.
 LEVELS = 5
 #: A branch with more children than this, and more than this share of its pages, is variable.
@@ -106,7 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of)
     labelled = rows.select("host", "path", F.coalesce((F.col("ruled") == "allow").cast("int"), F.lit(0)).alias("good"), F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)).alias("bad"))
-    tree = templates(labelled)
+    tree = cut_lineage(templates(labelled))
     known = tree.select("host", "path", "template").join(judged_templates(tree), ["host", "template"])
     out = rows.join(known, ["host", "path"], "left")
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))

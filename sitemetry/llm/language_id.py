@@ -238,21 +238,35 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     score 0; equal probabilities go to the first language by name; repeated rows are each judged;
     a null doc_id is kept; an empty table gives an empty one; other columns are not read.
     """
+    return _judged(docs, net).select("doc_id", "lang_pred", "score")
+
+
+def _judged(docs: DataFrame, net: Network | None) -> DataFrame:
+    """``predict`` with the hash of each row's text and whether it has a letter."""
     short_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             known = [i for i, t in enumerate(texts) if t is not None and net is not None]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if known:
                 pooled = net.document_probabilities([texts[i].encode() for i in known])
                 for i, k, p in zip(known, pooled.argmax(axis=1), pooled.max(axis=1), strict=True):
                     names[i], scores[i] = net.languages[k], min(1.0, float(p))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0),
+                    "text_key": batch.column(1),
+                    "lettered": pa.array([t is not None for t in texts], pa.bool_()),
+                    "lang_pred": pa.array(names, pa.string()),
+                    "score": pa.array(scores, pa.float64()),
+                }
+            )
 
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lettered.alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), lettered.alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, lettered boolean, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -260,14 +274,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _learned(docs: DataFrame) -> Network | None:
+    return fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns from the rows that are not held out, judges all."""
-    net = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return predict(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, _learned(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the documents that no language fits: ``und``, or a score under ``least_score``."""
-    found = identify(docs).where(F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") < least_score)).select(F.col("doc_id").alias("__drop")).distinct()
-    found = small_ids(found)
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__drop")), "left_anti").select(*docs.columns)
+    """``docs`` without the rows that no language fits: ``und``, or a score under ``least_score``.
+
+    Each row is judged by its own text, whatever other rows share its doc_id. Where no language could
+    be learned, only texts without a letter go.
+    """
+    net = _learned(docs)
+    none_fits = ~F.col("lettered")
+    if net is not None:
+        none_fits = none_fits | F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") < least_score)
+    found = _judged(docs, net).where(none_fits).select(F.col("doc_id").alias("__drop"), F.col("text_key").alias("__key")).distinct()
+    found = small_ids(found, 48)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__drop")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(found, same, "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut_lineage, short_text_batches, small_ids
@@ -32,6 +32,8 @@ N, SIMILARITY = 5, 0.8
 RECALL, MAX_BANDS = 0.999, 16
 #: Classes in one block of a bucket, about.
 BLOCK = 384
+#: Bytes of a row's name (id and hash of its text) in a broadcast, about.
+ROW_BYTES = 48
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -99,7 +101,7 @@ def _band_hashes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray, ba
 
 
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, words_id, bands): 128-bit name of the text's words, and band hashes; null without words."""
+    """(doc_id, text_key, words_id, bands): hash of the text, 128-bit name of its words, and band hashes; null without words."""
     random = np.random.default_rng(7)
     factors = random.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
     offsets = random.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -108,7 +110,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         grams = _Grams(n)
         for batch in batches:
             names, sketches = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = words_of(text) if text else []
                 if not words:
                     names.append(None)
@@ -116,13 +118,19 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     continue
                 names.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest())
                 sketches.append(_band_hashes(grams.of(words), factors, offsets, bands, rows).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "words_id": pa.array(names, pa.string()), "bands": pa.array(sketches, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "words_id": pa.array(names, pa.string()), "bands": pa.array(sketches, pa.list_(pa.int64()))})
 
-    return _doc_texts(docs).mapInArrow(run, "doc_id bigint, words_id string, bands array<bigint>")
+    return _doc_texts(docs).mapInArrow(run, "doc_id bigint, text_key bigint, words_id string, bands array<bigint>")
 
 
 def _doc_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text_key, text): id and hash of the text name a row; rows that share both are alike."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _is_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
 
 
 def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -263,30 +271,24 @@ def components(edges: DataFrame) -> DataFrame:
         edges = nxt
 
 
-def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, class_id, copy_id, links).
-
-    ``copy_id`` is the smallest doc_id among texts with the same words in the same order, ``links``
-    the number of other such classes with at least that Jaccard similarity of word n-grams, and
-    ``class_id`` the smallest doc_id in the connected group of links.
+def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows; (words_id, copy_id, root, links) of all classes; (root, class_id, stays) of all groups.
 
-    Defined cases: a text of fewer than n words has one n-gram of all its words; null texts and
-    texts without a letter or digit have no link and are classes of their own; rows with the same
-    doc_id are judged each by its own text; a null doc_id is kept, with nulls for its ids if it
-    stands alone; an empty table gives an empty one; other columns are not read.
+    ``stays`` names the row that stands for a group: smallest doc_id (null comes last), then hash of the text.
     """
     spark = docs.sparkSession
     short_text_batches(spark)
     bands, rows = choose_bands(similarity, recall)
     sketches = cut_lineage(sketch(docs, n, bands, rows))
-    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min(row).alias("stays"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
     exploded = classes.select("words_id", F.posexplode("bands").alias("band", "hash"))
     shared = exploded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = cut_lineage(exploded.join(shared, ["band", "hash"]).select("band", "hash", "words_id", "members"))
-    candidates = members.select("words_id").distinct().join(classes, "words_id").select("words_id", "copy_id", "bands")
-    wanted = small_ids(candidates.select(F.col("copy_id").alias("doc_id")).distinct())
-    texts = _doc_texts(docs).join(wanted, "doc_id", "left_semi").select("text").where("text is not null")
+    candidates = members.select("words_id").distinct().join(classes, "words_id").select("words_id", "stays", "bands")
+    wanted = small_ids(candidates.select(F.col("stays.doc_id").alias("__id"), F.col("stays.text_key").alias("__key")), ROW_BYTES)
+    texts = _doc_texts(docs).where("text is not null").join(wanted, _is_row(), "left_semi").select("text")
     sets = candidates.select("words_id", "bands").join(_gram_sets(texts, n).dropDuplicates(["words_id"]), "words_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     spread = members.join(sets, "words_id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("words_id"), F.col("blocks")).cast("int"))
@@ -297,15 +299,54 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     found = cut_lineage(_links(placed.repartition(*key).sortWithinPartitions(*key), similarity))
     roots = components(found.select(F.col("words_id").alias("a"), F.col("reached").alias("b")))
     linked = found.groupBy("words_id").agg(F.sum("links").alias("links"))
-    grouped = classes.select("words_id", "copy_id").join(roots.withColumnRenamed("node", "words_id"), "words_id", "left").join(linked, "words_id", "left")
-    grouped = cut_lineage(grouped.select("words_id", "copy_id", F.coalesce("root", "words_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    labels = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = grouped.join(labels, "root").select("words_id", "copy_id", "class_id", "links")
+    grouped = classes.select("words_id", "copy_id", "stays").join(roots.withColumnRenamed("node", "words_id"), "words_id", "left").join(linked, "words_id", "left")
+    grouped = cut_lineage(grouped.select("words_id", "copy_id", "stays", F.coalesce("root", "words_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    labels = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("stays").alias("stays"))
+    return sketches, grouped.drop("stays"), labels
+
+
+def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row for each row of ``docs``: (doc_id, class_id, copy_id, links).
+
+    ``copy_id`` is the smallest doc_id among texts with the same words in the same order, ``links``
+    the number of other such classes with at least that Jaccard similarity of word n-grams, and
+    ``class_id`` the smallest doc_id in the connected group of links.
+
+    Defined cases: a text of fewer than n words has one n-gram of all its words; null texts and
+    texts without a letter or digit have no link and are classes of their own; rows with the same
+    doc_id are judged each by its own text; a null doc_id is kept, with nulls for its ids if it
+    stands alone; an empty table gives an empty one; other columns are not read.
+    """
+    sketches, grouped, labels = _classes(docs, n, similarity, recall)
+    named = grouped.join(labels.drop("stays"), "root").select("words_id", "copy_id", "class_id", "links")
     out = sketches.select("doc_id", "words_id").join(named, "words_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that another document of their group stands for: the smallest doc_id stays."""
-    found = small_ids(near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("__drop"), "left_anti").select(*docs.columns)
+    """``docs`` without the rows that another row of their group stands for.
+
+    The row of smallest doc_id stays, of rows that share it the one of smallest text hash, and one of
+    wholly equal rows; a null doc_id comes after all others. Rows are told apart by doc_id and text,
+    so rows that share a doc_id are judged each by its own text. Texts without words all stay.
+    """
+    sketches, _, labels = _classes(docs, N, SIMILARITY, RECALL)
+    worded = sketches.where("words_id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    stays = cut_lineage(labels.select(F.col("stays.doc_id").alias("__id"), F.col("stays.text_key").alias("__key")))
+    named = lambda rows: small_ids(rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), ROW_BYTES)
+    # Rows that occur more than once leave with the others; one of each that stands for its group comes back.
+    repeated = named(worded.where("rows > 1").join(stays, _is_row(), "left_semi"))
+    found = named(worded.join(stays, _is_row(), "left_anti").select("doc_id", "text_key").union(worded.where("rows > 1").join(stays, _is_row(), "left_semi").select("doc_id", "text_key")))
+    kept = _join_rows(docs, found, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    again = _join_rows(docs, repeated, "left_semi")
+    whole = F.struct(*docs.columns)
+    one = again.groupBy(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return kept.unionByName(one.select("row.*"))
+
+
+def _join_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with (__id, __key) of rows."""
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    return docs.join(rows, same, how)

@@ -1,10 +1,11 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from sitemetry.llm import language_id as li
 
-from .helpers import documents
+from .helpers import documents, words
 
 
 def test_gradients_match_differences():
@@ -68,3 +69,14 @@ def test_defined_cases(spark):
     assert li.identify(df.limit(0)).count() == 0
     unlabelled = documents(spark, [(1, "text", None)])
     assert li.identify(unlabelled).first()["lang_pred"] == "und"
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rows = [(None, "12 34", "en"), (None, words(1, 30), "en"), (5, "?!", "en"), (5, words(2, 30), "en"), (5, None, None), (6, words(3, 30), "en"), (7, words(4, 30), "en")]
+    kept = li.keep_identified(documents(spark, rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter((d, t) for d, t, _ in rows if t and t[0].isalpha())
+
+
+def test_nothing_learned_drops_letterless_texts_only(spark):
+    rows = [(i, words(i, 20)) for i in range(6)] + [(10, "12 34"), (11, None), (12, "")]
+    assert sorted(r["doc_id"] for r in li.keep_identified(documents(spark, rows)).collect()) == list(range(6))

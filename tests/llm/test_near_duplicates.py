@@ -92,3 +92,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("y", "y")], "a string, b string")
     got = dict(tuple(r) for r in nd.components(edges).collect())
     assert got == {**{f"{i:03}": "000" for i in range(41)}, "x": "x", "y": "x"}
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    base, other = words(999, 200), words(5, 120)
+    rows = [(1, base), (1, base), (1, other), (2, near(base, 1, 1)), (2, words(6, 120)), (1, near(base, 2, 1)), (9, "?!"), (9, "?!")]
+    kept = Counter((r["doc_id"], r["text"]) for r in nd.keep_one_of_each_group(documents(spark, rows)).collect())
+    stays = [t for (d, t) in kept if t in (base, near(base, 2, 1))]
+    assert len(stays) == 1 and kept == Counter([(1, stays[0]), (1, other), (2, words(6, 120)), (9, "?!"), (9, "?!")])
+    assert nd.keep_one_of_each_group(documents(spark, [(1, base)] * 3)).count() == 1
+
+
+def test_null_ids_are_linked_and_one_stays(spark):
+    base = words(999, 200)
+    alone = documents(spark, [(None, base), (None, near(base, 1, 1)), (None, words(6, 120))])
+    assert sorted(r["links"] for r in nd.near_duplicates(alone).collect()) == [0, 1, 1]
+    assert nd.keep_one_of_each_group(alone).count() == 2
+    mixed = documents(spark, [(None, base), (3, near(base, 1, 1))])
+    assert [r["doc_id"] for r in nd.keep_one_of_each_group(mixed).collect()] == [3]

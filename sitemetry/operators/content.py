@@ -194,22 +194,31 @@ def content_clusters(plan: DataFrame, most: int = 6) -> DataFrame:
     return plan.select("crawl_run_id", "place", "topic").groupBy("crawl_run_id").applyInPandas(cluster, "crawl_run_id string, cluster string, topics array<string>")
 
 
-def content_link_suggestions(plan: DataFrame, pages: DataFrame, edges: DataFrame, most: int = 8, pages_of_topic: int = 64) -> DataFrame:
+def content_link_suggestions(plan: DataFrame, pages: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """(crawl_run_id, place, source, target, topic): pages of a planned topic that don't link each other.
 
     A plan has at most six topics a crawl, so plan and pages meet on the crawl. Only the first eight
-    pairs of a crawl are kept, from the first ``pages_of_topic`` pages of each topic.
+    pairs of a crawl are kept. As long as earlier topics have fewer than ``most`` pairs, the first
+    2 * ``most`` of a topic hold enough new ones; these start at its first 4 * ``most`` pages with an
+    unlinked partner (see ``unlinked_topic_pairs``), and only such pages meet all pages of the topic.
     """
     words = F.filter(F.split(F.lower("topic"), "[^a-z0-9]+"), lambda w: F.length(w) > 3)
     topics = plan.select("crawl_run_id", F.col("place").alias("t"), "topic", words.alias("w"))
     text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower("url"))
     shown = pages.select("crawl_run_id", "page_seq", link_key(F.col("url")).alias("key"), text.alias("text"))
     hits = topics.join(shown, "crawl_run_id").where(F.exists("w", lambda w: F.contains(F.col("text"), w)))
-    nth = F.row_number().over(Window.partitionBy("crawl_run_id", "t").orderBy("page_seq"))
-    hits = hits.withColumn("n", nth).where(F.col("n") <= pages_of_topic).select("crawl_run_id", "t", "topic", "n", "key")
-    a, b = hits.select("crawl_run_id", "t", "topic", F.col("n").alias("i"), F.col("key").alias("source")), hits.select("crawl_run_id", "t", F.col("n").alias("j"), F.col("key").alias("target"))
-    pairs = a.join(b, ["crawl_run_id", "t"]).where("i < j and source != target")
-    both = edges.select("crawl_run_id", "source", "target").union(edges.select("crawl_run_id", "target", "source")).distinct()
+    group = ["crawl_run_id", "t"]
+    hits = hits.where("key is not null").groupBy(*group, "topic", "key").agg(F.min("page_seq").alias("seq"))
+    hits = hits.select(*group, "topic", F.struct("seq", "key").alias("i"), F.col("key").alias("source"))
+    targets = hits.select(*group, F.col("i").alias("j"), F.col("source").alias("target"))
+    both = edges.select("crawl_run_id", "source", "target").union(edges.select("crawl_run_id", "target", "source")).where("source != target").distinct()
+    linked = both.join(hits.select(*group, "source"), ["crawl_run_id", "source"]).join(targets.drop("j"), [*group, "target"], "left_semi")
+    partners = linked.groupBy(*group, "source").agg(F.count(F.lit(1)).alias("linked"))
+    sizes = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("pages"))
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("i"))
+    starts = hits.join(partners, [*group, "source"], "left").join(sizes, group).where("pages - 1 > coalesce(linked, 0)")
+    starts = starts.withColumn("n", nth).where(F.col("n") <= 4 * most).drop("n", "linked", "pages")
+    pairs = starts.join(targets, group).where("i < j")
     open_ = pairs.join(both, ["crawl_run_id", "source", "target"], "left_anti").withColumn("pair", F.sort_array(F.array("source", "target")))
     first = F.row_number().over(Window.partitionBy("crawl_run_id", "pair").orderBy("t", "i", "j"))
     place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("t", "i", "j"))

@@ -14,10 +14,6 @@ from .topics import best_topics, core_topics, extract_topics, page_profiles, sit
 
 COLUMNS = ["crawl_run_id", "query", "opportunity_type", "relevance", "impact", "confidence", "reason", "suggested_action", "related_page_id", "related_page_url", "evidence_pages", "evidence_phrases", "gen_ord"]
 
-#: Pages of a topic that take part in pairs. Only the first two pairs of a crawl are kept, so more
-#: pages matter only where the first ones are nearly all linked with each other.
-PAIR_PAGES = 64
-
 
 def scored(rows: DataFrame) -> DataFrame:
     """Parts of the score rounded and clamped, total, priority, coverage."""
@@ -228,15 +224,26 @@ def orphan_pages(rows: DataFrame) -> DataFrame:
 
 
 def unlinked_topic_pairs(profiles: DataFrame, on_pages: DataFrame, core: DataFrame, most: int = 2) -> DataFrame:
-    """The first pairs of pages dedicated to the same core topic that don't link each other."""
+    """The first pairs of pages dedicated to the same core topic that don't link each other.
+
+    A page is open if it has fewer linked partners than its topic has other pages, which needs counts
+    only. An open page's unlinked partner is open too, so the first 2 * ``most`` open pages of a crawl
+    start ``most`` pairs at least (or all there are), and any other pair comes later: only these pages
+    meet all pages of their topic.
+    """
+    topic = ["crawl_run_id", "term"]
     facts = profiles.select("crawl_run_id", "page_id", "url", "internal_links")
-    own = on_pages.where("dedicated").join(core.where("dedicated_pages >= 2").select("crawl_run_id", "term", "doc_freq", "topic_rank"), ["crawl_run_id", "term"])
-    place = F.row_number().over(Window.partitionBy("crawl_run_id", "term").orderBy("page_seq"))
-    own = own.withColumn("place", place).where(F.col("place") <= PAIR_PAGES)
-    side = own.join(facts, ["crawl_run_id", "page_id"]).select("crawl_run_id", "term", "doc_freq", "topic_rank", "place", F.struct("page_id", "url", "internal_links").alias("p"))
-    a, b = side.withColumnRenamed("p", "a").withColumnRenamed("place", "i"), side.select("crawl_run_id", "term", F.col("place").alias("j"), F.col("p").alias("b"))
-    links = lambda x, y: F.coalesce(F.array_contains(F.col(f"{x}.internal_links"), F.col(f"{y}.url")), F.lit(False))
-    pairs = a.join(b, ["crawl_run_id", "term"]).where("i < j").where(~links("a", "b") & ~links("b", "a"))
+    own = on_pages.where("dedicated").join(core.where("dedicated_pages >= 2").select(*topic, "doc_freq", "topic_rank"), topic)
+    side = own.join(facts, ["crawl_run_id", "page_id"]).select(*topic, "doc_freq", "topic_rank", F.struct("page_seq", "page_id").alias("i"), F.struct("page_id", "url").alias("a"), "internal_links")
+    to = side.select(*topic, F.col("i").alias("j"), F.col("a.url").alias("url"))
+    linked = side.select(*topic, "i", F.explode("internal_links").alias("url")).join(to, [*topic, "url"]).where("i != j").select(*topic, "i", "j")
+    linked = linked.union(linked.select(*topic, "j", "i")).distinct()
+    partners = linked.groupBy(*topic, "i").agg(F.count(F.lit(1)).alias("linked"))
+    sizes = side.groupBy(*topic).agg(F.count(F.lit(1)).alias("pages"))
+    starts = side.drop("internal_links").join(partners, [*topic, "i"], "left").join(sizes, topic).where("pages - 1 > coalesce(linked, 0)")
+    nth = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("topic_rank", "i"))
+    starts = starts.withColumn("k", nth).where(F.col("k") <= 2 * most).drop("k", "linked", "pages")
+    pairs = starts.join(side.select(*topic, F.col("i").alias("j"), F.col("a").alias("b")), topic).where("i < j").join(linked, [*topic, "i", "j"], "left_anti")
     first = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("topic_rank", "i", "j"))
     pairs = pairs.withColumn("k", first).where(F.col("k") <= most)
     df = F.col("doc_freq")

@@ -105,3 +105,51 @@ def test_sites_and_snapshots(spark):
     snaps = spark.createDataFrame([("a", datetime(2024, 1, 1, 6)), ("b", datetime(2024, 1, 1, 5, 59))], "site_url string, fetched_at timestamp")
     got = metrics.snapshot_freshness(spark.createDataFrame([("a",), ("b",), ("c",)], "site_url string"), snaps, datetime(2024, 1, 1, 12))
     assert {r["site_url"]: r["stale"] for r in got.collect()} == {"a": False, "b": True, "c": True}
+
+
+def test_first_unlinked_pairs_of_any_topic_size(spark):
+    """Against all pairs: random links, and topics whose first 70 pages link each other."""
+    r = random.Random(4)
+    pages, hits, core = [], [], []
+    for c, (n, share, menu) in enumerate([(9, 0.5, 0), (9, 0.9, 0), (8, 1.0, 0), (75, 0.0, 70), (73, 0.0, 72), (5, 0.0, 0)]):
+        for t in range(2):
+            ids = [f"{t}-{i:03}" for i in range(n)]
+            core.append((f"c{c}", f"t{t}", n, n, t + 1))
+            for i, x in enumerate(ids):
+                links = [f"u{y}" for j, y in enumerate(ids) if j != i and (r.random() < share or (i < menu and j < menu))]
+                pages.append((f"c{c}", x, f"u{x}", links or None))
+                hits.append((f"c{c}", f"t{t}", x, 100 * t + i, True))
+    profiles = spark.createDataFrame(pages, "crawl_run_id string, page_id string, url string, internal_links array<string>")
+    on_pages = spark.createDataFrame(hits, "crawl_run_id string, term string, page_id string, page_seq int, dedicated boolean")
+    topics_ = spark.createDataFrame(core, "crawl_run_id string, term string, doc_freq int, dedicated_pages int, topic_rank int")
+    links = {(c, p): set(x or []) for c, p, _, x in pages}
+    want = []
+    for c in sorted({x[0] for x in pages}):
+        found = [(c, t, a, b) for (d, t, a, i, _) in hits if d == c for (e, u, b, j, _) in hits if e == c and u == t and i < j and f"u{b}" not in links[c, a] and f"u{a}" not in links[c, b]]
+        want += found[:2]
+    got = opportunities.unlinked_topic_pairs(profiles, on_pages, topics_).orderBy("crawl_run_id", "gen_ord").collect()
+    assert [(x["crawl_run_id"], x["query"], *(e["id"] for e in x["evidence_pages"])) for x in got] == want
+
+
+def test_first_link_suggestions_of_any_topic_size(spark):
+    from sitemetry.operators import content
+    from sitemetry.operators.links import link_key
+
+    plan = spark.createDataFrame([("c", 1, "alpha"), ("c", 2, "alphabet"), ("d", 1, "alpha")], "crawl_run_id string, place int, topic string")
+    n = 74
+    pages = [(c, i, f"https://x.org/{c}{i:03}", "alpha" if c == "d" or i % 2 or i < 60 else "alphabet") for c in "cd" for i in range(n)]
+    df = spark.createDataFrame(pages, "crawl_run_id string, page_seq int, url string, title string")
+    keys = {(r["crawl_run_id"], r["page_seq"]): r["k"] for r in df.withColumn("k", link_key(F.col("url"))).collect()}
+    linked = {(c, i, j) for c in "cd" for i in range(n) for j in range(n) if i != j and (max(i, j) < 71 or (c == "c" and max(i, j) < 73))}
+    edges = spark.createDataFrame([(c, keys[c, i], keys[c, j]) for c, i, j in linked], "crawl_run_id string, source string, target string")
+    want = []
+    for c in "cd":
+        seen = []
+        for t in ("alpha", "alphabet") if c == "c" else ("alpha",):
+            has = [i for d, i, _, title in pages if d == c and t in title]
+            for i in has:
+                for j in has:
+                    if i < j and (c, i, j) not in linked and (i, j) not in [s[:2] for s in seen]:
+                        seen.append((i, j, t))
+        want += [(c, k + 1, keys[c, i], keys[c, j], t) for k, (i, j, t) in enumerate(seen[:8])]
+    assert sorted(map(tuple, content.content_link_suggestions(plan, df, edges).collect())) == want

@@ -25,14 +25,16 @@ from pyspark.sql.window import Window
 
 #: Rows in an index block and queries in a query block, about.
 INDEX_ROWS, QUERY_ROWS = 16_384, 384
-#: Scaled components are held within plus or minus this, so that sums fit 64 bits.
-MOST = 1 << 24
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, q) with q = floor(scale * x), without vectors that are null or hold null or non-finite components."""
+    """(vec_id, q) with q = floor(scale * x), without vectors that are null or hold null or non-finite components.
+
+    Components are 64-bit integers; the query fails on one that doesn't fit, it is never changed.
+    """
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    q = F.transform("embedding", lambda x: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(x.cast("double") * scale))).cast("int"))
+    fits = lambda y: F.when((y >= -(2.0**63)) & (y < 2.0**63), F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("bigint"))
+    q = F.transform("embedding", lambda x: fits(x.cast("double") * scale))
     return vectors.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), q.alias("q"))
 
 
@@ -40,11 +42,11 @@ def slice_block(values: np.ndarray) -> tuple[np.ndarray, int]:
     """Bitmaps (dims, digits, words) of values (rows, dims) and the offset that makes them non-negative."""
     low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
     digits = max(1, (high - low).bit_length())
-    raised = np.ascontiguousarray((values.astype(np.int64) - low).T)
+    raised = np.ascontiguousarray((values.astype(np.int64).view(np.uint64) - np.uint64(low % 2**64)).T)  # wraps to the right value
     rows = values.shape[0]
     packed = np.zeros((values.shape[1], digits, -(-rows // 64) * 8), np.uint8)
     for s in range(digits):
-        packed[:, s, : -(-rows // 8)] = np.packbits((raised >> s) & 1, axis=1, bitorder="little")
+        packed[:, s, : -(-rows // 8)] = np.packbits(((raised >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little")
     return packed.view(np.uint64), low
 
 
@@ -78,12 +80,13 @@ def add_slices(columns: list[list[np.ndarray]]) -> np.ndarray:
 def score_slices(planes: np.ndarray, query: np.ndarray) -> np.ndarray | None:
     """Slices of the query's scores for all rows, up to one constant; None if all scores are equal."""
     digits = planes.shape[1]
-    weights = np.abs(query)
+    plain = query.astype(np.int64).view(np.uint64)
+    weights = np.where(query < 0, ~plain + np.uint64(1), plain)
     # A negative weight adds the complement of its attribute instead: the same up to a constant.
     signed = planes ^ np.where(query < 0, np.uint64(2**64 - 1), np.uint64(0))[:, None, None]
     columns: list[list[np.ndarray]] = [[] for _ in range(digits + int(weights.max(initial=0)).bit_length())]
     for bit in range(int(weights.max(initial=0)).bit_length()):
-        chosen = signed[(weights >> bit) & 1 == 1]
+        chosen = signed[(weights >> np.uint64(bit)) & np.uint64(1) == 1]
         if len(chosen):
             for s in range(digits):
                 columns[bit + s].append(chosen[:, s])
@@ -116,6 +119,17 @@ def select_top(slices: np.ndarray | None, alive: np.ndarray, k: int) -> np.ndarr
     return np.concatenate((_first_bits(chosen, have), _first_bits(edge, k - have)))
 
 
+def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows with the query; in arbitrary precision where 64 bits could overflow."""
+    most = lambda x: max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0
+    if most(values) * most(query) * len(query) < 2**63:
+        return values @ query
+    exact = values.astype(object) @ query.astype(object)
+    if any(not -(2**63) <= x < 2**63 for x in exact):
+        raise OverflowError("a score is beyond 64 bits")
+    return exact.astype(np.int64)
+
+
 def _build(dims: int):
     """Index rows from (block, vec_id, q) sorted by block and vec_id."""
 
@@ -127,7 +141,7 @@ def _build(dims: int):
     def padded(column: pa.ListArray) -> np.ndarray:
         ends = column.offsets.to_numpy()
         sizes, flat = np.diff(ends), column.values.to_numpy()
-        out = np.zeros((len(column), dims), np.int32)
+        out = np.zeros((len(column), dims), np.int64)
         rows = np.repeat(np.arange(len(column)), sizes)
         out[rows, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)] = flat[ends[0] : ends[-1]]
         return out
@@ -149,7 +163,7 @@ def _build(dims: int):
         if ids:
             yield pa.RecordBatch.from_pylist([one(current, ids, values)], schema)
 
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("planes", pa.binary()), ("digits", pa.int32()), ("low", pa.int32()), ("values", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("planes", pa.binary()), ("digits", pa.int32()), ("low", pa.int64()), ("values", pa.binary())])
     return run
 
 
@@ -157,7 +171,7 @@ def build_index(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
     """One row for each block of (vec_id, q): ids, bitmaps and values, in the order of ids."""
     blocks = max(1, -(-rows // INDEX_ROWS))
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "q")
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "vec_id").mapInArrow(_build(dims), "block int, ids binary, planes binary, digits int, low int, values binary")
+    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "vec_id").mapInArrow(_build(dims), "block int, ids binary, planes binary, digits int, low bigint, values binary")
 
 
 def _search(dims: int, k: int):
@@ -165,7 +179,7 @@ def _search(dims: int, k: int):
         for frame in frames:
             for row in frame.itertuples():
                 ids = np.frombuffer(row.ids, np.int64)
-                values = np.frombuffer(row.values, np.int32).reshape(len(ids), dims)
+                values = np.frombuffer(row.values, np.int64).reshape(len(ids), dims)
                 planes = np.frombuffer(row.planes, np.uint64).reshape(dims, row.digits, -1)
                 everyone = np.packbits(np.arange(planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
                 found = []
@@ -176,7 +190,7 @@ def _search(dims: int, k: int):
                     for own in range(*np.searchsorted(ids, [query_id, query_id + 1]).tolist()):
                         alive[own // 64] &= ~np.uint64(1 << (own % 64))
                     top = select_top(score_slices(planes, query), alive, k)
-                    found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": values[top].astype(np.int64) @ query}))
+                    found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": exact_scores(values[top], query)}))
                 if found:
                     yield pd.concat(found, ignore_index=True)
 

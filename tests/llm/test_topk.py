@@ -61,3 +61,15 @@ def test_slices_add_up():
     total = (bits << np.arange(len(slices))[:, None]).sum(axis=0)
     exact = values.astype(np.int64) @ query
     assert len(set((total - exact).tolist())) == 1
+
+
+def test_large_components_are_not_changed(spark):
+    r = random.Random(3)
+    rows = [(i, [r.uniform(-4e6, 4e6) for _ in range(4)]) for i in range(60)]
+    rows += [(100, [1e5, 1.0]), (101, [1e5, 0.0]), (102, [7e4, 0.0]), (150, [1.0 / 256]), (200, [0.0, 0.0, 0.0, 2.0**-8]), (201, [0.0, 0.0, 0.0, 2.0**54]), (202, [0.0, 0.0, 0.0, -(2.0**54)])]
+    # query 150 reads the first component as it is: 25,600,000 for 100,000
+    small = [x for x in rows if x[0] in (101, 102, 150, 200, 201, 202)]
+    assert got(table(spark, small)) == brute(small)
+    assert (150, 1, 101, 25_600_000) in got(table(spark, small))
+    rows = [x for x in rows if x[0] < 150]
+    assert got(table(spark, rows)) == brute(rows)

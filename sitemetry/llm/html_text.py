@@ -58,6 +58,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORDS = re.compile(r"[a-z0-9]+").findall
 _SPACE = re.compile(r"\s+")
+#: A page without such a tag has no content element.
+_LABEL = rf"(?i)<({'|'.join(sorted(CONTENT))})[\s/>]"
 
 
 def _marked(tag: str, attributes: str, in_content: bool) -> str | None:
@@ -159,11 +161,11 @@ def _counts(page: str) -> Counter:
 
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
-    """Weights of features from at most SAMPLE_PAGES pages, picked by a hash of the page.
+    """Weights of features from at most SAMPLE_PAGES pages with an article or main tag, picked by a hash of the page.
 
     Log-odds of standing in a content element, within plus or minus 4; tags between -0.3 and -0.05.
     """
-    rows = pages.where("html is not null").select("html", F.xxhash64("html").alias("draw"))
+    rows = pages.where(F.col("html").rlike(_LABEL)).select("html", F.xxhash64("html").alias("draw"))
     total = max(1, rows.count())
     share = min(1.0, 1.5 * SAMPLE_PAGES / total)
     sample = rows.where(F.pmod("draw", F.lit(1 << 40)) < int(share * (1 << 40))).orderBy("draw").limit(SAMPLE_PAGES).select("html")
@@ -196,8 +198,8 @@ def _score(item: tuple, weights: dict[str, float]) -> float:
     if not (words := len(text.split())):
         return 0.0
     if left_out:
-        # Marked parts are no content; inside an article they must not tear it apart.
-        return weights.get(f"word {container} {element} {link}", -0.05) * words if container in ("menu", "footer", "header") else -0.05 * words
+        # Marked parts are no content; inside an article they must not tear it apart, and never draw the stretch.
+        return min(0.0, weights.get(f"word {container} {element} {link}", -0.05)) * words if container in ("menu", "footer", "header") else -0.05 * words
     specific = weights.get(f"word {container} {element} {link}")
     if specific is None:
         specific = weights.get(f"word {element} {link}", LINK_WORD if link else PLAIN_WORD)
@@ -219,6 +221,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     if best <= 0:
         return ""
     ends = [i for i in range(best_from, best_to) if items[i][0] == "text" and not items[i][3]]
+    if not ends:
+        return ""
     first, last = items[ends[0]][4], items[ends[-1]][4]  # whole blocks only
     blocks: dict[int, list[str]] = {}
     for item in items:

@@ -51,3 +51,17 @@ def test_given_pages_against_a_plain_cut(spark):
         inner = re.sub(r"</?b>", "", rest.partition("</article>")[0]).replace("<br>", " ")
         blocks = (re.sub(r"\s+", " ", unescape(b)).strip() for b in re.split(r"<[^>]*>", inner))
         assert got[row["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_left_out_words_never_draw_the_stretch(spark):
+    banner = "<div class='banner'>" + "many words of a banner here " * 5 + "</div>"
+    pages = [f"<article>{banner}<p>Kept {i} text.</p></article>" for i in range(40)] + [f"<html><body>{banner}</body></html>"]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(table(spark, pages)).collect()}
+    assert got == {**{i: f"Kept {i} text." for i in range(40)}, 40: ""}
+
+
+def test_weights_come_from_rare_labelled_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 30)
+    labelled = [PAGE.replace("{}", f"Paragraph {i} has words of its own.") for i in range(20)]
+    alone = html_text.learn_weights(table(spark, labelled))
+    assert alone and html_text.learn_weights(table(spark, [*labelled, *(f"<p>plain page {i}</p>" for i in range(2000))])) == alone

@@ -1,51 +1,194 @@
-"""Substring deduplication by sliding spans of sentences (DataFrame functions only).
-
-A text is cut into units: sentences, and pieces of ``UNIT_WORDS`` words of longer ones, each
-with the white space before it. Every run of ``SPAN`` consecutive units with at least
-``MIN_WORDS`` words is hashed to 128 bits over its lower-cased letters and digits, and joined
-globally. The first occurrence of a span, by (doc_id, place), stays; units covered by any
-other occurrence go. A run that many documents share is one row of the join's smaller side;
-its occurrences are rows of the other side, which the engine splits where they pile up.
+"""Substring deduplication by sliding spans of sentences.
+
+1. *Units.* A text is cut into sentences: they end at a sentence mark of any script and at the
+   end of a line. A sentence of more than ``LONG`` words (a table, a transcript without marks) is
+   cut further after its anchor words, and every ``LONG`` words where none comes. Whether a word is
+   an anchor depends on the word alone, so a passage is cut at the same words wherever it stands.
+2. *Spans.* From every unit the shortest run onwards, and to every unit the shortest run up to
+   it, of at least ``SPAN`` units and ``MIN_WORDS`` words is hashed to 128 bits over its
+   lower-cased letters and digits. So every run that long has all its units in spans.
+3. *Global join.* Spans are written once. The first occurrence of a span, by (doc_id, place),
+   stays; units covered by any other occurrence go. Spans that pile up beyond a bound are few by
+   that bound and meet their occurrences in a broadcast join; the others meet in a shuffled one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: Words in a unit at most, units in a span, words that a span must have at least.
-UNIT_WORDS, SPAN, MIN_WORDS = 12, 3, 10
-
-_WORD, _BLANK = r"[^ \t\n\r\f]", r"[ \t\n\r\f]"
-#: Up to UNIT_WORDS words; a word that ends a sentence or a line ends the unit.
-UNIT = rf"({_BLANK}*(?:{_WORD}*[^ \t\n\r\f.!?][ \t\r\f]+){{0,{UNIT_WORDS - 1}}}{_WORD}+)"
-
-
-def units_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(1))
-
+import hashlib
+import re
+from collections.abc import Iterator
 
-def _normal(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
-
-
-def _words(normal: Column) -> Column:
-    return F.when(normal == "", 0).otherwise(F.size(F.split(normal, " ")))
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .runtime import cut_lineage, join_counted, measured, pieces, shared_table
+
+#: Units in a span and words in a span, at least.
+SPAN, MIN_WORDS = 2, 20
+#: A sentence of more words is cut after its anchors: one word in ANCHOR, by its MD5.
+LONG, ANCHOR = 40, 16
+
+# Unicode ranges of scripts without blanks (Thai, Lao, Myanmar, Khmer, kana, Han), in
+# which each character is a word; punctuation; and marks that end a sentence.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+PUNCTUATION = "!-/:-@\\[-`{-~\u2010-\u205e\u3000-\u303f\uff01-\uff0f\uff1a-\uff20"
+MARKS = ".!?\u2026\u3002\uff01\uff1f\u0964\u0965\u061f\u06d4"
+BLANK = " \\t\\n\\r\\f"
+#: A word with the white space before it and the marks around it; a text is its tokens and white space at its end.
+TOKEN = f"[{BLANK}]*(?:[{UNSPACED}][{PUNCTUATION}]*|[^{BLANK}{UNSPACED}]+)"
+
+_tokens = re.compile(TOKEN).findall
+_ends = re.compile(rf"[{MARKS}][\W_]*\Z").search
+_no_word = re.compile(r"[\W_]+")
+_STRIPPED = " \t\n\r\f.,;:!?\"'()*#-"
+WORDED, ENDS, OPENS, ANCHORED = 1, 2, 4, 8
+#: Different tokens that a task remembers between texts, about.
+_REMEMBERED = 1 << 18
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class _Words(dict):
+    """Numbers of tokens, with the MD5 of each one's word and its traits."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests, self.traits = bytearray(), bytearray()
+
+    def __missing__(self, token: str) -> int:
+        word = token.lower().strip(_STRIPPED)
+        if not word.isalnum():
+            word = _no_word.sub("", word)
+        digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        ends = not token[-1].isalnum() and _ends(token) is not None
+        self.digests += digest
+        self.traits.append((word != "") * WORDED + ends * ENDS + ("\n" in token) * OPENS + (digest[0] < 256 // ANCHOR) * ANCHORED)
+        k = self[token] = len(self)
+        return k
+
+
+class Reader:
+    """Cuts texts into units and hashes their spans; remembers a bounded number of tokens between texts."""
+
+    def __init__(self):
+        self.words = _Words()
+        self.powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        self.inverses = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def _tables(self, n: int) -> None:
+        """Powers of both bases and of their inverses, up to the n-th."""
+        if n < len(self.powers[0]):
+            return
+        for i, base in enumerate(_BASES):
+            inverse = np.uint64(pow(int(base), -1, 2**64))
+            for tables, factor in ((self.powers, base), (self.inverses, inverse)):
+                steps = np.full(2 * n + 1, factor, np.uint64)
+                steps[0] = 1
+                tables[i] = np.cumprod(steps)
+
+    def units(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the word tokens, the first word of each unit, and the place in the text where each unit starts."""
+        if len(self.words) > _REMEMBERED:
+            self.words = _Words()
+        tokens = _tokens(text)
+        ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+        traits = np.frombuffer(self.words.traits, np.uint8)[ids]
+        worded = traits & WORDED > 0
+        before = traits & OPENS > 0
+        before[1:] |= (traits & ENDS > 0)[:-1]
+        sentence = np.cumsum(before)[worded]
+        places = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))))[:-1][worded]
+        if not len(sentence):
+            return ids[:0], places, places
+        new = np.zeros(len(sentence), bool)
+        new[0] = True
+        new[1:] = np.diff(sentence) > 0
+        number = np.cumsum(new) - 1
+        long = (np.bincount(number) > LONG)[number]
+        if long.any():
+            new[1:] |= (long & (traits[worded] & ANCHORED > 0))[:-1]
+            within = np.arange(len(new)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            new |= long & (within % LONG == 0)
+        first = np.flatnonzero(new)
+        starts = places[first]
+        starts[0] = 0
+        return ids[worded], first, starts
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, at, units) of every span: its hash, the number of its first unit, and how many it has."""
+        ids, first, _ = self.units(text)
+        n = len(first)
+        if n < SPAN:
+            none = np.empty(0, np.int64)
+            return none, none, none, none
+        ends = np.append(first[1:], len(ids))  # words up to the end of each unit
+        at = np.arange(n)
+        to = np.maximum(at + SPAN - 1, np.searchsorted(ends, first + MIN_WORDS))
+        back = np.minimum(at - SPAN + 1, np.searchsorted(first, ends - MIN_WORDS, side="right") - 1)
+        runs = np.unique(np.concatenate((at[to < n] * n + to[to < n], back[back >= 0] * n + at[back >= 0])))
+        start, stop = runs // n, runs % n
+        self._tables(len(ids))
+        digests = np.frombuffer(self.words.digests, np.uint64).reshape(-1, 2)[ids]
+        hashes = []
+        for i in range(2):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests[:, i] * self.powers[i][: len(ids)])))
+            h = (sums[ends[stop]] - sums[first[start]]) * self.inverses[i][first[start]]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes.append((h ^ (h >> np.uint64(29))).view(np.int64))
+        return hashes[0], hashes[1], start, stop - start + 1
+
+    def without(self, text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+        """The text without the units of (at, units), and how many units those are."""
+        _, _, starts = self.units(text)
+        gone = np.zeros(len(starts) + 1, np.int64)
+        for at, units in spans:
+            gone[at] += 1
+            gone[at + units] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        places = [*starts.tolist(), len(text)]
+        left = "".join(text[places[i] : places[i + 1]] for i in np.flatnonzero(~gone))
+        return left.lstrip(" \t\n\r\f"), int(gone.sum())
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    """Every span: its hash (a, b), its document and the place of its first unit."""
-    units = rows.select("__doc", "__text_hash", F.transform(units_of(F.col("__text")), _normal).alias("u")).where(F.size("u") >= SPAN)
-    counted = units.withColumn("n", F.transform("u", _words))
-    u, n = F.col("u"), F.col("n")
-
-    def span(i: Column) -> Column:
-        run = [F.get(u, i + j) for j in range(SPAN)]
-        enough = sum((F.get(n, i + j) for j in range(1, SPAN)), F.get(n, i)) >= MIN_WORDS
-        return F.when(enough, F.struct(F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(1), *run).alias("b"), i.alias("at")))
-
-    spans = F.filter(F.transform(F.sequence(F.lit(0), F.size("u") - SPAN), span), lambda s: s.isNotNull())
-    return counted.select("__doc", "__text_hash", F.explode(spans).alias("s")).select("s.a", "s.b", "__doc", "__text_hash", "s.at")
+    """(a, b, doc, text_hash, at, units): every span of (doc, text_hash, text)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()), ("units", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in pieces(batches, 64):
+            found, owner = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                spans = reader.spans(text)
+                found.append(spans)
+                owner.append(np.full(len(spans[0]), i))
+            a, b, at, units = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner = np.concatenate(owner)
+            docs, keys = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(docs), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(units.astype(np.int32))], schema=schema)
+
+    return rows.select("doc", "text_hash", "text").where("text is not null").mapInArrow(run, "a bigint, b bigint, doc bigint, text_hash bigint, at int, units int")
+
+
+def later_spans(rows: DataFrame) -> DataFrame:
+    """(doc, text_hash, spans): the spans of each row that are not the first occurrence."""
+    with shared_table(spans_of(rows), "spans") as spans:
+        place = F.struct("doc", "text_hash", "at")
+        repeated = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+        repeated = cut_lineage(repeated.where("first != last").select("a", "b", "first", "n"))
+        met = join_counted(spans, repeated, ["a", "b"], spans.count())
+        later = met.where(place != F.col("first")).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("at", "units")).alias("spans"))
+        return cut_lineage(later)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
+def _without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    reader = Reader()
+    cut = [(None, 0) if s is None else reader.without(t, [(x["at"], x["units"]) for x in s]) for t, s in zip(text, spans, strict=True)]
+    return pd.DataFrame(cut, columns=["text", "removed"])
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -53,29 +196,23 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     Texts that lose nothing are returned as they were, to the letter.
 
-    Defined cases: a null text stays null and an empty one empty; texts of fewer than three units
-    have no span; a text that lost everything is empty and its row stays; occurrences tie by hash of
-    the text where doc_ids are equal, and wholly equal rows count as one, so none of them loses to
-    the other; a null doc_id comes before all others; other columns are kept; an empty table gives
-    an empty one.
+    Defined cases: a null text stays null and an empty one empty; texts of fewer than ``SPAN`` units
+    or ``MIN_WORDS`` words have no span; a text that lost everything is empty and its row stays;
+    occurrences tie by hash of the text where doc_ids are equal, and wholly equal rows count as one,
+    so none of them loses to the other; a null doc_id comes before all others; other columns are
+    kept; an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != "removed_units"]
     names = {c: f"__in_{i}" for i, c in enumerate(kept)}
     rows = docs.select(
         *[F.col(c).alias(n) for c, n in names.items()],
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("__doc"),
-        F.xxhash64("text").alias("__text_hash"),
-        F.col("text").alias("__text"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+        F.col("text").cast("string").alias("text"),
     )
-    spans = spans_of(rows)
-    place = F.struct("__doc", "__text_hash", "at")
-    repeated = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first")
-    later = spans.join(repeated, ["a", "b"]).where(place != F.col("first"))
-    covered = later.groupBy("__doc", "__text_hash").agg(F.collect_set("at").alias("starts"))
-    found = rows.join(covered, ["__doc", "__text_hash"], "left").withColumn("__units", F.when(F.col("starts").isNotNull(), units_of(F.col("__text"))))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (SPAN - 1)))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__units") - 1), gone)
-    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("__units"), i)), "")
-    text = F.when(F.col("starts").isNull(), F.col("__text")).otherwise(F.regexp_replace(left, rf"^{_BLANK}+", ""))
-    removed = F.coalesce(F.size("__units") - F.size(stay), F.lit(0)).cast("bigint")
-    return found.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()], F.when(F.col("starts").isNull(), F.lit(0).cast("bigint")).otherwise(removed).alias("removed_units"))
+    later = measured(later_spans(rows), 40 + 16 * F.size("spans"))
+    found = rows.join(later, ["doc", "text_hash"], "left").withColumn("hit", F.col("spans").isNotNull())
+    found = found.withColumn("cut", _without(F.when(F.col("hit"), F.col("text")), F.col("spans")))
+    text = F.when(F.col("hit"), F.col("cut.text")).otherwise(F.col("text"))
+    removed = F.when(F.col("hit"), F.col("cut.removed")).otherwise(F.lit(0).cast("bigint"))
+    return found.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()], removed.alias("removed_units"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .passages import UNIT
-from .url_filter import CHILD_SHARE, LEVELS, MOST_CHILDREN, PRIOR_BAD, PRIOR_WEIGHT, REJECT_AT, SAME_BELOW
+from .passages import LONG, MARKS, MIN_WORDS, SPAN, TOKEN
+from .url_filter import CHILD_SHARE, MOST_CHILDREN, PRIOR_BAD, PRIOR_WEIGHT, REJECT_AT, SAME_BELOW
 
 OP2 = r"""
 WITH turns AS (
@@ -33,13 +33,13 @@ WITH RECURSIVE counts AS (
   SELECT source, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY source
 ), drawn AS (
   SELECT d.*, list_sum(list_transform(range(1, r.draws + 1), lambda i: len(list_filter(c.cdfs, lambda x:
-      x <= ('0x' || substr(md5('0|' || coalesce(d.doc_id::VARCHAR, '') || '|' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE))))::INTEGER AS n
+      x <= ('0x' || substr(md5('0|' || coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))) || '|' || i), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE))))::INTEGER AS n
   FROM documents d JOIN draws r ON r.source = coalesce(d.source, '') JOIN cdfs c ON c.source = r.source
 ), copies AS (
   SELECT *, unnest(range(1, n + 1))::INTEGER AS mix_copy FROM drawn
 )
 SELECT doc_id, text, lang, source, n_chars, mix_copy,
-  ('0x' || substr(md5('order0|' || coalesce(doc_id::VARCHAR, '') || '|' || mix_copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS mix_order
+  ('0x' || substr(md5('order0|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|' || mix_copy), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS mix_order
 FROM copies
 """
 
@@ -60,16 +60,35 @@ _VARIABLE = (
 )
 
 
+#: Levels of branches with many paths that the SQL below can follow; the operator has no such bound.
+LEVELS = 4
+
+
 def _level(k: int) -> str:
-    """One level of the template tree: branches, the variable ones among them, and the longer templates."""
+    """One level of the template tree: the open paths' branches, the variable ones among them, and the longer templates."""
     return f"""
 h{k} AS (
-  SELECT *, CASE WHEN {_VARIABLE.format(f"seg[{k + 1}]")} THEN '*' ELSE seg[{k + 1}] END AS here FROM t{k}
+  SELECT *, seg[1] AS here, count(*) OVER (PARTITION BY host, names, len(seg) > 0) <= {MOST_CHILDREN} AS few FROM t{k}
 ), w{k} AS (
-  SELECT host, template FROM (SELECT host, template, here, sum(n) AS n FROM h{k} WHERE here IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) > {MOST_CHILDREN} AND count(*) > {CHILD_SHARE}::DOUBLE * sum(n)
+  SELECT host, names FROM (SELECT host, names, here, sum(n) AS n FROM h{k} WHERE here IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) > {MOST_CHILDREN} AND count(*) > {CHILD_SHARE}::DOUBLE * sum(n)
 ), t{k + 1} AS (
-  SELECT h.host, h.path, n, good, bad, seg, CASE WHEN here IS NULL THEN h.template ELSE h.template || '/' || CASE WHEN w.host IS NULL THEN here ELSE '*' END END AS template, CASE WHEN here IS NULL THEN parent ELSE h.template END AS parent
-  FROM h{k} h LEFT JOIN w{k} w ON w.host = h.host AND w.template = h.template
+  SELECT h.host, h.path, n, good, bad, CASE WHEN few THEN [] ELSE seg[2:] END AS seg,
+    CASE WHEN here IS NULL THEN h.names ELSE list_append(h.names, CASE WHEN few THEN array_to_string(seg, '/') WHEN w.host IS NULL THEN here ELSE '*' END) END AS names
+  FROM h{k} h LEFT JOIN w{k} w ON w.host = h.host AND w.names = h.names
+)"""
+
+
+def _judged(k: int) -> str:
+    """The smoothed shares of level k from those of its parents."""
+    return f"""
+f{k} AS (
+  SELECT c.*, p.impurity AS above, p.labels AS above_labels, p.n AS above_n, sum(c.labels) OVER family AS m, sum(c.bad) OVER family AS all_bad
+  FROM nodes c JOIN j{k - 1} p ON c.depth = {k} AND p.host = c.host AND p.names = c.names[:{k - 1}] WINDOW family AS (PARTITION BY c.host, c.names[:{k - 1}])
+), s{k} AS (
+  SELECT *, CASE WHEN labels > 0 AND m > labels THEN CASE WHEN all_bad = 0 OR all_bad = m THEN true
+    ELSE abs(bad / labels - (all_bad - bad) / (m - labels)) / sqrt(all_bad / m * (1 - all_bad / m) * (1 / labels + 1 / (m - labels))) < {SAME_BELOW}::DOUBLE END ELSE false END AS same FROM f{k}
+), j{k} AS (
+  SELECT host, depth, names, n, bad, labels, (CASE WHEN same THEN all_bad ELSE bad END + {PRIOR_WEIGHT}::DOUBLE * ({PRIOR_BAD}::DOUBLE + above_labels / above_n * (above - {PRIOR_BAD}::DOUBLE))) / (CASE WHEN same THEN m ELSE labels END + {PRIOR_WEIGHT}::DOUBLE) AS impurity FROM s{k}
 )"""
 
 
@@ -83,24 +102,29 @@ WITH rest AS (
   SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split
 ), t0 AS (
-  SELECT host, path, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template, '' AS parent
+  SELECT host, path, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN """
+    + _VARIABLE.format("s")
+    + r""" THEN '*' ELSE s END) AS seg, []::VARCHAR[] AS names
   FROM ruled GROUP BY host, path
 ), """
     + ", ".join(_level(k) for k in range(LEVELS))
     + f"""
-, tree AS (
-  SELECT host, path, good, bad, CASE WHEN len(seg) > {LEVELS} THEN template || '/**' ELSE template END AS template, CASE WHEN len(seg) > {LEVELS} THEN template ELSE parent END AS parent FROM t{LEVELS}
-), own AS (
-  SELECT host, parent, template, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad FROM tree GROUP BY 1, 2, 3
-), pairs AS (
-  SELECT *, good + bad AS n, sum(good + bad) OVER family AS m, sum(bad) OVER family AS all_bad FROM own WINDOW family AS (PARTITION BY host, parent)
-), alike AS (
-  SELECT *, CASE WHEN n > 0 AND m > n THEN CASE WHEN all_bad = 0 OR all_bad = m THEN true ELSE abs(bad / n - (all_bad - bad) / (m - n)) / sqrt(all_bad / m * (1 - all_bad / m) * (1 / n + 1 / (m - n))) < {SAME_BELOW}::DOUBLE END ELSE false END AS same FROM pairs
-), judged AS (
-  SELECT host, template, (CASE WHEN same THEN all_bad ELSE bad END + {PRIOR_WEIGHT * PRIOR_BAD}::DOUBLE) / (CASE WHEN same THEN m ELSE n END + {PRIOR_WEIGHT}::DOUBLE) AS impurity FROM alike
+, ends AS (
+  SELECT host, names, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM t{LEVELS} GROUP BY 1, 2
+), nodes AS (
+  SELECT host, depth, names[:depth] AS names, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(good + bad)::DOUBLE AS labels
+  FROM (SELECT *, unnest(range(0, len(names) + 1)) AS depth FROM ends) GROUP BY 1, 2, 3
+), j0 AS (
+  SELECT host, depth, names, n, bad, labels, (bad + {PRIOR_WEIGHT * PRIOR_BAD}::DOUBLE) / (labels + {PRIOR_WEIGHT}::DOUBLE) AS impurity FROM nodes WHERE depth = 0
+), """
+    + ", ".join(_judged(k) for k in range(1, LEVELS + 1))
+    + f"""
+, judged AS (
+  {" UNION ALL ".join(f"SELECT host, names, impurity FROM j{k}" for k in range(LEVELS + 1))}
 )
-SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN r.rule IS NOT NULL OR j.impurity > {REJECT_AT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, t.template, 1 - j.impurity AS purity
-FROM ruled r JOIN tree t ON t.host = r.host AND t.path = r.path JOIN judged j ON j.host = t.host AND j.template = t.template
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN r.rule IS NOT NULL OR j.impurity > {REJECT_AT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+  array_to_string(list_transform(t.names, lambda s: '/' || s), '') AS template, 1 - j.impurity AS purity
+FROM ruled r JOIN t{LEVELS} t ON t.host = r.host AND t.path = r.path JOIN judged j ON j.host = t.host AND j.names = t.names
 """
 )
 
@@ -132,33 +156,50 @@ SELECT w.doc_id, coalesce(r.class_id, w.doc_id) AS class_id, coalesce(c.copy_id,
 FROM words w LEFT JOIN classes c ON len(w.w) > 0 AND c.k = array_to_string(w.w, ' ') LEFT JOIN roots r ON r.node = c.copy_id LEFT JOIN counts n ON n.node = c.copy_id
 """
 
-OP8 = (
-    r"""
-WITH units AS (
-  SELECT doc_id, text, regexp_extract_all(text, '"""
-    + UNIT
-    + r"""', 1) AS u FROM documents
-), normal AS (
-  SELECT doc_id, text, u, list_transform(u, lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))) AS n FROM units
-), spans AS (
-  SELECT doc_id, i, n[i:i + 2] AS run FROM (SELECT doc_id, n, unnest(range(1, len(n) - 1)) AS i FROM normal)
-), long_enough AS (
-  SELECT * FROM spans WHERE list_sum(list_transform(run, lambda x: CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END)) >= 10
+OP8 = rf"""
+WITH tokens AS (
+  SELECT doc_id, unnest(t) AS t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN.replace("'", "''")}') AS t FROM documents)
+), marked AS (
+  SELECT *, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', '', 'g') AS w, regexp_matches(t, '[{MARKS}][^\p{{L}}\p{{N}}]*$') AS ends, regexp_matches(t, '^[ \t\r\f]*\n') AS opens FROM tokens
+), sentences AS (
+  SELECT *, sum(CASE WHEN opens OR before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS s
+  FROM (SELECT *, coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY k), false) AS before FROM marked)
+), words AS (
+  SELECT doc_id, k, w, s, count(*) OVER (PARTITION BY doc_id, s) > {LONG} AS long, md5(w) LIKE '0%' AS anchor FROM sentences WHERE w <> ''
+), pieces AS (
+  SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS piece
+  FROM (SELECT *, coalesce(lag(s) OVER d <> s OR (lag(long) OVER d AND lag(anchor) OVER d), true) AS cut FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY k))
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, piece ORDER BY k) - 1 AS within FROM pieces
+), numbered AS (
+  SELECT doc_id, k, w, sum(CASE WHEN within = 0 OR (long AND within % {LONG} = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS u, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j FROM placed
+), units AS (
+  SELECT doc_id, u::BIGINT AS u, min(k) AS k, min(j) AS first, max(j) AS last FROM numbered GROUP BY 1, 2
+), texts AS (
+  SELECT doc_id, list(w ORDER BY j) AS w FROM numbered GROUP BY 1
+), fitting AS (
+  SELECT a.doc_id, a.u, z.u AS v, a.first, z.last FROM units a JOIN units z ON z.doc_id = a.doc_id AND z.u BETWEEN a.u + {SPAN - 1} AND a.u + {max(SPAN, MIN_WORDS)} AND z.last - a.first + 1 >= {MIN_WORDS}
+), runs AS (
+  SELECT doc_id, u, min(v) AS v FROM fitting GROUP BY 1, 2 UNION SELECT doc_id, max(u), v FROM fitting GROUP BY 1, 3
+), hashed AS (
+  SELECT r.doc_id, r.u, r.v, array_to_string(t.w[a.first:z.last], ' ') AS run
+  FROM runs r JOIN units a ON a.doc_id = r.doc_id AND a.u = r.u JOIN units z ON z.doc_id = r.doc_id AND z.u = r.v JOIN texts t ON t.doc_id = r.doc_id
 ), later AS (
-  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM long_enough) WHERE k > 1
+  SELECT doc_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, u) AS n FROM hashed) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later
-), parts AS (
-  SELECT x.doc_id, string_agg(x.part, '' ORDER BY x.i) AS stay, count(*) AS n
-  FROM (SELECT doc_id, unnest(u) AS part, unnest(range(1, len(u) + 1)) AS i FROM units) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i
-  GROUP BY 1
+  SELECT DISTINCT doc_id, unnest(range(u, v + 1)) AS u FROM later
+), assigned AS (
+  SELECT t.doc_id, t.k, t.t, coalesce(max(u.u) OVER (PARTITION BY t.doc_id ORDER BY t.k), 1) AS u FROM tokens t LEFT JOIN units u ON u.doc_id = t.doc_id AND u.k = t.k
 ), losers AS (
   SELECT doc_id, count(*) AS removed FROM gone GROUP BY 1
+), stays AS (
+  SELECT a.doc_id, string_agg(a.t, '' ORDER BY a.k) AS stay FROM assigned a SEMI JOIN losers l ON l.doc_id = a.doc_id ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.u = a.u GROUP BY 1
+), tails AS (
+  SELECT l.doc_id FROM losers l JOIN (SELECT doc_id, max(u) AS u FROM units GROUP BY 1) m ON m.doc_id = l.doc_id ANTI JOIN gone g ON g.doc_id = m.doc_id AND g.u = m.u
 )
-SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE regexp_replace(coalesce(p.stay, ''), '^[ \t\n\r\f]+', '') END AS text, coalesce(l.removed, 0) AS removed_units
-FROM documents d LEFT JOIN losers l ON l.doc_id = d.doc_id LEFT JOIN parts p ON p.doc_id = d.doc_id
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE regexp_replace(coalesce(s.stay, '') || CASE WHEN e.doc_id IS NULL THEN '' ELSE regexp_extract(d.text, '[ \t\n\r\f]*$') END, '^[ \t\n\r\f]+', '') END AS text, coalesce(l.removed, 0) AS removed_units
+FROM documents d LEFT JOIN losers l ON l.doc_id = d.doc_id LEFT JOIN stays s ON s.doc_id = d.doc_id LEFT JOIN tails e ON e.doc_id = d.doc_id
 """
-)
 
 OP7 = r"""
 WITH q AS (

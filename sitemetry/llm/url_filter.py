@@ -2,25 +2,30 @@
 
 Rules decide the URLs they fit. For the others the method learns from labelled URLs: per host,
 paths form a tree whose variable segments become wildcards, level by level; a template is a
-generalised path. Sibling templates whose labelled shares don't differ statistically are merged,
-and a template is rejected if the smoothed share of its bad labels passes a threshold.
-Everything is counted over distinct (host, path) rows, keyed by host and branch, so a host with a
-third of all pages is combined before it is shuffled.
+generalised path. Under a branch with at most ``MOST_CHILDREN`` different paths nothing can turn out
+variable by number, so those paths are its children as a whole, however long. Sibling branches whose labelled shares don't differ statistically are merged.
+A branch's share of bad labels is smoothed towards what its parent says, and the root's towards a
+prior. The parent counts as far as its pages are labelled: where half of them are, a branch without
+labels lies half-way between the parent's share and the prior. A template is rejected if its
+smoothed share passes a threshold.
+
+Everything is counted over distinct (host, path) rows. A host with a third of all pages is counted
+by branch first, and its rows are joined by broadcast (``join_counted``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut_lineage
+from .runtime import cut_lineage, join_counted
 
-#: Levels of the tree with branches of their own; what lies deeper is one wildcard.
-LEVELS = 5
 #: A branch with more children than this, and more than this share of its pages, is variable.
 MOST_CHILDREN, CHILD_SHARE = 16, 0.3
-#: Pseudo-counts of the smoothing, the share of bad labels they stand for, and the rejected share.
-PRIOR_WEIGHT, PRIOR_BAD, REJECT_AT = 2.0, 0.25, 0.5
+#: Pseudo-labels of the smoothing, the root's share of bad labels, and the rejected share.
+PRIOR_WEIGHT, PRIOR_BAD, REJECT_AT = 1.0, 0.25, 0.5
 #: Siblings merge if the two-proportion z statistic stays below this.
 SAME_BELOW = 1.96
 
@@ -53,44 +58,64 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     return fits
 
 
-def templates(labelled: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(host, path, template, parent, rows, good, bad) for every distinct host and path.
+def templates(labelled: DataFrame) -> DataFrame:
+    """(host, path, names, rows, good, bad) for every distinct host and path; ``names`` are the template's branches.
 
     ``labelled`` holds (host, path, good, bad) with one row for each page, good and bad being 0 or 1.
     """
     tree = labelled.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = tree.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    for level in range(levels):
-        here = F.get("segments", F.lit(level))
-        formed = F.when(here.rlike(VARIABLE), F.lit("*")).otherwise(here)
-        tree = tree.withColumn("here", formed)
-        children = tree.where("here is not null").groupBy("host", "template", "here").agg(F.sum("rows").alias("rows"))
-        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("rows").alias("below"))
-        wide = wide.where((F.col("kinds") > MOST_CHILDREN) & (F.col("kinds") > CHILD_SHARE * F.col("below"))).select("host", "template", F.lit(True).alias("variable"))
-        tree = tree.join(wide, ["host", "template"], "left")
-        name = F.when(F.col("variable"), F.lit("*")).otherwise(F.col("here"))
-        tree = tree.withColumn("parent", F.when(name.isNull(), F.col("parent")).otherwise(F.col("template")))
-        tree = tree.withColumn("template", F.when(name.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("variable", "here")
-    deeper = F.size("segments") > levels
-    tree = tree.withColumn("parent", F.when(deeper, F.col("template")).otherwise(F.col("parent")))
-    return tree.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    open_rows = cut_lineage(tree.withColumn("left", segments).withColumn("names", F.array().cast("array<string>")))
+    done = []
+    while True:
+        done.append(open_rows.where(F.size("left") == 0).drop("left"))
+        open_rows = open_rows.where(F.size("left") > 0).withColumn("here", F.get("left", F.lit(0)))
+        total = open_rows.count()
+        if not total:
+            return reduce(DataFrame.unionByName, done)
+        children = open_rows.groupBy("host", "names", "here").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
+        nodes = children.groupBy("host", "names").agg(F.count(F.lit(1)).alias("kinds"), F.sum("rows").alias("below"), F.sum("n").alias("n"))
+        variable = (F.col("kinds") > MOST_CHILDREN) & (F.col("kinds") > CHILD_SHARE * F.col("below"))
+        nodes = cut_lineage(nodes.select("host", "names", variable.alias("variable"), (F.col("n") <= MOST_CHILDREN).alias("few"), "n"))
+        name = F.when(F.col("few"), F.array_join("left", "/")).when(F.col("variable"), F.lit("*")).otherwise(F.col("here"))
+        left = F.when(F.col("few"), F.array().cast("array<string>")).otherwise(F.slice("left", 2, F.size("left")))
+        named = join_counted(open_rows, nodes, ["host", "names"], total)
+        open_rows = cut_lineage(named.select("host", "path", "rows", "good", "bad", left.alias("left"), F.concat("names", F.array(name)).alias("names")))
+
+
+def _smoothed(bad: Column, labels: Column, towards: Column) -> Column:
+    return (bad + PRIOR_WEIGHT * towards) / (labels + PRIOR_WEIGHT)
 
 
 def judged_templates(tree: DataFrame) -> DataFrame:
-    """(host, template, purity, rejected): the smoothed share of good labels, after merging like siblings."""
-    own = tree.groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    family = own.groupBy("host", "parent").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    pairs = own.join(family, ["host", "parent"])
-    n, m = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
-    rest = m - n
-    share, rest_share, pooled = F.col("bad") / n, (F.col("all_bad") - F.col("bad")) / rest, F.col("all_bad") / m
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))
-    # Without labels on both sides there is nothing to compare, and the template stands alone.
-    alike = F.when((n > 0) & (rest > 0), F.when(spread == 0, F.lit(True)).otherwise(F.abs(share - rest_share) / spread < SAME_BELOW)).otherwise(False)
-    bad, labels = F.when(alike, F.col("all_bad")).otherwise(F.col("bad")), F.when(alike, m).otherwise(n)
-    impurity = (bad + PRIOR_WEIGHT * PRIOR_BAD) / (labels + PRIOR_WEIGHT)
-    return pairs.select("host", "template", (1 - impurity).alias("purity"), (impurity > REJECT_AT).alias("rejected"))
+    """(host, names, impurity, n) of every branch: its smoothed share of bad labels, from the root down; n rows of ``tree`` have it as template."""
+    own = tree.groupBy("host", "names").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    branch = own.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("names")))).withColumn("branch", F.slice("names", 1, F.col("depth")))
+    ends_here = F.when(F.size("names") == F.col("depth"), F.col("n")).otherwise(0)
+    nodes = branch.groupBy("host", "depth", F.col("branch").alias("names")).agg(
+        F.sum(ends_here).alias("n"), F.sum("rows").alias("rows"), F.sum("bad").cast("double").alias("bad"), F.sum(F.col("good") + F.col("bad")).cast("double").alias("labels")
+    )
+    nodes = cut_lineage(nodes)
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    level = nodes.where("depth = 0").withColumn("impurity", _smoothed(F.col("bad"), F.col("labels"), F.lit(PRIOR_BAD)))
+    found = [level]
+    for depth in range(1, deepest + 1):
+        backed = F.lit(PRIOR_BAD) + F.col("labels") / F.col("rows") * (F.col("impurity") - PRIOR_BAD)
+        parents = level.select("host", F.col("names").alias("parent"), backed.alias("backed"))
+        children = nodes.where(F.col("depth") == depth).withColumn("parent", F.slice("names", 1, depth - 1))
+        family = children.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("labels").alias("all_labels"), F.count(F.lit(1)).alias("kin"))
+        family = cut_lineage(family.join(parents, ["host", "parent"]).withColumnRenamed("kin", "n"))
+        near = join_counted(children.withColumnRenamed("n", "ending"), family, ["host", "parent"], family.agg(F.sum("n")).first()[0] or 0)
+        n, m = F.col("labels"), F.col("all_labels")
+        rest = m - n
+        share, rest_share, pooled = F.col("bad") / n, (F.col("all_bad") - F.col("bad")) / rest, F.col("all_bad") / m
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / rest))
+        # Without labels on both sides there is nothing to compare, and the branch stands alone.
+        alike = F.when((n > 0) & (rest > 0), F.when(spread == 0, F.lit(True)).otherwise(F.abs(share - rest_share) / spread < SAME_BELOW)).otherwise(False)
+        impurity = _smoothed(F.when(alike, F.col("all_bad")).otherwise(F.col("bad")), F.when(alike, m).otherwise(n), F.col("backed"))
+        level = cut_lineage(near.withColumn("impurity", impurity).select("host", "depth", "names", F.col("ending").alias("n"), "rows", "bad", "labels", "impurity"))
+        found.append(level)
+    return reduce(DataFrame.unionByName, found).select("host", "names", "impurity", "n")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -109,7 +134,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rows = rows.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of)
     labelled = rows.select("host", "path", F.coalesce((F.col("ruled") == "allow").cast("int"), F.lit(0)).alias("good"), F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)).alias("bad"))
     tree = cut_lineage(templates(labelled))
-    known = tree.select("host", "path", "template").join(judged_templates(tree), ["host", "template"])
-    out = rows.join(known, ["host", "path"], "left")
-    method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", "purity")
+    judged = cut_lineage(judged_templates(tree).where("n > 0"))
+    known = join_counted(tree.select("host", "path", "names", "rows"), judged, ["host", "names"], tree.count())
+    known = known.select("host", "path", F.array_join(F.transform("names", lambda s: F.concat(F.lit("/"), s)), "").alias("template"), "impurity", F.col("rows").alias("n"))
+    out = join_counted(rows, cut_lineage(known), ["host", "path"], tree.agg(F.sum("rows")).first()[0] or 0)
+    method = F.when(F.col("impurity") > REJECT_AT, F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", (1 - F.col("impurity")).alias("purity"))

@@ -1,14 +1,103 @@
+import re
+from collections import defaultdict
+
 from sitemetry.llm import url_filter as uf
 from sitemetry.llm.queries import URL_RULES
 
-SCHEMA = "page_id long, url string, html string, host string, verdict string, rule string"
+SCHEMA = "page_id long, url string, html string, host string, verdict string, rule string, names string, impurity string"
+PAGES = "/root/testdata/sf0.01/pages.parquet"
 
 
 def judged(spark, urls, rules=URL_RULES):
-    df = spark.createDataFrame([(i, u, "h", "x", "y", "z") for i, u in enumerate(urls)], SCHEMA)
+    df = spark.createDataFrame([(i, u, "h", "x", "y", "z", "a", "b") for i, u in enumerate(urls)], SCHEMA)
     return {r["page_id"]: r for r in uf.judge(df, rules).collect()}
 
 
+def brute(urls, rules):
+    """(template, purity, verdict) of each url, from a tree built path by path."""
+    variable = re.compile(r"(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-f]{8,}(?:-[0-9a-f]{4,})*|(?=.*[0-9])[0-9A-Za-z_-]{16,})(?:\.[a-z]{2,5})?")
+    split = [re.match(r"([^/?#]*)((?:/[^?#]*)?)", (u or "").partition("://")[2]).groups() if "://" in (u or "") else ("", "") for u in urls]
+    split = [(h.lower(), p) for h, p in split]
+
+    def rule_of(host, path):
+        fits = [(len(r), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return max(fits)[1:] if fits else (None, None)
+
+    ruled = [rule_of(*x) for x in split]
+    templates, share = {}, {}
+    for host in {h for h, _ in split}:
+        pages = [(p, v) for (h, p), (_, v) in zip(split, ruled, strict=True) if h == host]
+        left = {p: ["*" if variable.fullmatch(s) else s for s in p.split("/") if s] for p, _ in pages}
+
+        def split_node(names, paths):
+            for p in paths:
+                if not left[p]:
+                    templates[host, p] = names
+            paths = [p for p in paths if left[p]]
+            if len(paths) <= 16:
+                for p in paths:
+                    templates[host, p] = (*names, "/".join(left[p]))
+                return
+            rows = sum(1 for p, _ in pages if p in set(paths))
+            kinds = len({left[p][0] for p in paths})
+            groups = defaultdict(list)
+            for p in paths:
+                groups["*" if kinds > 16 and kinds > 0.3 * rows else left[p].pop(0)].append(p)
+                if kinds > 16 and kinds > 0.3 * rows:
+                    left[p].pop(0)
+            for name, below in groups.items():
+                split_node((*names, name), below)
+
+        split_node((), list(left))
+        counts = defaultdict(lambda: [0, 0, 0])
+        for p, v in pages:
+            t = templates[host, p]
+            for d in range(len(t) + 1):
+                c = counts[t[:d]]
+                c[0] += 1
+                c[1] += v == "block"
+                c[2] += v is not None
+        for node in sorted(counts, key=len):
+            n, bad, labels = counts[node]
+            if not node:
+                share[host, node] = (bad + uf.PRIOR_WEIGHT * uf.PRIOR_BAD) / (labels + uf.PRIOR_WEIGHT)
+                continue
+            up = counts[node[:-1]]
+            towards = uf.PRIOR_BAD + up[2] / up[0] * (share[host, node[:-1]] - uf.PRIOR_BAD)
+            kin = [c for k, c in counts.items() if len(k) == len(node) and k[:-1] == node[:-1]]
+            all_bad, m = sum(c[1] for c in kin), sum(c[2] for c in kin)
+            if labels and m > labels:
+                q, rest = all_bad / m, m - labels
+                z = abs(bad / labels - (all_bad - bad) / rest) / (q * (1 - q) * (1 / labels + 1 / rest)) ** 0.5 if 0 < q < 1 else 0
+                if z < uf.SAME_BELOW:
+                    bad, labels = all_bad, m
+            share[host, node] = (bad + uf.PRIOR_WEIGHT * towards) / (labels + uf.PRIOR_WEIGHT)
+    out = []
+    for (host, path), (_, verdict) in zip(split, ruled, strict=True):
+        impurity = share[host, templates[host, path]]
+        out.append(("".join("/" + n for n in templates[host, path]), round(1 - impurity, 9), verdict or ("block" if impurity > uf.REJECT_AT else "allow")))
+    return out
+
+
+def test_against_a_tree_built_path_by_path(spark):
+    urls = [r["url"] for r in spark.read.parquet(PAGES).select("url").collect()]
+    deep = [f"http://deep.example.com/de/{'x' if i % 3 else 'y'}/s{i}/{i}/end" for i in range(60)] + [f"http://deep.example.com/en/{i % 20}q/z" for i in range(40)]
+    for rules in (URL_RULES, [("block", "example.com/en/"), ("allow", "example.net/fr/"), ("block", "example.org/es/")]):
+        got = judged(spark, urls + deep + [None, "x"], rules)
+        assert [(r["template"], round(r["purity"], 9), r["verdict"]) for _, r in sorted(got.items())] == brute(urls + deep + [None, "x"], rules)
+
+
+def test_labels_of_a_host_reach_its_other_pages(spark):
+    pages = spark.read.parquet(PAGES).select("page_id", "url")
+    free = [r for r in uf.judge(pages, URL_RULES).collect() if r["rule"] is None]
+    assert sum(abs(r["purity"] - (1 - uf.PRIOR_BAD)) > 1e-9 for r in free) > 50
+    assert {r["verdict"] for r in free} == {"allow", "block"}
+    # with most of a host's pages ruled out, the rest of the host goes as well
+    english = [("block", "example.com/en/")]
+    free = [r for r in uf.judge(pages, english).collect() if r["host"].endswith(".example.com") and r["rule"] is None]
+    assert sum(r["verdict"] == "block" for r in free) > len(free) / 3
+
+
 def test_hosts_paths_and_rules(spark):
     cases = [
         ("https://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),

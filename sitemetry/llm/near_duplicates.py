@@ -3,7 +3,7 @@
 1. *Sketch.* Each text becomes its set of word n-grams (hashed to 64 bits), MinHash values and
    from those the hashes of its bands. Texts with the same words are one class.
 2. *Bands.* Classes are shuffled on (band, hash); only hashes shared by two classes go on.
-3. *Verification.* A bucket is cut into blocks of about ``BLOCK`` classes by a hash of the class,
+3. *Verification.* A bucket is cut into blocks of about ``BLOCK_GRAMS`` n-grams by a hash of the class,
    and each pair of blocks is one unit of work: its pairs are compared on their full n-gram sets
    inside the task. A pair that shares several bands is counted in the first of them. No pair is
    ever a row: a block pair returns one row for each class in it, with its number of links there
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut_lineage, short_text_batches, small_ids
+from .runtime import cut_lineage, join_counted, measured, pieces
 
 #: Words in an n-gram and the least similarity of a link.
 N, SIMILARITY = 5, 0.8
 #: Share of pairs at exactly that similarity that the bands must find, and bands at most.
 RECALL, MAX_BANDS = 0.999, 16
-#: Classes in one block of a bucket, about.
-BLOCK = 384
+#: N-grams and classes in one block of a bucket, about: they bound what a task holds, and how often a set is sent.
+BLOCK_GRAMS, BLOCK = 1 << 18, 1024
 #: Bytes of a row's name (id and hash of its text) in a broadcast, about.
 ROW_BYTES = 48
 
@@ -101,26 +101,30 @@ def _band_hashes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray, ba
 
 
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_key, words_id, bands): hash of the text, 128-bit name of its words, and band hashes; null without words."""
+    """(doc_id, text_key, words_id, size, bands): hash of the text, 128-bit name of its words, number of n-grams, band hashes; null without words."""
     random = np.random.default_rng(7)
     factors = random.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
     offsets = random.integers(0, 2**63, bands * rows, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams(n)
-        for batch in batches:
-            names, sketches = [], []
+        for batch in pieces(batches):
+            names, sizes, sketches = [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text) if text else []
                 if not words:
                     names.append(None)
+                    sizes.append(0)
                     sketches.append(None)
                     continue
                 names.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest())
-                sketches.append(_band_hashes(grams.of(words), factors, offsets, bands, rows).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "words_id": pa.array(names, pa.string()), "bands": pa.array(sketches, pa.list_(pa.int64()))})
+                found = grams.of(words)
+                sizes.append(len(found))
+                sketches.append(_band_hashes(found, factors, offsets, bands, rows).view(np.int64))
+            columns = {"words_id": pa.array(names, pa.string()), "size": pa.array(sizes, pa.int64()), "bands": pa.array(sketches, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), **columns})
 
-    return _doc_texts(docs).mapInArrow(run, "doc_id bigint, text_key bigint, words_id string, bands array<bigint>")
+    return _doc_texts(docs).mapInArrow(run, "doc_id bigint, text_key bigint, words_id string, size bigint, bands array<bigint>")
 
 
 def _doc_texts(docs: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams(n)
-        for batch in batches:
+        for batch in pieces(batches):
             words = [words_of(t) for t in batch.column(0).to_pylist()]
             names = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).hexdigest() for w in words]
             sets = [grams.of(w).view(np.int64) for w in words]
@@ -255,20 +259,28 @@ def components(edges: DataFrame) -> DataFrame:
     Every round links each neighbour above a node to the node's smallest neighbour, then each one
     below; rounds grow with the logarithm of the longest path.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    count = F.count(F.lit(1)).alias("n")
     edges = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found = _state(edges)
     while True:
-        pairs = both(edges)
-        low = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = pairs.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.low").alias("b"))
-        nxt = cut_lineage(small.where("a != b").distinct())
-        state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state(nxt) == state(edges):
-            roots = nxt.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(nxt.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        edges = nxt
+        # Edges point from the greater to the smaller node. A node's smaller neighbours give its least one...
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        # ...to which each greater neighbour is linked instead of the node.
+        large = join_counted(edges.select(F.col("a").alias("up"), F.col("b").alias("a")), cut_lineage(low.where("n > 0")), ["a"], found[0]).select(F.col("up").alias("a"), F.col("low").alias("b")).distinct()
+        large = cut_lineage(large)
+        down = cut_lineage(large.groupBy("a").agg(F.min("b").alias("low"), count))
+        small = join_counted(large, down, ["a"], large.count()).select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e"))
+        edges = cut_lineage(small.select(F.col("e.b").alias("a"), F.col("e.low").alias("b")).where("a != b").distinct())
+        before, found = found, _state(edges)
+        if before == found:
+            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes: equal for equal sets of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,22 +288,20 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple
 
     ``stays`` names the row that stands for a group: smallest doc_id (null comes last), then hash of the text.
     """
-    spark = docs.sparkSession
-    short_text_batches(spark)
     bands, rows = choose_bands(similarity, recall)
     sketches = cut_lineage(sketch(docs, n, bands, rows))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min(row).alias("stays"), F.first("bands").alias("bands"))
+    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min(row).alias("stays"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
-    exploded = classes.select("words_id", F.posexplode("bands").alias("band", "hash"))
-    shared = exploded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut_lineage(exploded.join(shared, ["band", "hash"]).select("band", "hash", "words_id", "members"))
+    exploded = classes.select("words_id", "size", F.posexplode("bands").alias("band", "hash"))
+    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+    shared = cut_lineage(exploded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("n > 1"))
+    members = cut_lineage(join_counted(exploded.drop("size"), shared, ["band", "hash"], shared.agg(F.sum("n")).first()[0] or 0))
     candidates = members.select("words_id").distinct().join(classes, "words_id").select("words_id", "stays", "bands")
-    wanted = small_ids(candidates.select(F.col("stays.doc_id").alias("__id"), F.col("stays.text_key").alias("__key")), ROW_BYTES)
+    wanted = measured(candidates.select(F.col("stays.doc_id").alias("__id"), F.col("stays.text_key").alias("__key")), ROW_BYTES)
     texts = _doc_texts(docs).where("text is not null").join(wanted, _is_row(), "left_semi").select("text")
     sets = candidates.select("words_id", "bands").join(_gram_sets(texts, n).dropDuplicates(["words_id"]), "words_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = members.join(sets, "words_id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("words_id"), F.col("blocks")).cast("int"))
+    spread = members.join(sets, "words_id").withColumn("own", F.pmod(F.xxhash64("words_id"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     placed = spread.select("band", "hash", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "words_id", side.alias("side"), "bands", "grams")
@@ -328,12 +338,13 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
 
     The row of smallest doc_id stays, of rows that share it the one of smallest text hash, and one of
     wholly equal rows; a null doc_id comes after all others. Rows are told apart by doc_id and text,
-    so rows that share a doc_id are judged each by its own text. Texts without words all stay.
+    so rows that share a doc_id are judged each by its own text. Null texts and texts without words
+    all stay; an empty table gives an empty one; all columns are kept, whatever their names.
     """
     sketches, _, labels = _classes(docs, N, SIMILARITY, RECALL)
     worded = sketches.where("words_id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     stays = cut_lineage(labels.select(F.col("stays.doc_id").alias("__id"), F.col("stays.text_key").alias("__key")))
-    named = lambda rows: small_ids(rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), ROW_BYTES)
+    named = lambda rows: measured(rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), ROW_BYTES)
     # Rows that occur more than once leave with the others; one of each that stands for its group comes back.
     repeated = named(worded.where("rows > 1").join(stays, _is_row(), "left_semi"))
     found = named(worded.join(stays, _is_row(), "left_anti").select("doc_id", "text_key").union(worded.where("rows > 1").join(stays, _is_row(), "left_semi").select("doc_id", "text_key")))

@@ -8,8 +8,9 @@ slice downward: rows with the digit set come before those without. Rows that tie
 are taken by smaller id, and the few selected rows are scored exactly. Every row is indexed and
 no row is skipped, so the result is exact.
 
-Queries come in blocks too. Each pair of an index block and a query block is one unit of work and
-returns ``k`` rows for each query, whatever values the vectors share.
+The index is built and searched in one pass: the vectors are dealt out by block, and behind a
+block's vectors come the queries, the small side, which are sent to every block. Each query takes
+``k`` rows from each block, whatever values the vectors share.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in an index block and queries in a query block, about.
-INDEX_ROWS, QUERY_ROWS = 16_384, 384
+#: Rows in an index block, about. With fewer than BLOCKS blocks, each is built in several tasks that share the queries.
+INDEX_ROWS, BLOCKS = 8_192, 16
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -130,69 +130,57 @@ def exact_scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)
 
 
-def _build(dims: int):
-    """Index rows from (block, vec_id, q) sorted by block and vec_id."""
+class Block:
+    """The index of one block: bitmaps and values of rows in the order of their ids."""
 
-    def one(block: int, ids: list[np.ndarray], values: list[np.ndarray]) -> dict:
-        matrix = np.concatenate(values)
-        planes, low = slice_block(matrix)
-        return {"block": block, "ids": np.concatenate(ids).tobytes(), "planes": planes.tobytes(), "digits": planes.shape[1], "low": low, "values": matrix.tobytes()}
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+        self.planes, _ = slice_block(values)
+        self.everyone = np.packbits(np.arange(self.planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
 
-    def padded(column: pa.ListArray) -> np.ndarray:
-        ends = column.offsets.to_numpy()
-        sizes, flat = np.diff(ends), column.values.to_numpy()
-        out = np.zeros((len(column), dims), np.int64)
-        rows = np.repeat(np.arange(len(column)), sizes)
-        out[rows, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)] = flat[ends[0] : ends[-1]]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, values = None, [], []
-        for batch in batches:
-            blocks, vec, q = batch.column(0).to_numpy(), batch.column(1).to_numpy(), padded(batch.column(2))
-            cuts = np.flatnonzero(np.diff(blocks)) + 1
-            for part in np.split(np.arange(len(blocks)), cuts):
-                if not len(part):
-                    continue
-                if blocks[part[0]] != current:
-                    if ids:
-                        yield pa.RecordBatch.from_pylist([one(current, ids, values)], schema)
-                    current, ids, values = int(blocks[part[0]]), [], []
-                ids.append(vec[part])
-                values.append(q[part])
-        if ids:
-            yield pa.RecordBatch.from_pylist([one(current, ids, values)], schema)
-
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("planes", pa.binary()), ("digits", pa.int32()), ("low", pa.int64()), ("values", pa.binary())])
-    return run
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the query's k best rows but its own."""
+        alive = self.everyone.copy()
+        for own in range(*np.searchsorted(self.ids, [query_id, query_id + 1]).tolist()):
+            alive[own // 64] &= ~np.uint64(1 << (own % 64))
+        best = select_top(score_slices(self.planes, query), alive, k)
+        return self.ids[best], exact_scores(self.values[best], query)
 
 
-def build_index(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
-    """One row for each block of (vec_id, q): ids, bitmaps and values, in the order of ids."""
-    blocks = max(1, -(-rows // INDEX_ROWS))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "q")
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block", "vec_id").mapInArrow(_build(dims), "block int, ids binary, planes binary, digits int, low bigint, values binary")
+def _padded(column: pa.ListArray, dims: int) -> np.ndarray:
+    ends = column.offsets.to_numpy()
+    sizes, flat = np.diff(ends), column.values.to_numpy()
+    out = np.zeros((len(column), dims), np.int64)
+    rows = np.repeat(np.arange(len(column)), sizes)
+    out[rows, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)] = flat[ends[0] : ends[-1]]
+    return out
 
 
 def _search(dims: int, k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                ids = np.frombuffer(row.ids, np.int64)
-                values = np.frombuffer(row.values, np.int64).reshape(len(ids), dims)
-                planes = np.frombuffer(row.planes, np.uint64).reshape(dims, row.digits, -1)
-                everyone = np.packbits(np.arange(planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-                found = []
-                for query_id, q in zip(row.query_ids, row.query_vectors, strict=True):
-                    query = np.zeros(dims, np.int64)
-                    query[: len(q)] = q
-                    alive = everyone.copy()
-                    for own in range(*np.searchsorted(ids, [query_id, query_id + 1]).tolist()):
-                        alive[own // 64] &= ~np.uint64(1 << (own % 64))
-                    top = select_top(score_slices(planes, query), alive, k)
-                    found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": exact_scores(values[top], query)}))
-                if found:
-                    yield pd.concat(found, ignore_index=True)
+    """Rows (query_id, vec_id, score) from (block, lane, is_query, vec_id, q), sorted by all but q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ids, values, index = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            vec, q = batch.column(3).to_numpy(), _padded(batch.column(4), dims)
+            found = []
+            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys, axis=0).any(axis=1)) + 1):
+                if not len(part):
+                    continue
+                block, is_query = tuple(keys[part[0], :2]), keys[part[0], 2]
+                if block != current:
+                    current, ids, values, index = block, [], [], None
+                if not is_query:
+                    ids.append(vec[part])
+                    values.append(q[part])
+                elif ids:
+                    index = index or Block(np.concatenate(ids), np.concatenate(values))
+                    for i in part:
+                        found.append((int(vec[i]), *index.top(int(vec[i]), q[i], k)))
+            if found:
+                owner = np.repeat(np.array([f[0] for f in found]), [len(f[1]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -208,14 +196,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("dims")).first()
     rows, dims = stats["n"], max(1, stats["dims"] or 0)
-    index = build_index(vectors, dims, rows)
+    blocks = max(1, -(-rows // INDEX_ROWS))
+    lanes = -(-BLOCKS // blocks)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    indexed = vectors.select(hashed(blocks).alias("block"), each(lanes).alias("lane"), F.lit(False).alias("is_query"), "vec_id", "q")
     wanted = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    packed = wanted.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
-    packed = packed.select("part", F.col("queries.vec_id").alias("query_ids"), F.col("queries.q").alias("query_vectors"))
-    units = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "part").drop("part", "low")
-    # The units are few and heavy: each gets a place of its own, so no partition is merged with another.
-    spread = units.repartition(max(1, -(-rows // INDEX_ROWS)) * parts, "block", F.col("query_ids")[0])
-    local = spread.mapInPandas(_search(dims, k), "query_id bigint, vec_id bigint, score bigint")
+    asked = wanted.select(each(blocks).alias("block"), hashed(lanes).alias("lane"), F.lit(True).alias("is_query"), "vec_id", "q")
+    dealt = indexed.unionByName(asked).repartition(blocks * lanes, "block", "lane").sortWithinPartitions("block", "lane", "is_query", "vec_id")
+    local = dealt.mapInArrow(_search(dims, k), "query_id bigint, vec_id bigint, score bigint")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

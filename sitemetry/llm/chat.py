@@ -23,10 +23,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import pieces
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: The role whose texts the loss mask covers.
 TRAINED_ROLE = "assistant"
@@ -97,20 +99,21 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     conversation of its own; a null turn comes first; other columns are not read.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             parts, starts, ends = [], [], []
-            for role, text in zip(frame["role"], frame["text"], strict=True):
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 part = render_turn(role, text)
                 ((_, _, a, b),) = parse(part)
                 parts.append(part)
                 starts.append(a if role == TRAINED_ROLE else 0)
                 ends.append(b if role == TRAINED_ROLE else 0)
-            yield frame.assign(formatted=parts, mask_start=starts, mask_end=ends)
+            given = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            yield pa.RecordBatch.from_pydict(given | {"formatted": pa.array(parts, pa.string()), "mask_start": pa.array(starts, pa.int64()), "mask_end": pa.array(ends, pa.int64())})
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), text("role"), text("text"))
-    return turns.mapInPandas(run, "conv_id bigint, turn bigint, role string, text string, formatted string, mask_start bigint, mask_end bigint")
+    return turns.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, formatted string, mask_start bigint, mask_end bigint")
 
 
 class _Digest:
@@ -139,23 +142,24 @@ _DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigi
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read back from ``format_turns``'s output."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _DIGESTS.split(", ")]
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _DIGESTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: _Digest | None = None
-        for frame in frames:
+        for batch in pieces(batches):
             done = []
-            ids = frame["conv_id"].astype("Int64")
-            for conv_id, part, a, b in zip(ids, frame["formatted"], frame["mask_start"], frame["mask_end"], strict=True):
-                conv_id = None if conv_id is pd.NA else int(conv_id)
+            for conv_id, part, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current is None or current.conv_id != conv_id:
                     if current is not None:
                         done.append(current.row())
                     current = _Digest(conv_id)
                 current.add(part, a, b)
             if done:
-                yield pd.DataFrame(done, columns=names).astype({"conv_id": "Int64"})
+                yield table(done)
         if current is not None:
-            yield pd.DataFrame([current.row()], columns=names).astype({"conv_id": "Int64"})
+            yield table([current.row()])
 
     parts = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return parts.select("conv_id", "formatted", "mask_start", "mask_end").mapInPandas(run, _DIGESTS)
+    return parts.select("conv_id", "formatted", "mask_start", "mask_end").mapInArrow(run, _DIGESTS)

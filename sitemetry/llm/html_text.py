@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import short_text_batches
+from .runtime import pieces
 
-#: Labelled pages that the weights are learned from, and different features that are kept, at most.
+#: Labelled pages that the weights are learned from, about, and different features that are kept, at most.
 SAMPLE_PAGES, MAX_FEATURES = 4000, 4096
 #: A feature seen less often than this falls back on a more general one.
 ENOUGH = 20
@@ -52,11 +52,17 @@ NAMES = {
     "advert": {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "adsbygoogle"},
     "comments": {"comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion", "reviews"},
 }
+# Words that say where or how a part stands. A class or id name marks a part if it has no other words.
+PLAIN_NAME_WORDS = {
+    "area", "article", "bar", "block", "blog", "body", "bottom", "box", "btn", "button", "col", "column", "container", "content", "entry", "extra", "fixed", "form", "global", "group",
+    "header", "holder", "icon", "inline", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "posts", "primary", "region",
+    "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "text", "title", "to", "top", "unit", "wrap", "wrapper",
+}
 _KIND_OF_NAME = {name: kind for kind, names in NAMES.items() for name in names}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME_WORDS = re.compile(r"[a-z0-9]+").findall
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _SPACE = re.compile(r"\s+")
 #: A page without such a tag has no content element.
 _LABEL = rf"(?i)<({'|'.join(sorted(CONTENT))})[\s/>]"
@@ -75,9 +81,11 @@ def _marked(tag: str, attributes: str, in_content: bool) -> str | None:
         return "script"
     if (role := found.get("role", "").lower()) in ROLES:
         return ROLES[role]
-    for word in _NAME_WORDS(f"{found.get('class', '')} {found.get('id', '')}".lower()):
-        if word in _KIND_OF_NAME:
-            return _KIND_OF_NAME[word]
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = [w.lower() for w in _NAME_WORDS(name)]
+        kinds = [_KIND_OF_NAME[w] for w in words if w in _KIND_OF_NAME]
+        if kinds and all(w in _KIND_OF_NAME or w in PLAIN_NAME_WORDS for w in words):
+            return kinds[0]
     return None
 
 
@@ -161,18 +169,18 @@ def _counts(page: str) -> Counter:
 
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
-    """Weights of features from at most SAMPLE_PAGES pages with an article or main tag, picked by a hash of the page.
+    """Weights of features from about SAMPLE_PAGES pages with an article or main tag, picked by a hash of the page.
 
     Log-odds of standing in a content element, within plus or minus 4; tags between -0.3 and -0.05.
     """
     rows = pages.where(F.col("html").rlike(_LABEL)).select("html", F.xxhash64("html").alias("draw"))
     total = max(1, rows.count())
-    share = min(1.0, 1.5 * SAMPLE_PAGES / total)
-    sample = rows.where(F.pmod("draw", F.lit(1 << 40)) < int(share * (1 << 40))).orderBy("draw").limit(SAMPLE_PAGES).select("html")
+    share = min(1.0, SAMPLE_PAGES / total)
+    sample = rows.where(F.pmod("draw", F.lit(1 << 40)) < int(share * (1 << 40))).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for page in batch.column(0).to_pylist():
                 found.update(_counts(page))
         keys = list(found)
@@ -228,7 +236,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for item in items:
         if item[0] == "text" and not item[3] and first <= item[4] <= last:
             blocks.setdefault(item[4], []).append(item[1])
-    texts = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks.values())
+    texts = (_SPACE.sub(" ", "".join(map(html.unescape, b))).strip() for b in blocks.values())  # a reference ends at a tag
     return "\n".join(t for t in texts if t)
 
 
@@ -239,11 +247,10 @@ def extract(pages: DataFrame) -> DataFrame:
     is one block; equal stretches go to the first; repeated rows are each read; null ids and urls are
     kept; an empty table gives an empty one; other columns are not read.
     """
-    short_text_batches(pages.sparkSession)
     weights = learn_weights(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(p, weights) if p else "" for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 

@@ -20,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import short_text_batches, small_ids
+from .runtime import measured, pieces
 
 HIDDEN, WINDOW = 6, 64
-#: The training sample: documents of a language, windows from a document, languages at most.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 300, 8, 64
+#: The training sample: documents in all, which the languages share evenly, documents of a language, windows of a document.
+SAMPLE_DOCS, DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 19_200, 300, 8
 STEPS, BATCH, LEARNING_RATE, SEED = 260, 384, 0.02, 5
 #: Windows that go through the network together.
 LANES = 1024
 
 PAD = 256
 UNDETERMINED = "und"
+#: Documents stay in the pipeline if one language holds more than this share of their probability.
+MAJORITY = 0.5
 
 
 @dataclass
@@ -199,26 +201,25 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
 def _labelled_windows(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows from a bounded sample of (doc_id, text, lang); a document is in by a hash of its id and text.
 
-    At most MAX_LANGUAGES languages (the most frequent), and in all at most twice
-    DOCS_PER_LANGUAGE documents each, reach the driver, as windows of WINDOW characters.
+    All languages share SAMPLE_DOCS evenly, each with at most DOCS_PER_LANGUAGE documents as expected;
+    only the sample's windows of WINDOW characters reach the driver.
     """
     rows = labelled.where("text is not null and lang is not null and text != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = measured(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), 64)
+    languages = counts.count()
+    if not languages:
         return np.empty((0, WINDOW), np.uint16), np.empty(0, np.int64), []
-    languages = sorted(counts)
+    wanted = min(DOCS_PER_LANGUAGE, SAMPLE_DOCS / languages)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    share = F.lit(0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.2 * DOCS_PER_LANGUAGE / counts[lang]) * (1 << 40)))).otherwise(share)
     room = F.greatest(F.lit(0), F.char_length("text") - WINDOW)
     starts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.floor(room * i / F.lit(WINDOWS_PER_DOC - 1)).cast("int"))
-    pieces = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW))))
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < share).select("draw", "lang", pieces.alias("pieces"))
-    taken = sample.orderBy("draw", "lang").limit(2 * DOCS_PER_LANGUAGE * len(languages)).collect()
-    found = [(piece.encode()[:WINDOW], languages.index(r["lang"])) for r in taken for piece in r["pieces"] if piece]
-    windows, _ = cut_windows([w for w, _ in found])
-    return windows, np.array([k for _, k in found]), languages
+    windows = F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, F.lit(WINDOW))))
+    drawn = rows.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") < F.lit(1.2 * wanted * (1 << 40)) / F.col("n"))
+    taken = drawn.select("draw", "lang", windows.alias("windows")).orderBy("draw", "lang").limit(int(1.5 * wanted * languages) + 1).collect()
+    names = sorted({r["lang"] for r in taken})
+    found = [(w.encode()[:WINDOW], names.index(r["lang"])) for r in taken for w in r["windows"] if w]
+    cut, _ = cut_windows([w for w, _ in found])
+    return cut, np.array([k for _, k in found]), names
 
 
 def fit(labelled: DataFrame) -> Network | None:
@@ -243,10 +244,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def _judged(docs: DataFrame, net: Network | None) -> DataFrame:
     """``predict`` with the hash of each row's text and whether it has a letter."""
-    short_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
             known = [i for i, t in enumerate(texts) if t is not None and net is not None]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -283,17 +283,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, _learned(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows that no language fits: ``und``, or a score under ``least_score``.
+def keep_identified(docs: DataFrame, more_than: float = MAJORITY) -> DataFrame:
+    """``docs`` without the rows that no language fits: ``und``, or a score of ``more_than`` or less.
 
-    Each row is judged by its own text, whatever other rows share its doc_id. Where no language could
-    be learned, only texts without a letter go.
+    Defined cases: each row is judged by its own text, whatever other rows share its doc_id; null texts
+    and texts without a letter go; repeated rows stay or go together; a null doc_id is an id like any
+    other; where no language could be learned, only texts without a letter go; an empty table gives an
+    empty one; all columns are kept.
     """
     net = _learned(docs)
     none_fits = ~F.col("lettered")
     if net is not None:
-        none_fits = none_fits | F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") < least_score)
+        none_fits = none_fits | F.col("lang_pred").eqNullSafe(UNDETERMINED) | (F.col("score") <= more_than)
     found = _judged(docs, net).where(none_fits).select(F.col("doc_id").alias("__drop"), F.col("text_key").alias("__key")).distinct()
-    found = small_ids(found, 48)
+    found = measured(found, 48)
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__drop")) & (F.xxhash64("text") == F.col("__key"))
     return docs.join(found, same, "left_anti").select(*docs.columns)

@@ -89,11 +89,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, target_r
     Rows are dealt to partitions by ``mix_order``, a hash of seed, document and copy, and
     sorted by it inside each: a global shuffle of the replicated corpus.
 
-    Defined cases: a null text or language changes nothing; a null doc_id hashes as ``''``;
-    rows with the same doc_id draw the same count; an empty table gives an empty mix; columns
+    Defined cases: a null text or language changes nothing; a row of null doc_id is told apart by
+    its text; rows with the same doc_id draw the same count; an empty table gives an empty mix; columns
     of ``docs`` named ``mix_*`` other than the two results are kept.
     """
-    source, doc = F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    content = F.col("text").cast("string") if "text" in docs.columns else F.lit("")
+    source, doc = F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(content, F.lit(""))))
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     inner = {c: f"__row_{i}" for i, c in enumerate(kept)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in inner.items()], source.alias("__source"), doc.alias("__doc"))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from sitemetry.llm import bpe, language_id, mixing, near_duplicates, passages
 from sitemetry.llm.queries import tokenizer
-from sitemetry.llm.runtime import checkpoint_folder, table
+from sitemetry.llm.runtime import checkpoint_folder, delete_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no letters) go."""
+    """Documents without a letter go, and those of which no language holds most of the probability."""
     return language_id.keep_identified(docs)
 
 
@@ -55,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written to the shared folder and read again."""
+    """All stages over the whole ``documents`` table, each written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last is what the result reads.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

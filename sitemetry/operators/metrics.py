@@ -26,22 +26,32 @@ def query_match_score(a: Column, b: Column) -> Column:
     )
 
 
+def _matches(opportunities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Metrics rows that match, all their columns, with ``opportunity_id`` and ``match_score``.
+
+    A score at the threshold needs a shared token, so candidates come from an equi-join on (crawl,
+    token) and none is lost. A pair is looked at where its first shared token meets, so it comes once
+    and both sides are read once.
+    """
+    tokens = lambda c: F.array_distinct(query_tokens(F.col(c)))
+    o = opportunities.select("crawl_run_id", "opportunity_id", "score", query_tokens(F.col("query")).alias("a"), F.explode(tokens("query")).alias("token"))
+    row = F.struct(*[c for c in metrics.columns if c not in ("crawl_run_id", "row_ord")])
+    m = metrics.select("crawl_run_id", "row_ord", row.alias("m"), query_tokens(F.col("query")).alias("b"), F.explode(tokens("query")).alias("token"))
+    pairs = o.join(m, ["crawl_run_id", "token"]).where(F.col("token") == F.get(F.array_intersect("a", "b"), F.lit(0)))
+    scored = pairs.withColumn("match_score", query_match_score(F.col("a"), F.col("b"))).where(F.col("match_score") >= MATCH_FROM)
+    order = F.struct((-F.col("match_score")).alias("m"), F.col("score").alias("s"), F.col("opportunity_id").alias("o"))
+    best = scored.groupBy("crawl_run_id", "row_ord").agg(F.min(order).alias("b"), F.any_value("m").alias("m"))
+    return best.select("crawl_run_id", "row_ord", F.col("b.o").alias("opportunity_id"), (-F.col("b.m")).alias("match_score"), "m.*")
+
+
 def match_queries(opportunities: DataFrame, metrics: DataFrame) -> DataFrame:
     """(crawl_run_id, row_ord, opportunity_id, match_score): each metrics row's single best opportunity.
 
     ``opportunities`` holds (crawl_run_id, opportunity_id, query, score), ``metrics`` (crawl_run_id,
-    row_ord, query, ...). A score at the threshold needs a shared token, so candidates come from an
-    equi-join on (crawl, token) and none is lost. Ties go to the lower score, then the lower id.
+    row_ord, query, ...) with one row for each row_ord of a crawl. Ties go to the lower score, then
+    the lower id.
     """
-    o = opportunities.select("crawl_run_id", "opportunity_id", "score", query_tokens(F.col("query")).alias("a"))
-    m = metrics.select("crawl_run_id", "row_ord", query_tokens(F.col("query")).alias("b"))
-    o_words = o.select("crawl_run_id", "opportunity_id", F.explode(F.array_distinct("a")).alias("token"))
-    m_words = m.select("crawl_run_id", "row_ord", F.explode(F.array_distinct("b")).alias("token"))
-    pairs = o_words.join(m_words, ["crawl_run_id", "token"]).select("crawl_run_id", "opportunity_id", "row_ord").distinct()
-    scored = pairs.join(o, ["crawl_run_id", "opportunity_id"]).join(m, ["crawl_run_id", "row_ord"]).withColumn("match_score", query_match_score(F.col("a"), F.col("b")))
-    order = F.struct((-F.col("match_score")).alias("m"), F.col("score").alias("s"), F.col("opportunity_id").alias("o"))
-    best = scored.where(F.col("match_score") >= MATCH_FROM).groupBy("crawl_run_id", "row_ord").agg(F.min(order).alias("b"))
-    return best.select("crawl_run_id", "row_ord", F.col("b.o").alias("opportunity_id"), (-F.col("b.m")).alias("match_score"))
+    return _matches(opportunities, metrics.select("crawl_run_id", "row_ord", "query")).drop("query")
 
 
 def _rounded(value: Column, digits: int) -> Column:
@@ -50,7 +60,7 @@ def _rounded(value: Column, digits: int) -> Column:
 
 def enrich_opportunities(opportunities: DataFrame, metrics: DataFrame) -> DataFrame:
     """Opportunities with clicks, impressions, CTR, position and up to 25 queries; nulls where none matched."""
-    rows = match_queries(opportunities, metrics).join(metrics, ["crawl_run_id", "row_ord"])
+    rows = _matches(opportunities, metrics)
     place = F.row_number().over(Window.partitionBy("crawl_run_id", "opportunity_id").orderBy(F.desc("impressions"), F.desc("clicks"), "row_ord"))
     sums = (
         rows.withColumn("place", place)

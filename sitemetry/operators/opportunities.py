@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import rules as R
 from ..functions.text import js_round
 from ..functions.urls import is_utility_page
-from .audit import content_pages
-from .topics import best_topics, core_topics, extract_topics, page_profiles, site_brands, topic_pages
+from ..sources.tables import cut_lineage
+from .topics import best_topics, brands_of, core_topics, extract_topics, page_profiles, topic_pages
 
 COLUMNS = ["crawl_run_id", "query", "opportunity_type", "relevance", "impact", "confidence", "reason", "suggested_action", "related_page_id", "related_page_url", "evidence_pages", "evidence_phrases", "gen_ord"]
 
@@ -264,12 +264,14 @@ def unlinked_topic_pairs(profiles: DataFrame, on_pages: DataFrame, core: DataFra
     )
 
 
-def all_candidates(pages: DataFrame) -> dict[str, DataFrame]:
-    """Every kind of opportunity before any cap, each scored."""
-    profiles = page_profiles(pages)
-    on_pages = topic_pages(profiles)
-    core = core_topics(extract_topics(on_pages))
-    rows = profiles.join(best_topics(profiles, core), ["crawl_run_id", "page_id"], "left")
+#: What opportunities need of a profile.
+PROFILE = ["crawl_run_id", "page_id", "page_seq", "url", "word_count", "internal_links", "is_indexable", "canonical_url", "p_title", "p_meta", "p_slug", "title_tokens", "meta_tokens", "slug_tokens", "all_tokens"]
+
+
+def _candidates(profiles: DataFrame) -> dict[str, DataFrame]:
+    on_pages = cut_lineage(topic_pages(profiles))
+    core = cut_lineage(core_topics(extract_topics(on_pages)))
+    rows = cut_lineage(profiles.join(best_topics(profiles, core), ["crawl_run_id", "page_id"], "left"))
     kinds = {
         "topics": topic_opportunities(profiles, on_pages, core),
         "page_optimization": page_optimization(rows),
@@ -280,9 +282,18 @@ def all_candidates(pages: DataFrame) -> dict[str, DataFrame]:
     return {k: scored(v) for k, v in kinds.items()}
 
 
+def all_candidates(pages: DataFrame) -> dict[str, DataFrame]:
+    """Every kind of opportunity before any cap, each scored. The pages are read once."""
+    return _candidates(cut_lineage(page_profiles(pages).select(*PROFILE)))
+
+
 def rank_opportunities(pages: DataFrame) -> DataFrame:
-    """The kept opportunities of every crawl: duplicates out, at most four of a type, best twelve."""
-    parts = list(all_candidates(pages).values())
+    """The kept opportunities of every crawl: duplicates out, at most four of a type, best twelve.
+
+    The pages are read once, and the result is kept: it has at most twelve rows a crawl.
+    """
+    profiles = cut_lineage(page_profiles(pages).select(*PROFILE))
+    parts = list(_candidates(profiles).values())
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -292,9 +303,9 @@ def rank_opportunities(pages: DataFrame) -> DataFrame:
     unique = union.withColumn("n", F.row_number().over(same)).where("n = 1")
     capped = unique.withColumn("n", F.row_number().over(of_type)).where(F.col("n") <= R.PER_TYPE)
     ranked = capped.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= R.PER_CRAWL).drop("n")
-    with_brand = ranked.join(site_brands(pages), "crawl_run_id", "left")
+    with_brand = ranked.join(brands_of(profiles), "crawl_run_id", "left")
     out = with_brand.withColumn("intent", R.classify_intent(F.col("query"), F.col("brand"))).drop("brand", "gen_ord")
-    return out.withColumn("opportunity_id", F.sha2(F.concat_ws("|", "crawl_run_id", F.col("rank").cast("string")), 256))
+    return cut_lineage(out.withColumn("opportunity_id", F.sha2(F.concat_ws("|", "crawl_run_id", F.col("rank").cast("string")), 256)))
 
 
 def opportunity_aggregate(opportunities: DataFrame) -> DataFrame:

@@ -60,7 +60,12 @@ def best_topics(profiles: DataFrame, core: DataFrame) -> DataFrame:
 
 def site_brands(pages: DataFrame) -> DataFrame:
     """First label of the first content page's host."""
-    return content_pages(pages).groupBy("crawl_run_id").agg(F.min_by(host_label(F.col("url")), "page_seq").alias("brand"))
+    return brands_of(content_pages(pages))
+
+
+def brands_of(profiles: DataFrame) -> DataFrame:
+    """``site_brands`` of content pages."""
+    return profiles.groupBy("crawl_run_id").agg(F.min_by(host_label(F.col("url")), "page_seq").alias("brand"))
 
 
 def ai_prompt_topics(topics: DataFrame, most: int = 5) -> DataFrame:
@@ -72,6 +77,7 @@ def ai_prompt_topics(topics: DataFrame, most: int = 5) -> DataFrame:
 
 def build_prompt(topic):
     """A neutral question about a topic that doesn't name the site."""
+    # Fixed value: the wording of the question.
     head = (
         "You are a neutral research assistant. Answer concisely with a short list, and only mention tools, services "
         "or websites you are reasonably confident exist. Do not invent anything.\n\n"

@@ -16,7 +16,7 @@ from ..sources import html, payloads, tables
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .planning_queries import _plan
 from .search_queries import search_with
-from .site_tables import crawl_runs, crawled_pages
+from .site_tables import crawl_runs, crawled_pages, stored_pages
 
 AGENT = "SiteBot/1.0 (+https://bot.example)"
 
@@ -29,39 +29,52 @@ def _urls(**columns):
     return lambda s, d: _read(s, d, "pages").select("page_id", *[f(F.col("url")).alias(n) for n, f in columns.items()])
 
 
+#: Entries of a payload, at most: payloads hold neighbouring ids, so their size doesn't grow with the table.
+ENTRIES = 50
+
+
+def _payload_of(key):
+    return F.floor(key / ENTRIES).cast("string")
+
+
 def _metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search metrics as their provider sends them; keys and numbers of other types are mixed in."""
     d = _read(spark, sf_dir, "documents")
-    row = F.struct(
-        F.array(F.substring("text", 1, 20), F.col("lang")).alias("keys"),
-        (F.col("doc_id") % 50).alias("clicks"),
-        F.when(F.col("doc_id") % 7 == 0, "many").otherwise((F.col("doc_id") % 900).cast("string")).alias("impressions"),
-        (F.col("doc_id") % 100 / 4).alias("position"),
-    )
-    rows = d.groupBy((F.col("doc_id") % 200).cast("string").alias("site_url")).agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("x"))
-    return rows.select("site_url", F.to_json(F.struct(F.col("x.r").alias("rows"))).alias("payload"))
+    i = F.col("doc_id")
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("k")))) - 6)
+    keys = F.when(i % 9 == 0, F.lit("[9, null, true]")).otherwise(F.concat(F.lit("[5, "), key("source"), F.lit(", null, "), key("lang"), F.lit("]")))
+    impressions = F.when(i % 7 == 0, '"many"').when(i % 7 == 1, F.concat(F.lit('" '), (i % 900).cast("string"), F.lit(' "'))).otherwise((i % 900).cast("string"))
+    row = F.concat(F.lit('{"keys": '), keys, F.lit(', "clicks": '), (i % 50).cast("string"), F.lit(', "impressions": '), impressions, F.lit(', "position": '), (i % 100 / 4).cast("string"), F.lit("}"))
+    rows = d.groupBy(_payload_of(i).alias("site_url")).agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("x"))
+    return rows.select("site_url", F.concat(F.lit('{"rows": ['), F.array_join("x.r", ", "), F.lit("]}")).alias("payload"))
 
 
 def _site_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "pages").select((F.col("page_id") % 9).alias("user_id"), F.struct(F.concat(F.lit(" "), U.origin_of(F.col("url")), F.lit("/ ")).alias("siteUrl")).alias("e"))
-    return p.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list("e").alias("siteEntry"))).alias("payload"))
+    url = F.concat(F.lit(" "), U.origin_of(F.col("url")), F.lit("/ "))
+    p = _read(spark, sf_dir, "pages").select((F.col("page_id") % 9).alias("user_id"), _payload_of(F.col("page_id")).alias("block"), F.struct(F.when(F.col("page_id") % 11 > 0, url).alias("siteUrl"), F.col("page_id").alias("n")).alias("e"))
+    return p.groupBy("user_id", "block").agg(F.to_json(F.struct(F.collect_list("e").alias("siteEntry"))).alias("payload"))
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of posts; every 19th title is a number, every 23rd score a text."""
     d = _read(spark, sf_dir, "documents")
     i = F.col("doc_id")
+    value = lambda v: F.try_variant_get(F.parse_json(F.to_json(F.struct(v.alias("v")))), "$.v", "variant")
+    title = F.when(i % 19 == 0, value(i)).otherwise(value(F.when(i % 13 == 0, "[removed]").otherwise(F.concat(F.lit(" Post "), i.cast("string")))))
+    score = F.when(i % 23 == 0, value(i.cast("string"))).otherwise(value(i - 10))
     data = F.struct(
         F.concat(F.lit("r"), (i % 7).cast("string")).alias("subreddit"),
-        F.when(i % 13 == 0, "[removed]").otherwise(F.concat(F.lit(" Post "), i.cast("string"))).alias("title"),
+        title.alias("title"),
         F.concat(F.when(i % 11 == 0, "x").otherwise("/r/"), i.cast("string")).alias("permalink"),
         F.when(i % 5 == 0, "[deleted]").otherwise("me").alias("author"),
-        (i - 10).alias("score"),
+        score.alias("score"),
         (i % 60).alias("num_comments"),
         (i * 1000 + 1_700_000_000).alias("created_utc"),
         F.when(i % 3 == 0, "").otherwise(F.col("text")).alias("selftext"),
     )
     child = F.struct(F.when(i % 4 == 0, None).when(i % 17 == 0, "t1").otherwise("t3").alias("kind"), data.alias("data"))
-    g = d.groupBy((i % 100).cast("string").alias("crawl_run_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", child.alias("c")))).alias("x"))
-    return g.select("crawl_run_id", F.lit("q").alias("query"), F.to_json(F.struct(F.struct(F.col("x.c").alias("children")).alias("data"))).alias("payload"))
+    g = d.groupBy(_payload_of(i).alias("crawl_run_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.to_json(child).alias("c")))).alias("x"))
+    return g.select("crawl_run_id", F.lit("q").alias("query"), F.concat(F.lit('{"data": {"children": ['), F.array_join("x.c", ", "), F.lit("]}}")).alias("payload"))
 
 
 def _flat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +168,12 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = crawled_pages(spark, sf_dir)
     loc = F.concat(F.lit("<url>< loc> "), F.col("url"), F.lit("/?a=1&amp;b=2#x </loc></url><url><LOC>https://elsewhere.test/</LOC></url>"))
-    files = p.groupBy("crawl_run_id").agg(F.array_join(F.collect_list(loc), "\n").alias("body")).withColumn("domain", F.col("crawl_run_id"))
+    files = p.groupBy("crawl_run_id", _payload_of(F.col("page_seq"))).agg(F.array_join(F.collect_list(loc), "\n").alias("body")).withColumn("domain", F.col("crawl_run_id"))
     return payloads.extract_sitemap_urls(files)
 
 
 def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = crawled_pages(spark, sf_dir)
+    pages = stored_pages(spark, sf_dir)
     edges = links.link_graph(pages)
     return _plan(lambda plan: content.content_link_suggestions(plan, pages, edges))(spark, sf_dir)
 
@@ -204,13 +217,13 @@ ORACLE_SQL = {
     "origin_of": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages",
     "extract_page_features": """SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<h1>'))::INTEGER AS h1_count, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INTEGER AS n_links,
       regexp_extract(html, '<html lang="([a-z]+)"', 1) AS html_lang, contains(html, '<meta charset') AS has_charset, 0 AS js_file_count, 0 AS external_link_count FROM pages""",
-    "flatten_query_metrics": """SELECT (doc_id % 200)::VARCHAR AS site_url, (row_number() OVER (PARTITION BY doc_id % 200 ORDER BY doc_id) - 1)::INTEGER AS row_ord, [substr(text, 1, 20), lang] AS keys, (doc_id % 50)::DOUBLE AS clicks,
-      CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 900 END::DOUBLE AS impressions, 0::DOUBLE AS ctr, (doc_id % 100)::DOUBLE / 4 AS position FROM documents""",
-    "flatten_metric_sites": "SELECT DISTINCT page_id % 9 AS user_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' AS site_url FROM pages",
-    "map_listing_posts": """SELECT * FROM (SELECT (doc_id % 100)::VARCHAR AS crawl_run_id, 'q' AS query, (row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) - 1)::INTEGER AS post_ord, 'r' || (doc_id % 7) AS subreddit, 'Post ' || doc_id AS title, '/r/' || doc_id AS permalink,
-      CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'me' END AS author, greatest(0, doc_id - 10)::INTEGER AS score, (doc_id % 60)::INTEGER AS num_comments, make_timestamp((doc_id * 1000 + 1700000000) * 1000000) AS created_at,
+    "flatten_query_metrics": f"""SELECT * EXCLUDE (odd) FROM (SELECT (doc_id // {ENTRIES})::VARCHAR AS site_url, (row_number() OVER (PARTITION BY doc_id // {ENTRIES} ORDER BY doc_id) - 1)::INTEGER AS row_ord, list_filter([source, lang], lambda k: k IS NOT NULL) AS keys, (doc_id % 50)::DOUBLE AS clicks,
+      CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 900 END::DOUBLE AS impressions, 0::DOUBLE AS ctr, (doc_id % 100)::DOUBLE / 4 AS position, doc_id % 9 AS odd FROM documents) WHERE odd > 0 AND len(keys) > 0""".replace(") SELECT_ALL", ") WHERE odd > 0 AND len(keys) > 0").replace("SELECT * FROM (SELECT (doc_id", "SELECT * EXCLUDE (odd) FROM (SELECT (doc_id"),
+    "flatten_metric_sites": "SELECT DISTINCT page_id % 9 AS user_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' AS site_url FROM pages WHERE page_id % 11 > 0",
+    "map_listing_posts": f"""SELECT * FROM (SELECT (doc_id // {ENTRIES})::VARCHAR AS crawl_run_id, 'q' AS query, (row_number() OVER (PARTITION BY doc_id // {ENTRIES} ORDER BY doc_id) - 1)::INTEGER AS post_ord, 'r' || (doc_id % 7) AS subreddit, 'Post ' || doc_id AS title, '/r/' || doc_id AS permalink,
+      CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'me' END AS author, CASE WHEN doc_id % 23 = 0 THEN 0 ELSE greatest(0, doc_id - 10) END::INTEGER AS score, (doc_id % 60)::INTEGER AS num_comments, make_timestamp((doc_id * 1000 + 1700000000) * 1000000) AS created_at,
       CASE WHEN doc_id % 3 = 0 OR trim(text, ' ' || chr(10)) = '' THEN NULL ELSE substr(trim(text, ' ' || chr(10)), 1, 500) END AS body_snippet FROM documents)
-      WHERE split_part(permalink, '/', 3)::BIGINT % 13 <> 0 AND split_part(permalink, '/', 3)::BIGINT % 11 <> 0 AND (split_part(permalink, '/', 3)::BIGINT % 4 = 0 OR split_part(permalink, '/', 3)::BIGINT % 17 <> 0)""",
+      WHERE split_part(permalink, '/', 3)::BIGINT % 13 <> 0 AND split_part(permalink, '/', 3)::BIGINT % 19 <> 0 AND split_part(permalink, '/', 3)::BIGINT % 11 <> 0 AND (split_part(permalink, '/', 3)::BIGINT % 4 = 0 OR split_part(permalink, '/', 3)::BIGINT % 17 <> 0)""",
     "map_flat_items": """SELECT (doc_id // 30)::VARCHAR AS crawl_run_id, (doc_id % 30)::INTEGER AS post_ord, 'Post ' || doc_id AS title, '/r/sub/' || doc_id AS permalink, (doc_id % 90)::INTEGER AS score,
       make_timestamp(CASE WHEN doc_id % 2 = 0 THEN (doc_id * 1000 + 1700000000000) * 1000 ELSE (doc_id + 1700000000) * 1000000 END) AS created_at,
       CASE WHEN doc_id % 3 = 0 AND doc_id + 2 IN (SELECT doc_id FROM documents) THEN ['body ' || (doc_id + 2)] ELSE [] END AS comments FROM documents WHERE doc_id % 3 <> 2""",

@@ -17,7 +17,7 @@ from ..operators import audit, content, discussions, opportunities, topics, visi
 from ..streaming import jobs
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .search_queries import OPP_SQL, priority_sql, search_with, tokens_sql
-from .site_tables import crawl_runs, crawled_pages
+from .site_tables import crawl_runs, crawled_pages, stored_pages
 
 AS_OF = datetime(2024, 2, 1)
 
@@ -79,7 +79,7 @@ def _answers(operator):
 
 def _plan(operator):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = crawled_pages(spark, sf_dir)
+        pages = stored_pages(spark, sf_dir)
         runs = crawl_runs(pages)
         found = topics.extract_topics(topics.topic_pages(topics.page_profiles(pages)))
         asked = topics.ai_prompt_topics(found).withColumn("mentioned", F.col("prompt_rank") % 2 == 0)
@@ -117,7 +117,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _terms(operator):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = crawled_pages(spark, sf_dir)
+        pages = stored_pages(spark, sf_dir)
         return operator(discussions.discussion_terms(pages, opportunities.rank_opportunities(pages)))
 
     return query

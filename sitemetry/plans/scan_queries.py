@@ -16,7 +16,7 @@ from ..functions.urls import site_hostname
 from ..operators import audit, links, metrics, opportunities, scans
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .search_queries import OPP_SQL, search_with
-from .site_tables import crawl_runs, crawled_pages
+from .site_tables import crawl_runs, crawled_pages, stored_pages
 
 AS_OF = datetime(2024, 2, 1, 12)
 
@@ -71,7 +71,7 @@ def query_metrics(pages: DataFrame) -> DataFrame:
 
 def _matched(operator):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = crawled_pages(spark, sf_dir)
+        pages = stored_pages(spark, sf_dir)
         return operator(opportunities.rank_opportunities(pages), query_metrics(pages))
 
     return query
@@ -98,7 +98,7 @@ def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _issues(operator):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = crawled_pages(spark, sf_dir)
+        pages = stored_pages(spark, sf_dir)
         return operator(audit.all_issues(pages, crawl_runs(pages)), pages)
 
     return query
@@ -112,7 +112,7 @@ QUERIES = {
     "normalize_query": lambda s, d: query_metrics(crawled_pages(s, d)).select("row_ord", normalize_query(F.col("query")).alias("normal")),
     "site_hostname": lambda s, d: _sites(s, d).select("user_id", "site_url", site_hostname(F.col("site_url")).alias("host")),
     "query_match_score": lambda s, d: crawled_pages(s, d).where("title is not null and meta_description is not null").select(
-        "page_id", metrics.query_match_score(query_tokens(F.col("title")), query_tokens(F.substring("meta_description", 1, 60))).alias("match_score")
+        "page_id", metrics.query_match_score(query_tokens(F.col("title")), query_tokens(F.col("meta_description"))).alias("match_score")
     ),
     "match_queries": _matched(lambda o, m: metrics.match_queries(o, m).join(o.select("crawl_run_id", "opportunity_id", "rank"), ["crawl_run_id", "opportunity_id"]).select("crawl_run_id", "row_ord", "rank", "match_score")),
     "enrich_opportunities": _matched(lambda o, m: metrics.enrich_opportunities(o, m).select("crawl_run_id", "rank", "clicks", "impressions", "ctr", "position", "queries")),
@@ -205,7 +205,7 @@ ISSUE_SQL = search_with("links AS (" + _LINKS.strip(), _ISSUES)
 ORACLE_SQL = {
     "normalize_query": search_with(METRIC_SQL) + "SELECT row_ord, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS normal FROM metric",
     "site_hostname": search_with(_SITES) + "SELECT user_id, site_url, host FROM sites",
-    "query_match_score": search_with(f"p AS (SELECT page_id, {_QT.format('title')} AS a, {_QT.format('substr(meta_description, 1, 60)')} AS b FROM crawled WHERE title IS NOT NULL AND meta_description IS NOT NULL)") + f"SELECT page_id, {_score_sql('a', 'b')} AS match_score FROM p",
+    "query_match_score": search_with(f"p AS (SELECT page_id, {_QT.format('title')} AS a, {_QT.format('meta_description')} AS b FROM crawled WHERE title IS NOT NULL AND meta_description IS NOT NULL)") + f"SELECT page_id, {_score_sql('a', 'b')} AS match_score FROM p",
     "match_queries": search_with(OPP_SQL, MATCH_SQL) + "SELECT * FROM matched",
     "enrich_opportunities": search_with(OPP_SQL, MATCH_SQL)
     + """SELECT r.crawl_run_id, r.rank, e.* EXCLUDE (crawl_run_id, rank) FROM ranked r LEFT JOIN (

@@ -1,6 +1,7 @@
 """External JSON payloads to rows: malformed entries are dropped or defaulted, never raised.
 
-Payloads are read as text and parsed with all-nullable schemas; what doesn't fit is null.
+Entries are read as variants, so each value keeps its JSON type; a value of another type than the
+field's is missing.
 """
 
 from __future__ import annotations
@@ -22,72 +23,92 @@ def _text(value: Column) -> Column:
     return js_trim(F.coalesce(value, F.lit("")))
 
 
+def _at(entry: Column | str, field: str) -> Column:
+    """A field of a JSON value, with its own JSON type; null if it is missing or null."""
+    value = F.try_variant_get(entry, f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) != "VOID", value)
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike(kind), F.lit(False))
+
+
+def _string(value: Column) -> Column:
+    """The value of a JSON string; null for any other type."""
+    return F.when(_is(value, "^STRING$"), F.try_variant_get(value, "$", "string"))
+
+
 def _number(value: Column) -> Column:
-    """A finite double from JSON text, else 0."""
-    n = value.try_cast("double")
-    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), 0.0).otherwise(n)
+    """A finite double from a JSON number; null for any other type."""
+    n = F.try_variant_get(value, "$", "double")
+    return F.when(_is(value, "^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.abs(n) < float("inf")), n)
+
+
+def _number_or_text(value: Column) -> Column:
+    """A finite double from a JSON number, boolean or text that holds a number, else 0."""
+    read = F.when(_is(value, "^STRING$"), js_trim(F.try_variant_get(value, "$", "string")).try_cast("double"))
+    read = read.when(_is(value, "^BOOLEAN$"), F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(_number(value))
+    return F.when(F.abs(read) < float("inf"), read).otherwise(0.0)
 
 
 def _count(value: Column) -> Column:
-    return F.greatest(F.lit(0), js_round(_number(value)))
+    return F.greatest(F.lit(0), js_round(F.coalesce(_number(value), F.lit(0.0))))
 
 
 def _author(value: Column) -> Column:
-    name = _text(value)
-    return F.when((name != "") & (name != "[deleted]"), name)
+    name = _text(_string(value))
+    return F.when((name != "") & (_string(value) != "[deleted]"), name)
 
 
-def _entries(payloads: DataFrame, keys: list[str], outer: str, items: Callable[[Column], Column], place: str, schema: str) -> DataFrame:
-    """One row for each entry of a payload's array, with its place and the entry as struct ``r``.
+def _entries(payloads: DataFrame, keys: list[str], outer: str, items: Callable[[Column], Column], place: str) -> DataFrame:
+    """One row for each entry of a payload's array: its place and, as ``r``, the object that it is.
 
-    Entries are parsed one by one, so a malformed one is null and spoils no other.
+    Entries keep their JSON types; one that is no object takes a place but gives no row.
     """
-    rows = payloads.select(*keys, F.posexplode(items(F.from_json("payload", outer))).alias(place, "__entry"))
-    return rows.select(*keys, place, F.from_json("__entry", schema).alias("r"))
+    rows = payloads.select(*keys, F.posexplode(items(F.from_json("payload", outer))).alias(place, "r"))
+    return rows.where(_is(F.col("r"), "^OBJECT"))
 
 
 def flatten_query_metrics(payloads: DataFrame) -> DataFrame:
     """(site_url, row_ord, keys, clicks, impressions, ctr, position) from (site_url, payload) ``{rows: [...]}``."""
-    fields = ["clicks", "impressions", "ctr", "position"]
-    # Numbers may come as text, so they are read as text; keys are kept only where they are strings.
-    schema = "keys array<string>, " + ", ".join(f"{f} string" for f in fields)
-    rows = _entries(payloads, ["site_url"], "rows array<string>", lambda p: p["rows"], "row_ord", schema)
-    keys = F.filter("r.keys", lambda k: k.isNotNull())
-    return rows.where("r is not null").select("site_url", "row_ord", keys.alias("keys"), *[_number(F.col(f"r.{f}")).alias(f) for f in fields]).where("size(keys) > 0")
+    rows = _entries(payloads, ["site_url"], "rows array<variant>", lambda p: p["rows"], "row_ord")
+    keys = F.transform(F.filter(F.try_variant_get("r", "$.keys", "array<variant>"), lambda k: _is(k, "^STRING$")), lambda k: F.try_variant_get(k, "$", "string"))
+    numbers = [_number_or_text(_at("r", f)).alias(f) for f in ("clicks", "impressions", "ctr", "position")]
+    return rows.select("site_url", "row_ord", keys.alias("keys"), *numbers).where("size(keys) > 0")
 
 
 def flatten_metric_sites(payloads: DataFrame) -> DataFrame:
     """Distinct (user_id, site_url) from (user_id, payload) ``{siteEntry: [{siteUrl}]}``."""
-    rows = payloads.select("user_id", F.explode(F.from_json("payload", "siteEntry array<struct<siteUrl: string>>")["siteEntry"]).alias("e"))
-    return rows.select("user_id", _text(F.col("e.siteUrl")).alias("site_url")).where("site_url != ''").distinct()
+    rows = _entries(payloads, ["user_id"], "siteEntry array<variant>", lambda p: p["siteEntry"], "place")
+    return rows.select("user_id", _text(_string(_at("r", "siteUrl"))).alias("site_url")).where("site_url != ''").distinct()
 
 
 def map_listing_posts(payloads: DataFrame) -> DataFrame:
     """Posts of a listing ``{data: {children: [{kind, data}]}}`` in (crawl_run_id, query, payload)."""
-    data = "subreddit: string, title: string, permalink: string, author: string, score: string, num_comments: string, created_utc: double, selftext: string"
-    rows = _entries(payloads, ["crawl_run_id", "query"], "data struct<children: array<string>>", lambda p: p["data"]["children"], "post_ord", f"kind string, data struct<{data}>")
-    rows = rows.select("crawl_run_id", "query", "post_ord", "r.kind", "r.data.*")
-    body = _text(F.col("selftext"))
-    out = rows.where("kind is null or kind = 't3'").select(
+    rows = _entries(payloads, ["crawl_run_id", "query"], "data struct<children: array<variant>>", lambda p: p["data"]["children"], "post_ord")
+    rows = rows.select("crawl_run_id", "query", "post_ord", _at("r", "kind").alias("kind"), _at("r", "data").alias("d")).where(_is(F.col("d"), "^OBJECT") & (~_is(F.col("kind"), "^STRING$") | (_string(F.col("kind")) == "t3")))
+    at = lambda field: _at("d", field)
+    body, author = _text(_string(at("selftext"))), _string(at("author"))
+    out = rows.select(
         "crawl_run_id",
         "query",
         "post_ord",
-        _text(F.col("subreddit")).alias("subreddit"),
-        _text(F.col("title")).alias("title"),
-        "permalink",
-        _author(F.col("author")).alias("author"),
-        _count(F.col("score")).alias("score"),
-        _count(F.col("num_comments")).alias("num_comments"),
-        F.timestamp_seconds("created_utc").alias("created_at"),
+        _text(_string(at("subreddit"))).alias("subreddit"),
+        _text(_string(at("title"))).alias("title"),
+        _string(at("permalink")).alias("permalink"),
+        F.when((js_trim(author) != "") & (author != "[deleted]"), author).alias("author"),
+        _count(at("score")).alias("score"),
+        _count(at("num_comments")).alias("num_comments"),
+        F.timestamp_seconds(_number(at("created_utc"))).alias("created_at"),
         F.when(body != "", F.substring(body, 1, BODY_CHARS)).alias("body_snippet"),
     )
     return out.where("subreddit != '' and startswith(permalink, '/')").where(~F.col("title").isin(*GONE))
 
 
 def _moment(value: Column) -> Column:
-    """A timestamp from ISO text, or epoch seconds or milliseconds (from 1e12)."""
-    n = value.try_cast("double")
-    return F.coalesce(F.timestamp_seconds(F.when(n < 1e12, n).otherwise(n / 1000)), F.try_to_timestamp(value))
+    """A timestamp from ISO text, or from a number: epoch seconds or milliseconds (from 1e12)."""
+    n = _number(value)
+    return F.coalesce(F.timestamp_seconds(F.when(n < 1e12, n).otherwise(n / 1000)), F.try_to_timestamp(_string(value)))
 
 
 def map_flat_items(payloads: DataFrame) -> DataFrame:
@@ -95,25 +116,25 @@ def map_flat_items(payloads: DataFrame) -> DataFrame:
 
     Comments meet their post on its id within a payload.
     """
-    item = "type: string, id: string, postId: string, subreddit: string, title: string, permalink: string, url: string, author: string, score: string, numComments: string, created: string, selftext: string, body: string"
-    rows = _entries(payloads, ["crawl_run_id", "query"], "array<string>", lambda p: p, "post_ord", item.replace(": ", " ")).select("crawl_run_id", "query", "post_ord", "r.*")
+    at = lambda field: _at("r", field)
+    rows = _entries(payloads, ["crawl_run_id", "query"], "array<variant>", lambda p: p, "post_ord").withColumn("type", _string(at("type")))
     key = ["crawl_run_id", "query", "post_id"]
-    comment = F.struct(F.col("post_ord").alias("ord"), _author(F.col("author")).alias("author"), F.substring(_text(F.col("body")), 1, COMMENT_CHARS).alias("body"), _count(F.col("score")).alias("score"), _moment(F.col("created")).alias("created_at"))
-    comments = rows.where((F.col("type") == "comment") & (_text(F.col("body")) != "")).withColumnRenamed("postId", "post_id").where("post_id is not null")
-    comments = comments.groupBy(*key).agg(F.array_sort(F.collect_list(comment)).alias("comments"))
-    link, body = F.coalesce("permalink", "url"), _text(F.col("selftext"))
+    comment = F.struct(F.col("post_ord").alias("ord"), _author(at("author")).alias("author"), F.substring(_text(_string(at("body"))), 1, COMMENT_CHARS).alias("body"), _count(at("score")).alias("score"), _moment(at("created")).alias("created_at"))
+    comments = rows.where("type = 'comment'").select("crawl_run_id", "query", _string(at("postId")).alias("post_id"), comment.alias("c")).where("post_id is not null and c.body != ''")
+    comments = comments.groupBy(*key).agg(F.array_sort(F.collect_list("c")).alias("comments"))
+    link, body = _string(F.coalesce(at("permalink"), at("url"))), _text(_string(at("selftext")))
     posts = rows.where("type = 'post'").select(
         "crawl_run_id",
         "query",
         "post_ord",
-        F.col("id").alias("post_id"),
-        _text(F.col("subreddit")).alias("subreddit"),
-        _text(F.col("title")).alias("title"),
+        _string(at("id")).alias("post_id"),
+        _text(_string(at("subreddit"))).alias("subreddit"),
+        _text(_string(at("title"))).alias("title"),
         F.when(hostname_of(link) != "", path_of(link)).alias("permalink"),
-        _author(F.col("author")).alias("author"),
-        _count(F.col("score")).alias("score"),
-        _count(F.col("numComments")).alias("num_comments"),
-        _moment(F.col("created")).alias("created_at"),
+        _author(at("author")).alias("author"),
+        _count(at("score")).alias("score"),
+        _count(at("numComments")).alias("num_comments"),
+        _moment(at("created")).alias("created_at"),
         F.when(body != "", F.substring(body, 1, BODY_CHARS)).alias("body_snippet"),
     )
     kept = posts.where("subreddit != '' and permalink is not null").where(~F.col("title").isin(*GONE))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,22 @@ def crawl_bucket(buckets: int = BUCKETS):
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named."""
+    """The shared folder the session names in ``spark.checkpoint.dir``; a temporary one on a single machine only."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Rows that several branches of a plan read, computed once and kept where lost executors don't take them along."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def replace_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the rows of every crawl in ``results``; other crawls stay, and a rerun changes nothing.
 

@@ -153,3 +153,44 @@ def test_first_link_suggestions_of_any_topic_size(spark):
                         seen.append((i, j, t))
         want += [(c, k + 1, keys[c, i], keys[c, j], t) for k, (i, j, t) in enumerate(seen[:8])]
     assert sorted(map(tuple, content.content_link_suggestions(plan, df, edges).collect())) == want
+
+
+def test_pages_are_read_once(spark):
+    """The widest queries scan the given tables at most three times in all."""
+    from sitemetry.plans import registry
+
+    for name in ("rank_opportunities", "enrich_opportunities", "plan_content", "content_link_suggestions"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= 3, name
+
+
+def test_queries_match_over_all_pairs(spark):
+    """The join on the first shared token finds what a comparison of all pairs finds."""
+    import random
+
+    from sitemetry.operators import metrics
+
+    r = random.Random(3)
+    phrase = lambda: " ".join(r.choice("red blue green big small cat dog".split()) for _ in range(r.randrange(0, 5)))
+    o = [("c", f"o{i:02}", phrase(), r.randrange(5)) for i in range(40)]
+    m = [("c", i, phrase(), float(i)) for i in range(60)]
+    got = metrics.match_queries(spark.createDataFrame(o, "crawl_run_id string, opportunity_id string, query string, score int"), spark.createDataFrame(m, "crawl_run_id string, row_ord int, query string, clicks double"))
+
+    def score(a, b):
+        a, b = a.split(), b.split()
+        if not a or not b:
+            return 0.0
+        if a == b:
+            return 1.0
+        if all(x in b for x in a):
+            return 0.8
+        if all(x in a for x in b):
+            return 0.7
+        return sum(x in b for x in a) / len(set(a) | set(b))
+
+    want = {}
+    for _, k, q, _ in m:
+        s, _, best = min((-score(p, q), sc, i) for _, i, p, sc in o)
+        if -s >= 0.6:
+            want[k] = (best, -s)
+    assert {x["row_ord"]: (x["opportunity_id"], x["match_score"]) for x in got.collect()} == want

@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .runtime import cut_lineage, measured
+
 #: Words in a k-mer, bits that name a slot (32 slots), k-mers selected in a slot.
 K, SLOT_BITS, PER_SLOT = 3, 5, 2
-#: Words longer than this are cut, so that a text without spaces has k-mers as well.
-WORD_CHARS = 12
-#: Low bits of a value that hold the k-mer's place in the text.
-PLACE_BITS = 24
-#: Documents in one ordered range when neighbours are looked up.
-RANGE_ROWS = 1_000
-MAX_RANGES = 20_000
+# Unicode ranges of scripts without blanks (Thai, Lao, Myanmar, Khmer, kana, Han), in which each character is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Low bits of a value that hold the k-mer's place in the text: as many as an array can have entries.
+PLACE_BITS = 31
+#: Documents in one ordered piece when neighbours are looked up, about; ranges of ids that are known on the driver, at most.
+PIECE_ROWS, MAX_RANGES = 1_000, 20_000
 
 _PLACES = (1 << PLACE_BITS) - 1
 
@@ -71,7 +72,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     words, kmers, values, chosen = (f"__{out}_{x}" for x in ("words", "kmers", "values", "chosen"))
     kept = df.columns
-    df = df.withColumn(words, F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"([^ \t\n\r\f]{{1,{WORD_CHARS}}})"), F.lit(1)))
+    df = df.withColumn(words, F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"([{UNSPACED}]|[^ \t\n\r\f{UNSPACED}]+)"), F.lit(1)))
     w = F.col(words)
     short = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
     full = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
@@ -116,14 +117,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_starts(ids: DataFrame, key: str) -> list[int]:
-    """First keys of ranges of about RANGE_ROWS rows each: at most MAX_RANGES numbers."""
+    """First keys of ranges with about the same number of rows; a key that fills ranges alone has one to itself."""
     n = ids.count()
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
+    ranges = max(1, min(MAX_RANGES, n // PIECE_ROWS))
     if ranges == 1:
         return []
     shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx(key, shares, F.lit(max(10_000, 10 * ranges))).alias("p")).first()["p"]
-    return sorted(set(found or []))
+    found = ids.agg(F.percentile_approx(key, shares, F.lit(max(10_000, 10 * ranges))).alias("p")).first()["p"] or []
+    return sorted({*found, *(a + 1 for a, b in zip(found, found[1:], strict=False) if a == b and a < 2**63 - 1)})
 
 
 def _numbers(values: list[int | None]) -> Column:
@@ -141,28 +142,55 @@ def _range_of(key: Column, starts: list[int]) -> Column:
     return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + inside)
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """``df`` with columns of the next row by ascending ``key``; after the last comes the first.
+def _pieces(rows: DataFrame, key: str, text: str, starts: list[int]) -> DataFrame:
+    """``rows`` with ``__r`` and ``__piece``: pieces in the order of (key, hash of the text).
 
-    ``columns`` maps columns to the names of their copies. Rows are dealt to ranges of the key,
-    and each range also gets the first row of the next one, so no task sees more than a range.
+    A range of keys is cut evenly between its least and greatest key, and a range of one key by the hash.
+    """
+    dealt = rows.withColumn("__r", _range_of(F.col(key), starts))
+    facts = {r["__r"]: r for r in dealt.select("__r", key).groupBy("__r").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda value: F.get(_numbers([value(facts[r]) if r in facts else 0 for r in range(len(starts) + 1)]), F.col("__r"))
+    pieces = of(lambda f: -(-f["n"] // PIECE_ROWS))
+    lo, hi = of(lambda f: f["lo"]), of(lambda f: f["hi"])
+    # In doubles, so that no difference of keys overflows; rounding keeps the order.
+    at = (F.col(key).cast("double") - lo.cast("double")) / (hi.cast("double") - lo.cast("double") + 1)
+    if any(f["lo"] == f["hi"] and f["n"] > PIECE_ROWS for f in facts.values()):
+        at = F.when(lo == hi, F.xxhash64(text) / F.lit(2.0**64) + 0.5).otherwise(at)
+    return dealt.withColumn("__piece", F.least(pieces - 1, F.floor(at * pieces)))
+
+
+def with_next(df: DataFrame, key: str, text: str, columns: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the next row by ascending (key, hash of the text, text); after the last comes the first.
+
+    ``columns`` maps columns to the names of their copies. Rows are dealt to pieces of about
+    PIECE_ROWS rows, and each piece also gets the first row of the next one. The ranges that pieces
+    are cut from are known on the driver; the pieces themselves are a table that grows with ``df``.
     """
     starts = _range_starts(df.select(key), key)
-    dealt = df.withColumn("__range", _range_of(F.col(key), starts))
-    firsts = {r["__range"]: r["k"] for r in dealt.select(key, "__range").groupBy("__range").agg(F.min(key).alias("k")).collect()}
-    filled = sorted(firsts)
-    # The first row of each range follows the last row of the range before it; the very first follows the last.
-    before = {r: filled[i - 1] for i, r in enumerate(filled)}
+    dealt = _pieces(df, key, text, starts)
+    ties = any(a == b for a, b in zip(starts, [x - 1 for x in starts[1:]], strict=False))
+    tie = F.xxhash64(text) if ties else F.lit(0).cast("bigint")
+    bucket = ["__r", "__piece"]
+    firsts = _pieces(df.select(key, text), key, text, starts).groupBy(*bucket).agg(F.min(F.struct(F.col(key).alias("k"), tie.alias("t"))).alias("__first"))
+    firsts = cut_lineage(firsts)
+    ends = {r["__r"]: r["p"] for r in firsts.groupBy("__r").agg(F.max("__piece").alias("p")).collect()}
+    filled = sorted(ends)
+    # The first row of a piece follows the last row of the piece before it; the very first follows the last.
+    above = {r: filled[i - 1] for i, r in enumerate(filled)}
     ranges = range(len(starts) + 1)
-    is_first = F.get(_numbers([firsts.get(r) for r in ranges]), F.col("__range")) == F.col(key)
-    to = F.get(_numbers([before.get(r) for r in ranges]), F.col("__range")).cast("int")
-    own, extra = (F.struct(F.col("__range").alias("r"), F.lit(0).alias("extra")), F.struct(to.alias("r"), F.lit(1).alias("extra")))
-    placed = dealt.withColumn("__sent", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
-    placed = placed.select(*df.columns, F.col("__sent.r").alias("__r"), F.col("__sent.extra").alias("__extra"))
-    in_order = Window.partitionBy("__r").orderBy("__extra", key, *[c for c in columns if c != key])
+    lookup = lambda value: F.get(_numbers([value(r) if r in above else 0 for r in ranges]), F.col("__r"))
+    inside = F.lag("__piece").over(Window.partitionBy("__r").orderBy("__piece"))
+    back = F.when(inside.isNotNull(), F.struct(F.col("__r").cast("bigint").alias("r"), inside.alias("p"))).otherwise(F.struct(lookup(lambda r: above[r]).alias("r"), lookup(lambda r: ends[above[r]]).alias("p")))
+    placed = dealt.join(measured(firsts.withColumn("__back", back), 64), bucket)
+    own = F.struct(F.col("__r").cast("bigint").alias("r"), F.col("__piece").alias("p"), F.lit(0).alias("extra"))
+    extra = F.struct(F.col("__back.r").alias("r"), F.col("__back.p").alias("p"), F.lit(1).alias("extra"))
+    is_first = (F.col("__first.k") == F.col(key)) & (F.col("__first.t") == tie)
+    placed = placed.withColumn("__sent", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
+    placed = placed.select(*df.columns, "__sent")
+    in_order = Window.partitionBy("__sent.r", "__sent.p").orderBy("__sent.extra", key, F.xxhash64(text), text)
     for column, name in columns.items():
         placed = placed.withColumn(name, F.lead(column).over(in_order))
-    return placed.where("__extra = 0").drop("__r", "__extra")
+    return placed.where("__sent.extra = 0").drop("__sent")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -173,13 +201,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     the edited text and of the next document.
 
     Defined cases: a null text is empty; an empty text has no filled slot and two of them are
-    alike; equal doc_ids are ordered by text; a null doc_id comes before all others; a single
+    alike; equal doc_ids are ordered by hash of the text; a null doc_id comes before all others; a single
     document is followed by itself; an empty table gives an empty one; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63))))
     marked = with_fingerprint(rows, "text", "fp")
-    joined = with_next(marked, "__key", {"text": "next_text", "fp": "next_fp"})
+    joined = with_next(marked, "__key", "text", {"text": "next_text", "fp": "next_fp"})
     joined = joined.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = joined.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next_text, 1, cut)"))).drop("text", "next_text")
     both = with_fingerprint(edited, "edited", "edited_fp")

@@ -47,7 +47,7 @@ _no_word = re.compile(r"[\W_]+")
 _STRIPPED = " \t\n\r\f.,;:!?\"'()*#-"
 WORDED, ENDS, OPENS, ANCHORED = 1, 2, 4, 8
 #: Different tokens that a task remembers between texts, about.
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 17
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, html_text, language_id, mixing, near_duplicates, passages, topk, url_filter
-from .runtime import table
+from .runtime import short_text_batches, table
 
 #: (verdict, host and path) of the explicit URL rules.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -20,8 +20,14 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of whole texts, for a job of its own: the session's batches are made short."""
+    short_text_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(texts(spark, sf_dir))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +35,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    turns = texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.digest_conversations(chat.format_turns(turns))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(texts(spark, sf_dir, "pages"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +48,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), keep_ids=False)
+    return bpe.encode(texts(spark, sf_dir), *tokenizer(), keep_ids=False)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(texts(spark, sf_dir))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,15 +61,15 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passages.dedup_passages(texts(spark, sf_dir).select("doc_id", "text"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    return mixing.replicate(texts(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(texts(spark, sf_dir))
 
 
 QUERIES = {

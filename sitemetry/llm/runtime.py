@@ -12,11 +12,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task works on at a time where rows carry whole texts. The engine's own batches are
-#: bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set otherwise).
+#: Rows that a task works on at a time where rows carry whole texts.
 TEXT_ROWS = 512
 
 
+def short_text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """For jobs, not operators: lower the session's Arrow batches to ``rows`` (never raises them).
+
+    Operators work on pieces of a batch either way; short batches also keep the batch itself small,
+    which is else bounded by spark.sql.execution.arrow.maxBytesPerBatch only (64 MB if not set).
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder that the session names in ``spark.checkpoint.dir``.
 

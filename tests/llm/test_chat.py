@@ -48,3 +48,9 @@ def test_mask_covers_assistant_text(spark):
     rows = {r["turn"]: r for r in chat.format_turns(df).collect()}
     assert rows[0]["mask_start"] == rows[0]["mask_end"] == 0
     assert rows[1]["formatted"][rows[1]["mask_start"] : rows[1]["mask_end"]] == "answer <\\| x"
+
+
+def test_ids_beside_a_null_id_stay_whole(spark):
+    rows = [(None, 0, "user", "a"), (9007199254740993, 0, "user", "b"), (2**62 + 1, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r["conv_id"] for r in chat.digest_conversations(chat.format_turns(df)).collect()} == {None, 9007199254740993, 2**62 + 1}

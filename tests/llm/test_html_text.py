@@ -65,3 +65,19 @@ def test_weights_come_from_rare_labelled_pages(spark, monkeypatch):
     labelled = [PAGE.replace("{}", f"Paragraph {i} has words of its own.") for i in range(20)]
     alone = html_text.learn_weights(table(spark, labelled))
     assert alone and html_text.learn_weights(table(spark, [*labelled, *(f"<p>plain page {i}</p>" for i in range(2000))])) == alone
+
+
+def test_references_end_at_tags_and_class_names_mark_as_a_whole(spark):
+    page = "<article><p>AT&<b>amp;</b> T</p><div class='social-science'>Kept words here.</div><div class='cookieNotice-wrapper'>Gone</div><div class='post share-links'>Gone too</div><p class='ad-hoc study'>Kept too.</p></article>"
+    got = html_text.extract(table(spark, [page])).first()["text"]
+    assert got == "AT&amp; T\nKept words here.\nKept too."
+
+
+def test_given_pages_without_their_mark(spark):
+    """Weights learned from pages that mark their article find it on pages that don't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    want = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(r["page_id"], r["url"], r["html"], "", 0) for r in pages], SCHEMA)).collect()}
+    bare = [(r["page_id"], r["url"], re.sub(r"<(/?)article>", r"<\1div>", r["html"]) if i % 2 else r["html"], "", 0) for i, r in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(bare, SCHEMA)).collect()}
+    same = [got[r["page_id"]] == want[r["page_id"]] for i, r in enumerate(pages) if i % 2]
+    assert sum(same) >= 0.9 * len(same)

@@ -45,6 +45,45 @@ def test_long_text_is_read_whole_and_batching_changes_nothing():
     assert len(net.label_positions("héllo")) == 6
 
 
+def test_network_against_plain_loops():
+    """Probabilities of every byte and of whole documents, cell by cell without arrays."""
+    net = li.Network.fresh(["a", "b", "c"], hidden=3, seed=9)
+    clip = lambda x: min(1.0, max(-1.0, x))
+
+    def states(codes, d):
+        h, out = [0.0] * 3, []
+        for code in codes:
+            fed = [float(x) for x in net.table[d][code]]
+            gate = [(clip(fed[j] + sum(float(net.gates[d][j][i]) * h[i] for i in range(3))) + 1) / 2 for j in range(6)]
+            cand = [clip(fed[6 + j] + sum(float(net.state[d][j][i]) * gate[3 + i] * h[i] for i in range(3))) for j in range(3)]
+            h = [h[j] + gate[j] * (cand[j] - h[j]) for j in range(3)]
+            out.append(h)
+        return out
+
+    for text in ("a", "héllo wörld", "the quick brown fox " * 9, "z" * li.WINDOW, "é" * 97):
+        total, labels, data = [0.0] * 3, [], text.encode()
+        for at in range(0, len(data), li.WINDOW):
+            part = data[at : at + li.WINDOW]
+            forward, backward = states(part, 0), states(part[::-1], 1)[::-1]
+            for f, b in zip(forward, backward, strict=True):
+                e = [np.exp(float(net.bias[k][0]) + sum(float(net.out[k][i]) * x for i, x in enumerate(f + b))) for k in range(3)]
+                p = [x / sum(e) for x in e]
+                labels.append(net.languages[int(np.argmax(p))])
+                total = [t + x for t, x in zip(total, p, strict=True)]
+        assert np.allclose(net.document_probabilities([data])[0], np.array(total) / len(data), atol=1e-4)
+        assert sum(x == y for x, y in zip(net.label_positions(text), labels, strict=True)) >= 0.99 * len(labels)
+
+
+def test_pipeline_threshold_on_held_out_documents(spark):
+    """Documents with a majority are right almost always, few others are dropped, and the network decides, not the letters."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = li.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    kept = [r for r in got if r["score"] > li.MAJORITY]
+    assert len(kept) > 0.995 * len(got) and sum(r["lang_pred"] == r["lang"] for r in kept) > 0.99 * len(kept)
+    dropped = docs.join(li.keep_identified(docs).select("doc_id"), "doc_id", "left_anti")
+    assert 0 < dropped.where("text rlike '\\\\p{L}'").count() < 0.005 * docs.count()
+
+
 def test_held_out_accuracy_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = li.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 
 from sitemetry.llm import bpe, language_id, mixing, near_duplicates, passages
 from sitemetry.llm.queries import tokenizer
-from sitemetry.llm.runtime import checkpoint_folder, delete_folder, table
+from sitemetry.llm.runtime import checkpoint_folder, delete_folder, short_text_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those of which no language holds most of the probability."""
+    short_text_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id stays."""
+    short_text_batches(spark)
     return near_duplicates.keep_one_of_each_group(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; ``n_chars`` follows the text."""
+    short_text_batches(spark)
     columns = [F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return passages.dedup_passages(docs).select(*columns)
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the bytes they decode to."""
+    short_text_batches(spark)
     return bpe.encode(docs, *tokenizer())
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,78 +117,77 @@ class Reader:
         starts[0] = 0
         return ids[worded], first, starts
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, at, units) of every span: its hash, the number of its first unit, and how many it has."""
-        ids, first, _ = self.units(text)
+    def spans(self, text: str) -> tuple[np.ndarray, ...]:
+        """(a, b, at, to, start, stop) of every span: its hash, its units from ``at`` up to ``to``, and their part of the text."""
+        ids, first, places = self.units(text)
         n = len(first)
         if n < SPAN:
-            none = np.empty(0, np.int64)
-            return none, none, none, none
+            return (np.empty(0, np.int64),) * 6
         ends = np.append(first[1:], len(ids))  # words up to the end of each unit
         at = np.arange(n)
         to = np.maximum(at + SPAN - 1, np.searchsorted(ends, first + MIN_WORDS))
         back = np.minimum(at - SPAN + 1, np.searchsorted(first, ends - MIN_WORDS, side="right") - 1)
         runs = np.unique(np.concatenate((at[to < n] * n + to[to < n], back[back >= 0] * n + at[back >= 0])))
-        start, stop = runs // n, runs % n
+        head, last = runs // n, runs % n
         self._tables(len(ids))
         digests = np.frombuffer(self.words.digests, np.uint64).reshape(-1, 2)[ids]
         hashes = []
         for i in range(2):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests[:, i] * self.powers[i][: len(ids)])))
-            h = (sums[ends[stop]] - sums[first[start]]) * self.inverses[i][first[start]]
+            h = (sums[ends[last]] - sums[first[head]]) * self.inverses[i][first[head]]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             hashes.append((h ^ (h >> np.uint64(29))).view(np.int64))
-        return hashes[0], hashes[1], start, stop - start + 1
+        places = np.append(places, len(text))
+        return hashes[0], hashes[1], head, last + 1, places[head], places[last + 1]
 
-    def without(self, text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-        """The text without the units of (at, units), and how many units those are."""
-        _, _, starts = self.units(text)
-        gone = np.zeros(len(starts) + 1, np.int64)
-        for at, units in spans:
-            gone[at] += 1
-            gone[at + units] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
-        places = [*starts.tolist(), len(text)]
-        left = "".join(text[places[i] : places[i + 1]] for i in np.flatnonzero(~gone))
-        return left.lstrip(" \t\n\r\f"), int(gone.sum())
+
+_INTS = ["at", "to", "start", "stop"]
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    """(a, b, doc, text_hash, at, units): every span of (doc, text_hash, text)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()), ("units", pa.int32())])
+    """(a, b, doc, text_hash, at, to, start, stop): every span of (doc, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in pieces(batches, 64):
-            found, owner = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                spans = reader.spans(text)
-                found.append(spans)
-                owner.append(np.full(len(spans[0]), i))
-            a, b, at, units = (np.concatenate(x) for x in zip(*found, strict=True))
-            owner = np.concatenate(owner)
-            docs, keys = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(docs), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(units.astype(np.int32))], schema=schema)
+            found = [reader.spans(text) for text in batch.column(2).to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            a, b, *ints = (np.concatenate(x) for x in zip(*found, strict=True))
+            longs = [a, b, batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), *(pa.array(x.astype(np.int32)) for x in ints)], names=["a", "b", "doc", "text_hash", *_INTS])
+
+    schema = "a bigint, b bigint, doc bigint, text_hash bigint, " + ", ".join(f"{c} int" for c in _INTS)
+    return rows.select("doc", "text_hash", "text").where("text is not null").mapInArrow(run, schema)
+
 
-    return rows.select("doc", "text_hash", "text").where("text is not null").mapInArrow(run, "a bigint, b bigint, doc bigint, text_hash bigint, at int, units int")
+def _joined(spans: Column) -> Column:
+    """Parts (at, to, start, stop) that sorted spans cover together; spans that start later don't end earlier."""
+    apart = lambda x, y: F.coalesce(y["at"] > x["to"], F.lit(True))
+    heads = F.filter(spans, lambda x, i: (i == 0) | apart(F.get(spans, i - 1), x))
+    tails = F.filter(spans, lambda x, i: apart(x, F.get(spans, i + 1)))
+    return F.zip_with(heads, tails, lambda h, t: F.struct(h["at"].alias("at"), t["to"].alias("to"), h["start"].alias("start"), t["stop"].alias("stop")))
 
 
-def later_spans(rows: DataFrame) -> DataFrame:
-    """(doc, text_hash, spans): the spans of each row that are not the first occurrence."""
+def covered_parts(rows: DataFrame) -> DataFrame:
+    """(doc, text_hash, parts): what each row's spans cover that are not the first occurrence."""
     with shared_table(spans_of(rows), "spans") as spans:
         place = F.struct("doc", "text_hash", "at")
-        repeated = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-        repeated = cut_lineage(repeated.where("first != last").select("a", "b", "first", "n"))
+        repeated = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        repeated = cut_lineage(repeated.where("n > 1"))
         met = join_counted(spans, repeated, ["a", "b"], spans.count())
-        later = met.where(place != F.col("first")).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("at", "units")).alias("spans"))
-        return cut_lineage(later)
+        later = met.where(place != F.col("first")).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct(*_INTS))).alias("spans"))
+        return cut_lineage(later.select("doc", "text_hash", _joined(F.col("spans")).alias("parts")))
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, parts: pd.Series) -> pd.Series:
+    """Texts without their parts; null where there are none."""
 
+    def left(text: str, parts: list[dict]) -> str:
+        edges = [0, *(x for p in parts for x in (p["start"], p["stop"])), len(text)]
+        return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).lstrip(" \t\n\r\f")
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
-def _without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    reader = Reader()
-    cut = [(None, 0) if s is None else reader.without(t, [(x["at"], x["units"]) for x in s]) for t, s in zip(text, spans, strict=True)]
-    return pd.DataFrame(cut, columns=["text", "removed"])
+    return pd.Series([None if p is None else left(t, p) for t, p in zip(text, parts, strict=True)], dtype=object)
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -210,9 +209,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    later = measured(later_spans(rows), 40 + 16 * F.size("spans"))
-    found = rows.join(later, ["doc", "text_hash"], "left").withColumn("hit", F.col("spans").isNotNull())
-    found = found.withColumn("cut", _without(F.when(F.col("hit"), F.col("text")), F.col("spans")))
-    text = F.when(F.col("hit"), F.col("cut.text")).otherwise(F.col("text"))
-    removed = F.when(F.col("hit"), F.col("cut.removed")).otherwise(F.lit(0).cast("bigint"))
+    covered = measured(covered_parts(rows), 64 + 48 * F.size("parts"))
+    found = rows.join(covered, ["doc", "text_hash"], "left").withColumn("hit", F.col("parts").isNotNull())
+    text = F.when(F.col("hit"), _without(F.when(F.col("hit"), F.col("text")), F.col("parts"))).otherwise(F.col("text"))
+    removed = F.when(F.col("hit"), F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + p["to"] - p["at"])).otherwise(F.lit(0).cast("bigint"))
     return found.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()], removed.alias("removed_units"))

@@ -132,5 +132,5 @@ def test_repeated_rows_empty_table_and_columns(spark):
     assert got.columns == [*df.columns, "removed_units"]
     assert sorted((r["doc_id"], r["text"], r["starts"]) for r in got.collect()) == [(1, text, "s"), (1, text, "s"), (2, "", "s")]
     assert passages.dedup_passages(df.limit(0)).count() == 0
-    clash = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, spans int, cut int")
-    assert sorted((r["doc_id"], r["text"], r["spans"], r["cut"]) for r in passages.dedup_passages(clash).collect()) == [(1, text, 5, 6), (2, "", 7, 8)]
+    clash = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, parts int, hit int")
+    assert sorted((r["doc_id"], r["text"], r["parts"], r["hit"]) for r in passages.dedup_passages(clash).collect()) == [(1, text, 5, 6), (2, "", 7, 8)]

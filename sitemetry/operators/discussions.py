@@ -78,8 +78,7 @@ def noise_filter(terms: DataFrame) -> DataFrame:
     return kept.withColumn("pair", F.array_join("tokens", " ")).join(inside, ["crawl_run_id", "pair", "kind"], "left_anti").drop("pair")
 
 
-def rank_discussion_queries(kept: DataFrame, most: int = QUERIES_KEPT) -> DataFrame:
-    """(crawl_run_id, query_ord, query, term_score, core): the searches of a crawl, best first."""
+def _term_scores(kept: DataFrame) -> DataFrame:
     clear = F.size(_specific(F.col("tokens"))) == F.size("tokens")
     general_first = F.array_contains(literals(GENERAL), F.get("tokens", F.lit(0)))
     kind = F.col("kind")
@@ -89,25 +88,38 @@ def rank_discussion_queries(kept: DataFrame, most: int = QUERIES_KEPT) -> DataFr
         .when(kind == BIGRAM, F.when(clear, 25).when(general_first, 5).otherwise(10))
         .otherwise(F.when(clear, 5).otherwise(0))
     )
-    scored = kept.withColumn("term_score", 20 * F.col("doc_freq") + F.when(F.col("dedicated"), 10).otherwise(0) + specificity)
+    return kept.withColumn("term_score", 20 * F.col("doc_freq") + F.when(F.col("dedicated"), 10).otherwise(0) + specificity)
+
+
+def rank_discussion_queries(kept: DataFrame, most: int = QUERIES_KEPT) -> DataFrame:
+    """(crawl_run_id, query_ord, query, term_score, core): the searches of a crawl, best first."""
     place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy(F.desc("term_score"), "term"))
-    ranked = scored.withColumn("query_ord", place).where(F.col("query_ord") <= most)
+    ranked = _term_scores(kept).withColumn("query_ord", place).where(F.col("query_ord") <= most)
     return ranked.select("crawl_run_id", "query_ord", F.col("term").alias("query"), "term_score", (F.col("doc_freq") >= CORE_TOPIC_PAGES).alias("core"))
 
 
+def core_discussion_terms(kept: DataFrame) -> DataFrame:
+    """(crawl_run_id, term, term_score): every kept term of several pages; its place follows from score and term."""
+    return _term_scores(kept.where(F.col("doc_freq") >= CORE_TOPIC_PAGES)).select("crawl_run_id", "term", "term_score")
+
+
 def score_discussions(posts: DataFrame, core_terms: DataFrame, as_of: datetime) -> DataFrame:
     """``posts`` (crawl_run_id, query, title, body_snippet, author, score, num_comments, created_at, ...) with
     relevance, impact, confidence, opportunity_score, priority and reason.
 
-    ``core_terms`` holds (crawl_run_id, term); its words are gathered once per crawl, at most a few
-    hundred after the cut to core topics.
+    ``core_terms`` holds (crawl_run_id, term). Their words meet the posts' words in a join on (crawl,
+    word), so neither side of a large crawl is gathered.
     """
-    words = core_terms.select("crawl_run_id", F.explode(significant_tokens(F.col("term"))).alias("w")).groupBy("crawl_run_id").agg(F.collect_set("w").alias("__core"))
-    rows = posts.join(words, "crawl_run_id", "left").withColumn("__core", F.coalesce("__core", F.array().cast("array<string>")))
-    rows = rows.withColumn("__t", significant_tokens(F.col("title"))).withColumn("__b", significant_tokens(F.col("body_snippet"))).withColumn("__q", significant_tokens(F.col("query")))
+    rows = posts.withColumn("__t", significant_tokens(F.col("title"))).withColumn("__b", significant_tokens(F.col("body_snippet"))).withColumn("__q", significant_tokens(F.col("query")))
+    row = F.sha2(F.to_json(F.struct(*posts.columns)), 256)
+    rows = rows.withColumn("__row", row)
+    words = core_terms.select("crawl_run_id", F.explode(significant_tokens(F.col("term"))).alias("w")).distinct()
+    spoken = rows.select("crawl_run_id", "__row", F.concat("__t", "__b").alias("w")).dropDuplicates(["__row"]).select("crawl_run_id", "__row", F.explode("w").alias("w"))
+    heard = spoken.join(words, ["crawl_run_id", "w"]).groupBy("__row").agg(F.count(F.lit(1)).alias("__core"))
+    rows = rows.join(heard, "__row", "left")
     hit = F.size(F.filter("__q", lambda w: F.array_contains("__t", w)))
     match = F.when(F.size("__q") == 0, 0.0).otherwise(hit / F.size("__q"))
-    core = F.size(F.filter(F.concat("__t", "__b"), lambda w: F.array_contains("__core", w)))
+    core = F.coalesce("__core", F.lit(0))
     relevance = js_round(F.least(F.lit(40.0), 8 + 12 * match + 3 * F.least(core, F.lit(6))))
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp("created_at")) / 86400)
     dated = F.col("created_at").isNotNull()  # greatest() passes over nulls
@@ -124,7 +136,7 @@ def score_discussions(posts: DataFrame, core_terms: DataFrame, as_of: datetime)
     reason = F.concat(
         F.lit('"'), "title", F.lit('" in r/'), "subreddit", F.lit(" ("), many(F.col("num_comments"), "comment"), F.lit(" · "), many(F.col("score"), "point"), days, F.lit(') relates to topic "'), "query", F.lit('".')
     )
-    return rows.withColumn("priority", priority_of(F.col("opportunity_score"))).withColumn("reason", reason).drop("__core", "__t", "__b", "__q")
+    return rows.withColumn("priority", priority_of(F.col("opportunity_score"))).withColumn("reason", reason).drop("__core", "__t", "__b", "__q", "__row")
 
 
 def rank_discussions(scored: DataFrame, most: int = DISCUSSIONS_KEPT) -> DataFrame:

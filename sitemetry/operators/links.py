@@ -44,16 +44,25 @@ def discovered_urls(pages: DataFrame, runs: DataFrame, sitemap_urls: DataFrame |
     return found.distinct()
 
 
+def _robots_lines(files: DataFrame) -> DataFrame:
+    """(host, pos, field, value) of the lines of (host, body) robots.txt texts."""
+    line = F.trim(F.regexp_replace("line", r"^[\s]+|[\s]+$", ""))
+    rows = files.select("host", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).withColumn("line", line).where("line != '' and not startswith(line, '#') and contains(line, ':')")
+    return rows.select("host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """Distinct (host, sitemap): the sitemaps that (host, body) robots.txt texts name, whatever group they stand in."""
+    return _robots_lines(files).where("field = 'sitemap'").select("host", F.col("value").alias("sitemap")).distinct()
+
+
 def parse_robots(files: DataFrame) -> DataFrame:
     """(host, group_ord, agent, rule_ord, allow, pattern) from (host, body) robots.txt texts.
 
     Agent lines in a row share a group; one after rules starts a new group. A group without rules
     has one row with a null pattern for each agent.
     """
-    line = F.trim(F.regexp_replace("line", r"^[\s]+|[\s]+$", ""))
-    rows = files.select("host", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).withColumn("line", line).where("line != '' and not startswith(line, '#') and contains(line, ':')")
-    rows = rows.select("host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
-    rows = rows.where("field = 'user-agent' or (field in ('allow', 'disallow') and value != '')")
+    rows = _robots_lines(files).where("field = 'user-agent' or (field in ('allow', 'disallow') and value != '')")
     by_host = Window.partitionBy("host").orderBy("pos")
     is_agent = F.col("field") == "user-agent"
     starts = is_agent & ~F.coalesce(F.lag("field").over(by_host) == "user-agent", F.lit(False))

@@ -117,11 +117,15 @@ def _answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", payloads.extract_answer_text(payload).alias("answer"))
 
 
-def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = crawled_pages(spark, sf_dir).select(F.col("crawl_run_id").alias("host")).distinct()
     general = "# rules\r\nUser-agent: *\nUser-Agent: other\nDisallow: /de/\nAllow: /de/t\nDisallow:\nDisallow: /fr/*th\nSitemap: https://x/s.xml\n"
     body = F.when(F.length("host") % 3 == 0, F.lit(general + "\nUser-agent: SiteBot\nDisallow: /en/a\n")).otherwise(F.lit(general))
-    return links.parse_robots(hosts.select("host", body.alias("body")))
+    return hosts.select("host", F.concat(body, F.when(F.length("host") % 2 == 0, F.concat(F.lit("\nSITEMAP : https://"), "host", F.lit("/map.xml\n"))).otherwise(F.lit(""))).alias("body"))
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.parse_robots(_robots_files(spark, sf_dir))
 
 
 def _allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +198,7 @@ QUERIES = {
     "extract_answer_text": _answer_texts,
     "extract_sitemap_urls": _sitemaps,
     "parse_robots": _robots,
+    "robots_sitemaps": lambda s, d: links.robots_sitemaps(_robots_files(s, d)),
     "robots_allowed": _allowed,
     "crawl_frontier": _frontier,
     "private_target_filter": _targets,
@@ -231,6 +236,11 @@ ORACLE_SQL = {
       CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-02' END AS created_at, 'first' AS body_snippet, ['second'] AS comments FROM documents WHERE doc_id % 7 <> 0) QUALIFY row_number() OVER (PARTITION BY crawl_run_id ORDER BY post_ord) <= 10""",
     "extract_answer_text": r"SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 THEN '' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS answer FROM conversations",
     "extract_sitemap_urls": search_with() + "SELECT DISTINCT crawl_run_id, url || '?a=1&b=2' AS url FROM crawled",
+    "robots_sitemaps": search_with() + "SELECT DISTINCT crawl_run_id AS host, unnest(CASE WHEN length(crawl_run_id) % 2 = 0 THEN ['https://x/s.xml', 'https://' || crawl_run_id || '/map.xml'] ELSE ['https://x/s.xml'] END) AS sitemap FROM crawled",
+    "parse_robots": search_with()
+    + """, h AS (SELECT DISTINCT crawl_run_id AS host FROM crawled), agents AS (SELECT host, 1 AS group_ord, unnest(['*', 'other']) AS agent FROM h UNION ALL SELECT host, 2, 'sitebot' FROM h WHERE length(host) % 3 = 0),
+      rules AS (SELECT unnest([{'g': 1, 'rule_ord': 3, 'allow': false, 'pattern': '/de/'}, {'g': 1, 'rule_ord': 4, 'allow': true, 'pattern': '/de/t'}, {'g': 1, 'rule_ord': 6, 'allow': false, 'pattern': '/fr/*th'}, {'g': 2, 'rule_ord': 10, 'allow': false, 'pattern': '/en/a'}], recursive := true))
+      SELECT host, group_ord, agent, rule_ord, allow, pattern FROM agents JOIN rules ON g = group_ord""",
     "robots_allowed": search_with() + f"SELECT host, url, {_ALLOWED} AS allowed FROM (SELECT crawl_run_id AS host, url FROM crawled)",
     "crawl_frontier": search_with("found AS (SELECT crawl_run_id, website_url || '/' AS url FROM runs UNION SELECT crawl_run_id, unnest(internal_links) FROM content)")
     + f"""SELECT crawl_run_id, place, url FROM (SELECT crawl_run_id, url, row_number() OVER (PARTITION BY crawl_run_id ORDER BY url)::INTEGER AS place FROM

@@ -142,6 +142,7 @@ QUERIES = {
     "discussion_terms": _terms(lambda t: t),
     "noise_filter": _terms(discussions.noise_filter),
     "rank_discussion_queries": _terms(lambda t: discussions.rank_discussion_queries(discussions.noise_filter(t))),
+    "core_discussion_terms": _terms(lambda t: discussions.core_discussion_terms(discussions.noise_filter(t))),
     "parse_brief_text": _brief_texts,
     "apply_brief_enhancement": _enhanced,
     "discussion_tokens": lambda s, d: posts(s, d).select("post_ord", discussion_tokens(F.col("title")).alias("tokens")),

@@ -200,7 +200,9 @@ def link_facts(pages: DataFrame) -> DataFrame:
 
 def dimensions(pages: DataFrame, runs: DataFrame) -> DataFrame:
     """(crawl_run_id, technical, metadata, coverage, architecture, content), each from 0 to 100."""
-    f = page_facts(pages).join(link_facts(pages), "crawl_run_id").join(runs, "crawl_run_id")
+    facts = page_facts(pages).join(link_facts(pages), "crawl_run_id")
+    counts = [name for name in facts.columns if name != "crawl_run_id"]
+    f = runs.join(facts, "crawl_run_id", "left").na.fill(0, counts)  # a run without pages has scores as well
     c = F.col
     n = c("n_content")
     found = lambda name, other: F.when(F.coalesce(name, F.lit(False)), 100.0).otherwise(other)
@@ -218,7 +220,7 @@ def dimensions(pages: DataFrame, runs: DataFrame) -> DataFrame:
     metadata = sum((_share(c(name), n) * w for name, w in weights[1:]), _share(c(weights[0][0]), n) * weights[0][1])
     rate = lambda name: F.when(n > 0, c(name) / n * 100).otherwise(0.0)
     noindex = F.when(n > 0, (n - c("indexable")) / n * 30).otherwise(0.0)
-    coverage = _share(c("pages_crawled"), c("pages_discovered")) * 0.30 + _share(c("n_ok"), c("n_pages")) * 0.25 + rate("indexable") * 0.20 + rate("with_canonical") * 0.15 + (100 - noindex) * 0.10
+    coverage = _share(c("pages_crawled"), c("pages_discovered")) * 0.30 + F.when(c("n_pages") > 0, c("n_ok") / c("n_pages") * 100).otherwise(0.0) * 0.25 + rate("indexable") * 0.20 + rate("with_canonical") * 0.15 + (100 - noindex) * 0.10
     health = F.when(c("n_links") > 0, (c("n_links") - c("n_broken")) / c("n_links") * 100).otherwise(100.0)
     reach = F.when(c("n_urls") > 0, c("n_known_targets") / c("n_urls") * 100).otherwise(50.0)
     architecture = _share(c("with_links"), n) * 0.25 + health * 0.30 + found("sitemap_found", 50.0) * 0.20 + reach * 0.25
@@ -226,7 +228,7 @@ def dimensions(pages: DataFrame, runs: DataFrame) -> DataFrame:
     none = lambda score: F.when(n == 0, 0).otherwise(clamp_percent(score))
     return f.select(
         "crawl_run_id",
-        clamp_percent(technical).alias("technical"),
+        F.when(c("n_pages") == 0, 0).otherwise(clamp_percent(technical)).alias("technical"),
         none(metadata).alias("metadata"),
         F.when(c("pages_discovered") == 0, 50).otherwise(clamp_percent(coverage)).alias("coverage"),
         none(architecture).alias("architecture"),

@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, stats
-from .site_tables import CRAWL_SQL, crawl_runs, crawled_pages
+from .site_tables import CRAWL_SQL, HTML_SQL, crawl_runs, crawled_pages, html_pages
 
 
 def _pages(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(crawled_pages(spark, sf_dir))
 
 
+def _of_html(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The audit fed by what ``extract_page_features`` finds in the given HTML."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = html_pages(spark, sf_dir)
+        return operator(pages, crawl_runs(pages))
+
+    return query
+
+
 def _both(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = crawled_pages(spark, sf_dir)
@@ -35,6 +45,10 @@ QUERIES = {
     "crawl_state": _both(audit.crawl_state),
     **{f"dim_{k}": _both(lambda p, r, k=k: audit.dimensions(p, r).select("crawl_run_id", F.col(k).alias("score"))) for k in ("technical", "metadata", "coverage", "architecture", "content")},
     "health_score": _both(audit.health_score),
+    "html_page_issues": _of_html(lambda p, r: audit.page_issues(p)),
+    "html_issue_counts": _of_html(lambda p, r: audit.issue_counts(audit.all_issues(p, r), r)),
+    "html_health_score": _of_html(audit.health_score),
+    "html_crawl_overview": _of_html(lambda p, r: stats.crawl_overview(p)),
     "heading_stats": _pages(stats.heading_stats),
     "image_stats": _pages(stats.image_stats),
     "structured_data_stats": _pages(stats.structured_data_stats),
@@ -120,17 +134,17 @@ facts AS (
   SELECT f.*, coalesce(cf.n, 0) AS n, cf.* EXCLUDE (crawl_run_id, n), coalesce(lf.known, 0) AS known, coalesce(lf.broken, 0) AS broken FROM facts f LEFT JOIN cf ON cf.crawl_run_id = f.crawl_run_id LEFT JOIN lf ON lf.crawl_run_id = f.crawl_run_id
 ), scores AS (
   SELECT crawl_run_id,
-    CASE WHEN starts_with(wu, 'https://') THEN 100 ELSE 0 END * 0.25::DOUBLE + 100 * n_ok::DOUBLE / n_pages * 0.25::DOUBLE + CASE WHEN n = 0 THEN 100 ELSE 100 * indexable::DOUBLE / n END * 0.2::DOUBLE + CASE WHEN rf THEN 100 ELSE 60 END * 0.1::DOUBLE
-      + CASE WHEN sf THEN 100 ELSE 70 END * 0.1::DOUBLE + CASE WHEN n = 0 THEN 100 ELSE greatest(0, 100 - broken * 2::DOUBLE / (5 * n) * 100) END * 0.1::DOUBLE AS technical,
-    CASE WHEN n = 0 THEN 0 ELSE 100 * (titled * 15 + good_title * 5 + meta * 15 + h1 * 10 + single_h1 * 5 + og * 10 + vp * 10 + cs * 5 + lang * 5 + fav * 5 + canon * 15)::DOUBLE / (100 * n) END AS metadata,
-    CASE WHEN pd = 0 THEN 50 ELSE 100 * pc::DOUBLE / pd * 0.3::DOUBLE + 100 * n_ok::DOUBLE / n_pages * 0.25::DOUBLE + CASE WHEN n = 0 THEN 0 ELSE 100 * indexable::DOUBLE / n * 0.2::DOUBLE + 100 * canon::DOUBLE / n * 0.15::DOUBLE END
-      + (100 - CASE WHEN n = 0 THEN 0 ELSE (n - indexable)::DOUBLE / n * 30 END) * 0.1::DOUBLE END AS coverage,
-    CASE WHEN n = 0 THEN 0 ELSE 100 * linked::DOUBLE / n * 0.25::DOUBLE + CASE WHEN links > 0 THEN 100 * (links - broken)::DOUBLE / links ELSE 100 END * 0.3::DOUBLE + CASE WHEN sf THEN 100 ELSE 50 END * 0.2::DOUBLE + 100 * known::DOUBLE / n_urls * 0.25::DOUBLE END AS architecture,
-    CASE WHEN n = 0 THEN 0 ELSE 100 * long::DOUBLE / n * 0.3::DOUBLE + 100 * fast::DOUBLE / n * 0.3::DOUBLE + 100 * schema::DOUBLE / n * 0.2::DOUBLE + 100 * img::DOUBLE / n * 0.2::DOUBLE END AS content
+    CASE WHEN starts_with(wu, 'https://') THEN 100 ELSE 0 END * 0.25::DOUBLE + (n_ok::DOUBLE / n_pages * 100) * 0.25::DOUBLE + CASE WHEN n = 0 THEN 100 ELSE (indexable::DOUBLE / n * 100) END * 0.20::DOUBLE + CASE WHEN rf THEN 100 ELSE 60 END * 0.10::DOUBLE
+      + CASE WHEN sf THEN 100 ELSE 70 END * 0.10::DOUBLE + CASE WHEN n = 0 THEN 100 ELSE greatest(0, 100 - (broken * 2)::DOUBLE / (n * 5) * 100) END * 0.10::DOUBLE AS technical,
+    CASE WHEN n = 0 THEN 0 ELSE (titled::DOUBLE / n * 100) * 0.15::DOUBLE + (good_title::DOUBLE / n * 100) * 0.05::DOUBLE + (meta::DOUBLE / n * 100) * 0.15::DOUBLE + (h1::DOUBLE / n * 100) * 0.10::DOUBLE + (single_h1::DOUBLE / n * 100) * 0.05::DOUBLE + (og::DOUBLE / n * 100) * 0.10::DOUBLE + (vp::DOUBLE / n * 100) * 0.10::DOUBLE + (cs::DOUBLE / n * 100) * 0.05::DOUBLE + (lang::DOUBLE / n * 100) * 0.05::DOUBLE + (fav::DOUBLE / n * 100) * 0.05::DOUBLE + (canon::DOUBLE / n * 100) * 0.15::DOUBLE END AS metadata,
+    CASE WHEN pd = 0 THEN 50 ELSE (pc::DOUBLE / pd * 100) * 0.30::DOUBLE + (n_ok::DOUBLE / n_pages * 100) * 0.25::DOUBLE + CASE WHEN n = 0 THEN 0 ELSE (indexable::DOUBLE / n * 100) END * 0.20::DOUBLE + CASE WHEN n = 0 THEN 0 ELSE (canon::DOUBLE / n * 100) END * 0.15::DOUBLE
+      + (100 - CASE WHEN n = 0 THEN 0 ELSE (n - indexable)::DOUBLE / n * 30 END) * 0.10::DOUBLE END AS coverage,
+    CASE WHEN n = 0 THEN 0 ELSE (linked::DOUBLE / n * 100) * 0.25::DOUBLE + CASE WHEN links > 0 THEN ((links - broken)::DOUBLE / links * 100) ELSE 100 END * 0.30::DOUBLE + CASE WHEN sf THEN 100 ELSE 50 END * 0.20::DOUBLE + (known::DOUBLE / n_urls * 100) * 0.25::DOUBLE END AS architecture,
+    CASE WHEN n = 0 THEN 0 ELSE (long::DOUBLE / n * 100) * 0.30::DOUBLE + (fast::DOUBLE / n * 100) * 0.30::DOUBLE + (schema::DOUBLE / n * 100) * 0.20::DOUBLE + (img::DOUBLE / n * 100) * 0.20::DOUBLE END AS content
   FROM joined
 ), dims AS (
-  SELECT crawl_run_id, greatest(0, least(100, floor(technical + 0.5 + 1e-9)))::INTEGER AS technical, greatest(0, least(100, floor(metadata + 0.5 + 1e-9)))::INTEGER AS metadata, greatest(0, least(100, floor(coverage + 0.5 + 1e-9)))::INTEGER AS coverage,
-    greatest(0, least(100, floor(architecture + 0.5 + 1e-9)))::INTEGER AS architecture, greatest(0, least(100, floor(content + 0.5 + 1e-9)))::INTEGER AS content FROM scores
+  SELECT crawl_run_id, greatest(0, least(100, floor(technical + 0.5)))::INTEGER AS technical, greatest(0, least(100, floor(metadata + 0.5)))::INTEGER AS metadata, greatest(0, least(100, floor(coverage + 0.5)))::INTEGER AS coverage,
+    greatest(0, least(100, floor(architecture + 0.5)))::INTEGER AS architecture, greatest(0, least(100, floor(content + 0.5)))::INTEGER AS content FROM scores
 )
 """
 
@@ -173,7 +187,7 @@ ORACLE_SQL = {
     "health_score": _with(_LINKS, _DIMS, _STATE)
     + """SELECT s.crawl_run_id, crawl_state, CASE WHEN dead THEN 0 ELSE technical END AS technical, CASE WHEN dead THEN 0 ELSE metadata END AS metadata, CASE WHEN dead THEN 0 ELSE coverage END AS coverage,
       CASE WHEN dead THEN 0 ELSE architecture END AS architecture, CASE WHEN dead THEN 0 ELSE content END AS content,
-      CASE WHEN dead THEN 0 ELSE greatest(0, least(100, floor((technical * 30 + metadata * 25 + coverage * 25 + architecture * 15 + content * 5)::DOUBLE / 100 + 0.5 + 1e-9)))::INTEGER END AS health_score
+      CASE WHEN dead THEN 0 ELSE greatest(0, least(100, floor(technical * 0.30::DOUBLE + metadata * 0.25::DOUBLE + coverage * 0.25::DOUBLE + architecture * 0.15::DOUBLE + content * 0.05::DOUBLE + 0.5)))::INTEGER END AS health_score
       FROM (SELECT *, crawl_state IN ('FAILED', 'RESTRICTED') AS dead FROM state) s JOIN dims d ON d.crawl_run_id = s.crawl_run_id""",
     **{k: _with() + f"SELECT crawl_run_id, {v} FROM crawled GROUP BY 1" for k, v in _STATS.items()},
     "crawl_overview": _with() + f"SELECT crawl_run_id, {', '.join(_STATS.values())} FROM crawled GROUP BY 1",
@@ -191,3 +205,6 @@ ORACLE_SQL = {
     "coverage_rates": _with("a AS (SELECT crawl_run_id, count(*) AS n, count(canonical_url) AS c, sum(image_count) AS i, sum(images_missing_alt) AS m FROM crawled GROUP BY 1)")
     + f"SELECT crawl_run_id, {_PCT.format('c', 'n')} AS canonical_pct, CASE WHEN i = 0 THEN 100 ELSE {_PCT.format('(i - m)', 'i')} END AS alt_pct FROM a",
 }
+
+# The same SQL over features that it reads from the HTML by itself.
+ORACLE_SQL |= {f"html_{name}": ORACLE_SQL[name].replace(CRAWL_SQL, HTML_SQL) for name in ("page_issues", "issue_counts", "health_score", "crawl_overview")}

@@ -16,7 +16,7 @@ from ..sources import html, payloads, tables
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .planning_queries import _plan
 from .search_queries import search_with
-from .site_tables import crawl_runs, crawled_pages, stored_pages
+from .site_tables import HTML_SQL, crawl_runs, crawled_pages, stored_pages
 
 AGENT = "SiteBot/1.0 (+https://bot.example)"
 
@@ -166,7 +166,7 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "pages").withColumn("domain", U.hostname_of(F.col("url")))
-    return html.extract_page_features(p).select("page_id", "title", "h1_count", F.size("internal_links").alias("n_links"), "html_lang", "has_charset", "js_file_count", "external_link_count")
+    return html.extract_page_features(p).withColumn("internal_links", F.array_sort("internal_links"))
 
 
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +220,10 @@ ORACLE_SQL = {
     "norm_website_url": """SELECT page_id, CASE WHEN page_id % 10 > 1 THEN regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') END AS website_url, CASE WHEN page_id % 10 > 1 THEN regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') END AS domain,
       CASE page_id % 10 WHEN 0 THEN 'Website URL must use HTTP or HTTPS' WHEN 1 THEN 'Website URL is required' END AS error FROM pages""",
     "origin_of": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages",
-    "extract_page_features": """SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<h1>'))::INTEGER AS h1_count, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INTEGER AS n_links,
-      regexp_extract(html, '<html lang="([a-z]+)"', 1) AS html_lang, contains(html, '<meta charset') AS has_charset, 0 AS js_file_count, 0 AS external_link_count FROM pages""",
+    "extract_page_features": "WITH "
+    + HTML_SQL
+    + """SELECT page_seq AS page_id, * EXCLUDE (crawl_run_id, page_id, page_seq, status_code, content_type, response_time_ms, server_header, cdn_header, internal_links), list_sort(internal_links) AS internal_links,
+      NULL::VARCHAR AS twitter_title, NULL::VARCHAR AS twitter_description FROM crawled""",
     "flatten_query_metrics": f"""SELECT * EXCLUDE (odd) FROM (SELECT (doc_id // {ENTRIES})::VARCHAR AS site_url, (row_number() OVER (PARTITION BY doc_id // {ENTRIES} ORDER BY doc_id) - 1)::INTEGER AS row_ord, list_filter([source, lang], lambda k: k IS NOT NULL) AS keys, (doc_id % 50)::DOUBLE AS clicks,
       CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 900 END::DOUBLE AS impressions, 0::DOUBLE AS ctr, (doc_id % 100)::DOUBLE / 4 AS position, doc_id % 9 AS odd FROM documents) WHERE odd > 0 AND len(keys) > 0""".replace(") SELECT_ALL", ") WHERE odd > 0 AND len(keys) > 0").replace("SELECT * FROM (SELECT (doc_id", "SELECT * EXCLUDE (odd) FROM (SELECT (doc_id"),
     "flatten_metric_sites": "SELECT DISTINCT page_id % 9 AS user_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' AS site_url FROM pages WHERE page_id % 11 > 0",

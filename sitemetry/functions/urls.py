@@ -39,10 +39,55 @@ def is_http(url: Column) -> Column:
     return F.coalesce(scheme_of(url).isin("http", "https") & (hostname_of(url) != ""), F.lit(False))
 
 
+def _escaped(value: Column, bad: str) -> Column:
+    """Percent escapes for the characters that ``bad`` matches."""
+    code = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    each = F.transform(F.regexp_extract_all(value, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(bad), code(c)).otherwise(c))
+    return F.when(value.rlike(bad), F.array_join(each, "")).otherwise(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments resolved."""
+
+    def step(done: Column, part: Column) -> Column:
+        up, here = part.rlike(r"(?i)^(\.|%2e){2}$"), part.rlike(r"(?i)^(\.|%2e)$")
+        return F.when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(here, done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(F.substring(path, 2, 2**31 - 1), "/"), F.array().cast("array<string>"), step)
+    ends = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$") & (F.size(parts) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(?i)/(\.|%2e)"), F.concat(F.lit("/"), F.array_join(parts, "/"), ends)).otherwise(path)
+
+
+def _whole_url(url: Column, path: Column) -> Column:
+    credentials = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)", 1)
+    return F.concat(scheme_of(url), F.lit("://"), credentials, authority_of(url), _escaped(path, r"[^\x21-\x7e]|[\"<>`{}]"), _escaped(query_of(url), r"[^\x21-\x7e]|[\"<>']"))
+
+
 def norm_crawl_url(url: Column) -> Column:
-    """Without fragment, default port and trailing slashes of the path; the query stays. Null if not http(s)."""
-    path = F.regexp_replace(path_of(url), "/+$", "")
-    return F.when(is_http(url), F.concat(scheme_of(url), F.lit("://"), authority_of(url), F.when(path == "", "/").otherwise(path), query_of(url)))
+    """Without fragment, default port and trailing slashes of the path; dots resolved, blanks and other
+    characters escaped; query and credentials stay. Null if not http(s). ``html.normal_url`` has the same rules."""
+    path = F.regexp_replace(_without_dots(path_of(url)), "/+$", "")
+    return F.when(is_http(url), _whole_url(url, F.when(path == "", "/").otherwise(path)))
+
+
+def joined(href: Column, base: Column) -> Column:
+    """``href`` as an absolute URL, seen from ``base``."""
+    href, start = F.trim(href), F.concat(scheme_of(base), F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    folder = F.regexp_replace(path_of(base), "[^/]*$", "")
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme_of(base), F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(start, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(start, path_of(base), href))
+        .when((href == "") | F.startswith(href, F.lit("#")), F.concat(start, path_of(base), query_of(base)))
+        .otherwise(F.concat(start, folder, href))
+    )
+
+
+def redirect_target(location: Column, base: Column, domain: Column) -> Column:
+    """Where a redirect inside the domain leads: the path stays as it is, with its trailing slash; else null."""
+    url = joined(location, base)
+    return F.when(is_http(url) & within_domain(hostname_of(url), domain), _whole_url(url, _without_dots(path_of(url))))
 
 
 def within_domain(host: Column, domain: Column) -> Column:

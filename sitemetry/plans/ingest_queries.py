@@ -182,7 +182,15 @@ def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(lambda plan: content.content_link_suggestions(plan, pages, edges))(spark, sf_dir)
 
 
+def _redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where redirects of the given pages lead; the Location headers are derived from ``page_id``."""
+    i, url = F.col("page_id"), F.col("url")
+    location = F.when(i % 4 == 0, "../up/./a b/#x").when(i % 4 == 1, F.concat(F.lit("/moved/"), i.cast("string"), F.lit("/"))).when(i % 4 == 2, "https://elsewhere.test/").otherwise("?page=2#top")
+    return _read(spark, sf_dir, "pages").select("page_id", U.redirect_target(location, url, U.hostname_of(url)).alias("target"))
+
+
 QUERIES = {
+    "redirect_target": _redirects,
     "read_tables": lambda s, d: tables.read_table(s, f"{d}/pages.parquet", "page_id bigint, url string").select("page_id", "url"),
     "replace_results": _replaced,
     "norm_crawl_url": _urls(normal=U.norm_crawl_url),
@@ -213,6 +221,8 @@ _ALLOWED = (
 )
 
 ORACLE_SQL = {
+    "redirect_target": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN o || CASE WHEN len(string_split(p, '/')) > 3 THEN array_to_string(string_split(p, '/')[:len(string_split(p, '/')) - 2], '/') ELSE '' END || '/up/a%20b/' WHEN 1 THEN o || '/moved/' || page_id || '/' WHEN 3 THEN o || p || '?page=2' END AS target
+      FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, coalesce(nullif(regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1), ''), '/') AS p FROM pages)""",
     "read_tables": "SELECT page_id, url FROM pages",
     "replace_results": AUDIT_SQL["http_status_distribution"],
     "norm_crawl_url": f"SELECT page_id, {_NORMAL.format('url')} AS normal FROM pages",

@@ -6,10 +6,11 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HEADINGS = tuple(f"h{k}" for k in range(1, 7))
 _TEXT = ["title", "meta_description", "canonical_url", "robots_directive", "og_title", "og_description", "og_image", "twitter_card", "twitter_title", "twitter_description", "twitter_image", "html_lang"]
@@ -20,6 +21,22 @@ FEATURES = (
 )
 
 
+#: Characters that stay in a path and in a query; all others are escaped.
+_IN_PATH = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in '"<>`{}')
+_IN_QUERY = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "\"<>'")
+
+
+def _without_dots(path: str) -> str:
+    done: list[str] = []
+    for part in path.split("/")[1:]:
+        plain = part.lower().replace("%2e", ".")
+        if plain == "..":
+            del done[-1:]
+        elif plain != ".":
+            done.append(part)
+    return "/" + "/".join(done)
+
+
 def normal_url(url: str) -> str | None:
     """Like ``norm_crawl_url``; None if not http(s)."""
     try:
@@ -30,8 +47,11 @@ def normal_url(url: str) -> str | None:
     if parts.scheme.lower() not in ("http", "https") or not host:
         return None
     default = {"http": 80, "https": 443}[parts.scheme.lower()]
-    place = host if port in (None, default) else f"{host}:{port}"
-    return f"{parts.scheme.lower()}://{place}{parts.path.rstrip('/') or '/'}" + (f"?{parts.query}" if parts.query else "")
+    credentials = parts.netloc.rpartition("@")[0]
+    place = (f"{credentials}@" if credentials else "") + (host if port in (None, default) else f"{host}:{port}")
+    path = _without_dots(parts.path or "/").rstrip("/") or "/"
+    query = re.match(r"[^?#]*(\?[^#]*)?", url)[1] or ""
+    return f"{parts.scheme.lower()}://{place}{quote(path, safe=_IN_PATH)}{quote(query, safe=_IN_QUERY)}"
 
 
 def internal_link(href: str, base: str, domain: str) -> str | None:
@@ -170,13 +190,21 @@ def page_features(html: str | None, url: str, domain: str) -> dict:
     return parser.row()
 
 
-def extract_page_features(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, domain, html) to (page_id, url, features...); the HTML goes no further."""
+#: Pages that a task holds as features at a time.
+PAGES_AT_A_TIME = 256
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [page_features(h, u, d) for h, u, d in zip(f["html"], f["url"], f["domain"], strict=True)]
-            out = pd.DataFrame(rows, index=f.index, columns=[c.strip().split(" ")[0] for c in FEATURES.split(",")])
-            yield pd.concat([f[["page_id", "url"]], out.astype({"is_indexable": "boolean"})], axis=1)
 
-    return pages.select("page_id", "url", "domain", "html").mapInPandas(run, f"page_id bigint, url string, {FEATURES}")
+def extract_page_features(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, domain, html) to (page_id, url, features...); the HTML goes no further."""
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    fields = [tuple(c.strip().split(" ")) for c in FEATURES.split(",")]
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), *((name, kinds[kind]) for name, kind in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_A_TIME):
+                rows = batch.slice(at, PAGES_AT_A_TIME).to_pylist()
+                yield pa.RecordBatch.from_pylist([{"page_id": r["page_id"], "url": r["url"]} | page_features(r["html"], r["url"], r["domain"]) for r in rows], schema)
+
+    columns = [F.col("page_id").cast("bigint").alias("page_id"), *(F.col(c).cast("string").alias(c) for c in ("url", "domain", "html"))]
+    return pages.select(*columns).mapInArrow(run, f"page_id bigint, url string, {FEATURES}")

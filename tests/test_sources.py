@@ -75,3 +75,40 @@ def test_flat_items_keep_json_types(spark):
         (6, "/r/s/2", "me", 0, 0, "2023-11-14 22:13:20"),
     ]
     assert [(c["author"], c["body"], c["score"], str(c["created_at"])) for c in got[0]["comments"]] == [(None, "hi", 0, "2024-01-02 00:00:00")] and got[1]["comments"] is None
+
+
+URLS = {
+    "HTTP://User:pw@Example.COM:80/a/../b//c/./d/?q=a b#f": "http://User:pw@example.com/b//c/d?q=a%20b",
+    "https://example.com:8443": "https://example.com:8443/",
+    "https://example.com/%2E%2e/x/..": "https://example.com/",
+    "https://example.com/é ü/{x}": "https://example.com/%C3%A9%20%C3%BC/%7Bx%7D",
+    "https://example.com/a%2fb%20c///": "https://example.com/a%2fb%20c",
+    "https://example.com/?": "https://example.com/?",
+    "https://example.com?a='b'": "https://example.com/?a=%27b%27",
+    "ftp://example.com/x": None,
+    "no url": None,
+    "https:///x": None,
+}
+
+
+def test_urls_are_normalised_alike_in_columns_and_in_the_parser(spark):
+    from pyspark.sql import functions as F
+
+    from sitemetry.functions import urls
+    from sitemetry.sources import html
+
+    df = spark.createDataFrame([(u,) for u in URLS], "url string")
+    assert {r["url"]: r["n"] for r in df.select("url", urls.norm_crawl_url(F.col("url")).alias("n")).collect()} == URLS
+    assert {u: html.normal_url(u) for u in URLS} == URLS
+
+
+def test_redirects_inside_the_domain(spark):
+    from pyspark.sql import functions as F
+
+    from sitemetry.functions import urls
+
+    base = "https://www.example.com/a/b?x=1"
+    cases = {"/c/": "https://www.example.com/c/", "c/../d/": "https://www.example.com/a/d/", "..": "https://www.example.com/", "?y#z": "https://www.example.com/a/b?y", "": base, "//m.example.com/x/": "https://m.example.com/x/", "https://other.org/": None, "mailto:a@example.com": None, "https://example.com/a/.": "https://example.com/a/"}
+    df = spark.createDataFrame([(c,) for c in cases], "location string")
+    got = {r["location"]: r["t"] for r in df.select("location", urls.redirect_target(F.col("location"), F.lit(base), F.lit("example.com")).alias("t")).collect()}
+    assert got == cases

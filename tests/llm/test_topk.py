@@ -37,7 +37,7 @@ def got(df):
 @pytest.mark.parametrize("rows_in_block", [16_384, 70])
 def test_against_brute_force(spark, monkeypatch, rows_in_block):
     monkeypatch.setattr(topk, "INDEX_ROWS", rows_in_block)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "BLOCKS", 5)
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 0.3) for _ in range(12)]) for i in range(400)]
     rows += [(1000 + i, rows[50][1]) for i in range(130)]  # ties beyond k

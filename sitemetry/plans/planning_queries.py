@@ -6,6 +6,7 @@ Assistant turns of ``conversations`` stand for AI answers, ``documents`` for dis
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import discussion_tokens, significant_tokens
 from ..operators import audit, content, discussions, opportunities, topics, visibility
+from ..sources.tables import checkpoint_folder
 from ..streaming import jobs
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .search_queries import OPP_SQL, priority_sql, search_with, tokens_sql
@@ -90,7 +92,7 @@ def _plan(operator):
 
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").select("user_id", F.col("ts").alias("scanned_at"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").alias("scanned_at"))
 
 
 def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +106,26 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fetches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """First fetches of all pages, and later ones of every other page that fail."""
+    p = crawled_pages(spark, sf_dir).select("crawl_run_id", "url", "status_code", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_seq") % 1000).alias("fetched_at"), "page_seq")
+    later = p.where("page_seq % 2 = 0").withColumn("status_code", F.lit(500)).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
+    return [x.drop("page_seq") for x in (p, later)]
+
+
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages arrive twice where their id is even, to show that a URL counts once."""
-    p = crawled_pages(spark, sf_dir).select("crawl_run_id", "url", "status_code", "page_seq")
-    return jobs.crawl_counters(p.union(p.where("page_seq % 2 = 0")))
+    """Fetches arrive as files in two parts, and the stream takes up each part where it left off."""
+    folder = f"{checkpoint_folder(spark)}/counters-{uuid.uuid4().hex}"
+    for part in _fetches(spark, sf_dir):
+        part.write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        jobs.stream_crawl_counters(arriving, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return jobs.counters_so_far(spark.read.parquet(f"{folder}/out"))
+
+
+def _batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, later = _fetches(spark, sf_dir)
+    return jobs.crawl_counters(first.unionByName(later))
 
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +189,7 @@ QUERIES = {
     "content_action_counts": _plan(content.content_action_counts),
     "content_clusters": _plan(content.content_clusters),
     "stream_crawl_counters": _counters,
+    "crawl_counters": _batch_counters,
     "usage_windows": lambda s, d: jobs.usage_windows(usage_log(s, d)),
     "subscription_state": lambda s, d: jobs.subscription_state(subscription_events(s, d)),
     "upsert_latest": _upsert,
@@ -298,9 +317,10 @@ ORACLE_SQL = {
     "plan_content": _PLAN + "SELECT * FROM plan",
     "plan_briefs": _PLAN + f"SELECT crawl_run_id, place, topic, CASE WHEN place % 2 = 0 THEN 'T ' || topic ELSE {_cap('topic')} END AS title, CASE WHEN place % 2 = 0 THEN 'x' ELSE intent END AS intent, CASE WHEN place % 2 = 0 THEN ['a'] ELSE {_outline('intent', 'topic')} END AS structure, place % 2 = 0 AS ai_enhanced FROM plan",
     "content_action_counts": _PLAN + "SELECT crawl_run_id, CASE WHEN source_type IN ('SEARCH_INTENT_GAP', 'WEAK_TOPIC_COVERAGE') THEN 'Expand topic coverage' WHEN source_type = 'SEO_FIX' THEN 'Improve existing page' ELSE 'Create new content' END AS action, count(*) AS n FROM plan GROUP BY 1, 2",
+    "crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",
     "stream_crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",
-    "usage_windows": """WITH u AS (SELECT user_id, 'week' AS period, date_trunc('week', ts)::TIMESTAMP AS start, count(*) AS scans, 2 AS most FROM events WHERE event_type = 'signup' GROUP BY 1, 3
-      UNION ALL SELECT user_id, 'month', date_trunc('month', ts)::TIMESTAMP, count(*), 8 FROM events WHERE event_type = 'signup' GROUP BY 1, 3) SELECT *, greatest(0, most - scans)::BIGINT AS left, CASE WHEN period = 'month' THEN least(40, scans * 10)::BIGINT END AS conversations FROM u""",
+    "usage_windows": """WITH u AS (SELECT user_id, 'week' AS period, date_trunc('week', ts)::TIMESTAMP AS start, count(*) AS scans, 2 AS most FROM events GROUP BY 1, 3
+      UNION ALL SELECT user_id, 'month', date_trunc('month', ts)::TIMESTAMP, count(*), 8 FROM events GROUP BY 1, 3) SELECT *, greatest(0, most - scans)::BIGINT AS left, CASE WHEN period = 'month' THEN least(40, scans * 10)::BIGINT END AS conversations FROM u""",
     "subscription_state": _SUBS
     + """, last AS (SELECT * FROM subs QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY event_ts DESC, event_id DESC) = 1)
       SELECT user_id, CASE WHEN arg_max(status, (event_ts, event_id)) IN ('active', 'renewed') OR count(*) FILTER (status = 'active') > 0 THEN 'pro' ELSE 'free' END AS plan FROM last GROUP BY 1""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,18 +12,32 @@ WEEKLY_SCANS, MONTHLY_SCANS, POSTS_PER_SCAN, MONTHLY_POSTS = 2, 8, 10, 40
 
 
 def crawl_counters(pages: DataFrame) -> DataFrame:
-    """(crawl_run_id, crawled, ok): pages of each run, every URL once. ``pages``: (crawl_run_id, url, status_code)."""
-    once = pages.groupBy("crawl_run_id", "url").agg(F.min(F.coalesce("status_code", F.lit(-1))).alias("s"))
-    return once.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("crawled"), F.count_if(F.col("s") == 200).alias("ok"))
+    """(crawl_run_id, crawled, ok): pages of each run, every URL once, by its first fetch.
+
+    ``pages``: (crawl_run_id, url, status_code, fetched_at).
+    """
+    once = pages.groupBy("crawl_run_id", "url").agg(F.min(F.struct("fetched_at", F.coalesce("status_code", F.lit(-1)).alias("s"))).alias("first"))
+    return once.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("crawled"), F.count_if(F.col("first.s") == 200).alias("ok"))
 
 
-def stream_crawl_counters(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same over a stream of fetched pages with ``fetched_at``; run with output mode update.
+def stream_crawl_counters(pages: DataFrame, path: str, checkpoint: str, delay: str = "7 days"):
+    """The same over a stream of fetched pages, in the order of their fetches; read it with ``counters_so_far``.
 
-    State is bounded: a URL is remembered for ``delay`` behind the watermark.
+    A URL is remembered until the watermark is ``delay`` past its fetch, so ``delay`` is the longest
+    that a crawl may take; no other state is held. Micro-batch n writes what it adds to the folder
+    ``batch=n``, so a batch that is repeated after a failure counts once.
     """
     once = pages.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["crawl_run_id", "url"])
-    return once.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("crawled"), F.count_if(F.coalesce(F.col("status_code") == 200, F.lit(False))).alias("ok"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        crawl_counters(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def counters_so_far(added: DataFrame) -> DataFrame:
+    """(crawl_run_id, crawled, ok) from what ``stream_crawl_counters`` wrote."""
+    return added.groupBy("crawl_run_id").agg(F.sum("crawled").alias("crawled"), F.sum("ok").alias("ok"))
 
 
 def usage_windows(scans: DataFrame) -> DataFrame:
@@ -79,18 +95,40 @@ def subscription_state(events: DataFrame) -> DataFrame:
     return last.select("user_id", F.when(now | (F.col("active") > 0), "pro").otherwise("free").alias("plan"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, in order."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    done = [n for n in names if re.fullmatch(r"v\d+", n) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a table that ``stream_subscriptions`` keeps; None if there is none."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+
+
 def stream_subscriptions(events: DataFrame, path: str, checkpoint: str):
     """Keep the latest row of each subscription in a Parquet table while events arrive.
 
-    Micro-batch n writes the merged table to the folder ``v<n>``, so a batch that is repeated
-    after a failure gives the same table.
+    Every micro-batch is merged with the newest complete version into the next one; the two newest
+    stay. Merging a batch twice changes nothing, so it may be repeated after a failure, and a
+    restart with a fresh checkpoint goes on from the table that is there.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        found = _versions(spark, path)
         new = latest_by(batch, ["subscription_id"], ["event_ts", "event_id"])
-        if batch_id > 0:
-            new = upsert_latest(spark.read.parquet(f"{path}/v{batch_id - 1}"), new, ["subscription_id"], ["event_ts", "event_id"])
-        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        if found:
+            new = upsert_latest(spark.read.parquet(f"{path}/v{found[-1]}"), new, ["subscription_id"], ["event_ts", "event_id"])
+        new.write.mode("overwrite").parquet(f"{path}/v{found[-1] + 1 if found else 0}")
+        for old in found[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

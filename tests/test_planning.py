@@ -1,6 +1,5 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sitemetry.operators import content, links, visibility
@@ -91,18 +90,39 @@ def test_results_are_replaced_once(spark, tmp_path):
     assert sorted((r["crawl_run_id"], r["n"]) for r in tables.read_table(spark, path).collect()) == [("a", 1), ("b", 5)]
 
 
-def test_streams(spark, tmp_path):
-    fetched = pd.DataFrame({"crawl_run_id": ["c"] * 3, "url": ["u", "u", "v"], "status_code": [200, 200, 404], "fetched_at": pd.to_datetime(["2024-01-01 00:00"] * 3)})
-    spark.createDataFrame(fetched).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("crawl_run_id string, url string, status_code long, fetched_at timestamp").parquet(str(tmp_path / "in"))
-    query = jobs.stream_crawl_counters(stream).writeStream.outputMode("update").format("memory").queryName("counters").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("counters").collect()] == [("c", 2, 1)]
+def test_counters_of_a_stream_are_those_of_its_batch(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    parts = [
+        [("c", "u", 200, start), ("c", "v", 404, start), ("d", "u", None, start)],
+        [("c", "u", 500, start + timedelta(hours=2)), ("c", "w", 200, start + timedelta(hours=2))],
+        [("d", "u", 200, start + timedelta(days=2)), ("d", "x", 200, start + timedelta(days=2))],
+    ]
+    schema, every = "crawl_run_id string, url string, status_code long, fetched_at timestamp", []
+    for part in parts:
+        every += part
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_crawl_counters(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        got = jobs.counters_so_far(spark.read.parquet(str(tmp_path / "out"))).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.crawl_counters(spark.createDataFrame(every, schema)).collect()))
+    assert sorted(map(tuple, got)) == [("c", 3, 2), ("d", 2, 1)]
+
+
+def test_subscription_table_of_a_stream(spark, tmp_path):
+    path, schema = str(tmp_path / "subs"), "subscription_id string, user_id string, status string, event_ts timestamp, event_id long"
+    rows = [("s1", "u", "active", datetime(2024, 1, 1), 1), ("s1", "u", "cancelled", datetime(2024, 1, 2), 2), ("s2", "u", "active", datetime(2024, 1, 1), 3), ("s2", "u", "renewed", datetime(2024, 2, 1), 4), ("s1", "u", "active", datetime(2024, 1, 1), 1)]
+    assert jobs.latest_version(spark, path) is None
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "ev"))
+        state = tmp_path / ("fresh" if i == 3 else "cp")  # one restart without its checkpoint
+        jobs.stream_subscriptions(spark.readStream.schema(schema).parquet(str(tmp_path / "ev")), path, str(state)).trigger(availableNow=True).start().awaitTermination(120)
+        got = {r["subscription_id"]: r["status"] for r in jobs.latest_version(spark, path).collect()}
+        assert got == {r["subscription_id"]: r["status"] for r in jobs.latest_by(spark.createDataFrame(rows[: i + 1], schema), ["subscription_id"], ["event_ts", "event_id"]).collect()}
+    assert len(jobs._versions(spark, path)) <= 2
+
+
+def test_plans_and_usage(spark):
     events = spark.createDataFrame([("s1", "u", "active", datetime(2024, 1, 1), 1), ("s1", "u", "cancelled", datetime(2024, 1, 2), 2), ("s2", "u", "active", datetime(2024, 1, 1), 3)], "subscription_id string, user_id string, status string, event_ts timestamp, event_id long")
-    events.write.parquet(str(tmp_path / "ev"))
-    incoming = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
-    jobs.stream_subscriptions(incoming, str(tmp_path / "subs"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted((r["subscription_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "subs/v0")).collect()) == [("s1", "cancelled"), ("s2", "active")]
     assert jobs.subscription_state(events).first()["plan"] == "pro"
     usage = spark.createDataFrame([("u", datetime(2024, 1, 7, 23)), ("u", datetime(2024, 1, 8)), ("u", datetime(2024, 1, 14))], "user_id string, scanned_at timestamp")
     assert sorted((r["period"], r["start"].day, r["scans"], r["left"]) for r in jobs.usage_windows(usage).collect()) == [("month", 1, 3, 5), ("week", 1, 1, 1), ("week", 8, 2, 0)]

@@ -41,12 +41,16 @@ HIGH_FROM, MEDIUM_FROM = 70, 40
 PER_TYPE, PER_CRAWL = 4, 12
 
 # Words by the search intent they show, and words of a title that promise one.
-COMMERCIAL_WORDS = "best top review reviews alternative alternatives vs versus compare comparison cheap affordable recommendation recommendations rating ratings list".split()
+COMMERCIAL_WORDS = [
+    "best", "top", "review", "reviews", "alternative", "alternatives", "vs", "versus", "compare", "comparison", "cheap", "affordable",
+    "recommendation", "recommendations", "rating", "ratings", "list",
+]
 COMMERCIAL_PHRASES = ["for beginners"]
-TRANSACTIONAL_WORDS = """
-calculator checker tool tools builder generator maker creator tracker converter finder pricing price prices cost costs buy purchase order
-subscription trial download signup coupon discount invoice estimate quote template templates rate rates free
-""".split()
+TRANSACTIONAL_WORDS = [
+    "calculator", "checker", "tool", "tools", "builder", "generator", "maker", "creator", "tracker", "converter", "finder", "pricing", "price",
+    "prices", "cost", "costs", "buy", "purchase", "order", "subscription", "trial", "download", "signup", "coupon", "discount", "invoice", "estimate",
+    "quote", "template", "templates", "rate", "rates", "free",
+]
 INTENT_MODIFIERS = [
     "best", "how to", "guide", "vs", "versus", "compare", "comparison", "top", "review", "reviews", "template", "calculator", "checker", "free", "tool", "tools", "examples", "example",
     "near me", "tips", "list", "cost", "price", "cheap", "alternative", "alternatives", "recommendation", "recommendations", "for beginners", "step by step", "step-by-step",

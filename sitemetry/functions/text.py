@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that name no topic (function words, then words of site furniture).
-STOPWORDS = """
-a an the and or but if of to in on for with from by at as is are was were be been being have has had do does did will would
-shall should can could may might must not no nor so yet than then that this these those there here when where which who whom whose what
-why how all any both each few more most other some such only own same very just too also even still until while about above below under
-over through during before after again further once off out up down into onto upon within without between among across against because every together
-page pages site website web home index content article articles blog read
-learn info information click link links view visit www http https com html php aspx default main contact privacy terms login
-register signup sign news latest menu footer header search results result items item list lists category categories tag tags archive archives
-""".split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "of", "to", "in", "on", "for", "with", "from", "by", "at", "as", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "not",
+    "no", "nor", "so", "yet", "than", "then", "that", "this", "these", "those", "there", "here", "when", "where", "which", "who", "whom", "whose",
+    "what", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "only", "own", "same", "very", "just", "too",
+    "also", "even", "still", "until", "while", "about", "above", "below", "under", "over", "through", "during", "before", "after", "again", "further",
+    "once", "off", "out", "up", "down", "into", "onto", "upon", "within", "without", "between", "among", "across", "against", "because", "every",
+    "together", "page", "pages", "site", "website", "web", "home", "index", "content", "article", "articles", "blog", "read", "learn", "info",
+    "information", "click", "link", "links", "view", "visit", "www", "http", "https", "com", "html", "php", "aspx", "default", "main", "contact",
+    "privacy", "terms", "login", "register", "signup", "sign", "news", "latest", "menu", "footer", "header", "search", "results", "result", "items",
+    "item", "list", "lists", "category", "categories", "tag", "tags", "archive", "archives",
+]
 
 #: White space as JavaScript and the reference's databases see it, for the characters that occur in page text.
 SPACE = r"[\s ﻿]"

@@ -16,17 +16,17 @@ DISCUSSIONS_KEPT = 10
 QUERIES_KEPT, TITLE_WORDS, SLUG_WORDS, PHRASE_CHARS = 8, 4, 5, 40
 
 # Words too general to be a search by themselves.
-GENERAL = """
-tool tools guide guides app apps application applications website websites software business businesses company companies
-service services online free best top fast quick quickly simple easy help helpful info information example examples
-feature features function functions result results make making works working good great use used using
-calculator calculators calculate calculated calculating percentage percent amount amounts total totals splits
-choose copy round select enter input value values number numbers price prices rate rates
-solution solutions platform provider suite our your their ours theirs provide provides provided
-offer offers offered get gets got need needs want wants find finds helps various many stuff
-things thing one two three first second third like just really very also new old next last
-faq meta title description descriptive valid default generic sample placeholder
-""".split()
+GENERAL = [
+    "tool", "tools", "guide", "guides", "app", "apps", "application", "applications", "website", "websites", "software", "business", "businesses",
+    "company", "companies", "service", "services", "online", "free", "best", "top", "fast", "quick", "quickly", "simple", "easy", "help", "helpful",
+    "info", "information", "example", "examples", "feature", "features", "function", "functions", "result", "results", "make", "making", "works",
+    "working", "good", "great", "use", "used", "using", "calculator", "calculators", "calculate", "calculated", "calculating", "percentage",
+    "percent", "amount", "amounts", "total", "totals", "splits", "choose", "copy", "round", "select", "enter", "input", "value", "values", "number",
+    "numbers", "price", "prices", "rate", "rates", "solution", "solutions", "platform", "provider", "suite", "our", "your", "their", "ours", "theirs",
+    "provide", "provides", "provided", "offer", "offers", "offered", "get", "gets", "got", "need", "needs", "want", "wants", "find", "finds", "helps",
+    "various", "many", "stuff", "things", "thing", "one", "two", "three", "first", "second", "third", "like", "just", "really", "very", "also", "new",
+    "old", "next", "last", "faq", "meta", "title", "description", "descriptive", "valid", "default", "generic", "sample", "placeholder",
+]
 SINGLE, BIGRAM, PHRASE, OPPORTUNITY = range(4)
 
 

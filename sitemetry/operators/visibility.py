@@ -14,6 +14,7 @@ NEGATIVE = ["avoid", "not recommended", "do not recommend", "poor", "disappointi
 POSITIVE = ["recommend", "recommended", "best", "top pick", "top tool", "great choice", "good option", "excellent", "useful", "helpful", "worth"]
 COMPETITORS_KEPT = 6
 
+# Patterns of URLs, domain-like words and bold names in an answer.
 _URL = r"(?i)(https?://[^\s<>\"']+)"
 _DOMAIN = r"([a-z0-9][a-z0-9-]*\.[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*)*)"
 _BOLD = r"\*\*([^*]+?)\*\*"

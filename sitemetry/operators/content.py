@@ -41,7 +41,7 @@ def outline_for_intent(intent: Column, topic: Column) -> Column:
 
 
 def content_seeds(pages: DataFrame, opportunities: DataFrame, issues: DataFrame, topics: DataFrame, answers: DataFrame) -> DataFrame:
-    """(crawl_run_id, topic, source_type, priority, rationale, seed_ord) of the four sources."""
+    """(crawl_run_id, topic, source_type, priority, rationale, seed_ord, reference) of the four sources."""
     order = lambda source, *at: F.struct(F.lit(source).alias("source"), *[c.alias(f"o{i}") for i, c in enumerate(at)])
     none = F.lit("")
     found = opportunities.where(F.col("opportunity_type").isin("CONTENT_GAP", "SEARCH_INTENT_GAP", "WEAK_TOPIC_COVERAGE")).select(
@@ -51,6 +51,7 @@ def content_seeds(pages: DataFrame, opportunities: DataFrame, issues: DataFrame,
         "priority",
         F.concat_ws(" ", "reason", "suggested_action").alias("rationale"),
         order(1, F.col("score").cast("bigint"), F.col("opportunity_id")).alias("seed_ord"),
+        F.format_string('Search opportunity "%s" (%s, priority %s): %s', "query", "opportunity_type", "priority", "reason").alias("reference"),
     )
     copy = issues.where(F.col("page_id").isNotNull() & F.col("issue_type").isin(*COPY_ISSUES))
     place = F.array_position(F.array(*[F.lit(x) for x in COPY_ISSUES]), F.col("issue_type"))
@@ -64,6 +65,7 @@ def content_seeds(pages: DataFrame, opportunities: DataFrame, issues: DataFrame,
         F.when(severity == "error", "high").when(severity == "warning", "medium").otherwise("low").alias("priority"),
         F.concat("url", F.lit(" has content issues: "), F.array_join("i.issue_type", "; "), F.lit(".")).alias("rationale"),
         order(2, F.col("page_seq"), none).alias("seed_ord"),
+        F.concat(F.lit("Page "), "url", F.lit(" ("), F.array_join("i.issue_type", "; "), F.lit(")")).alias("reference"),
     )
     core = topics.where((F.col("doc_freq") >= CORE_TOPIC_PAGES) & (F.col("dedicated_pages") == 0)).select(
         "crawl_run_id",
@@ -72,6 +74,7 @@ def content_seeds(pages: DataFrame, opportunities: DataFrame, issues: DataFrame,
         F.lit("medium").alias("priority"),
         F.format_string('Topic "%s" appears across %d pages but no page targets it directly.', "term", "doc_freq").alias("rationale"),
         order(3, -F.col("doc_freq"), F.col("term")).alias("seed_ord"),
+        F.format_string('Core topic "%s" referenced on %d pages, no dedicated page', "term", "doc_freq").alias("reference"),
     )
     asked = planner_topic(F.col("prompt"))
     gaps = answers.where(~F.col("mentioned")).select(
@@ -81,6 +84,7 @@ def content_seeds(pages: DataFrame, opportunities: DataFrame, issues: DataFrame,
         F.lit("high").alias("priority"),
         F.format_string('The AI provider did not mention the site when asked about "%s". Publish content on this topic to earn AI citations.', asked).alias("rationale"),
         order(4, F.lit(0).cast("bigint"), F.col("prompt")).alias("seed_ord"),
+        F.format_string('AI visibility gap: provider answered "%s" without mentioning the site', asked).alias("reference"),
     )
     return found.unionByName(fixes).unionByName(core).unionByName(gaps)
 
@@ -93,7 +97,7 @@ def plan_content(seeds: DataFrame, most: int = PLAN_LENGTH) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy(priority_rank(F.col("priority")), source, "topic"))
     unique = seeds.withColumn("__key", key).where("length(__key) >= 3").withColumn("__n", first).where("__n = 1")
     intent = F.element_at(F.create_map(*[F.lit(x) for kv in INTENT.items() for x in kv]), F.col("source_type"))
-    return unique.withColumn("place", place).where(F.col("place") <= most).select("crawl_run_id", "place", "topic", "source_type", "priority", intent.alias("intent"), "rationale")
+    return unique.withColumn("place", place).where(F.col("place") <= most).select("crawl_run_id", "place", "topic", "source_type", "priority", intent.alias("intent"), "rationale", "reference")
 
 
 def plan_briefs(plan: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -121,6 +125,7 @@ def opportunity_brief(opportunities: DataFrame) -> DataFrame:
         F.col("reason").alias("opportunity"),
         "suggested_action",
         F.filter(F.transform("evidence_pages", lambda p: p["url"]), lambda u: u != "").alias("evidence_page_urls"),
+        phrases.alias("evidence_phrases"),
         angle.alias("angle"),
         capitalized(query).alias("suggested_title"),
         outline_for_intent(F.col("intent"), query).alias("structure"),
@@ -129,6 +134,68 @@ def opportunity_brief(opportunities: DataFrame) -> DataFrame:
     )
 
 
+def _lines(*lines: Column | str) -> Column:
+    """Lines joined by line feeds; null ones are left out."""
+    return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+
+# The wording of the prompts.
+def plan_prompt(topic: Column, reference: Column, intent: Column, domain: Column) -> Column:
+    """What to ask for a brief of a planned topic."""
+    return _lines(
+        F.concat(F.lit("You are an SEO content strategist for the website "), domain, F.lit(".")),
+        F.concat(F.lit('Derived from a real crawl, this topic is relevant: "'), topic, F.lit('".')),
+        F.concat(F.lit("Evidence: "), reference, F.lit(".")),
+        F.concat(F.lit("Target intent: "), intent, F.lit(".")),
+        "Write a short content brief with exactly three labelled parts:",
+        "TITLE: one concrete article title under 70 characters.",
+        "INTENT: the primary intent the page should satisfy.",
+        "STRUCTURE: a 3-6 point bullet outline (H2 sections) with a short phrase per point.",
+        "Base everything only on the provided evidence. Do not invent metrics such as search volume, CPC, rankings or traffic.",
+    )
+
+
+def brief_prompt(domain: Column) -> Column:
+    """What to ask for an enhanced brief, from a row of ``opportunity_brief``."""
+    told = lambda before, column, after="": F.concat(F.lit(before), F.col(column), F.lit(after))
+    listed = lambda before, column, between: F.when(F.size(column) > 0, F.concat(F.lit(before), F.array_join(column, between)))
+    return _lines(
+        F.concat(F.lit("You are an SEO content strategist for the website "), domain, F.lit(".")),
+        told('Target search query: "', "target_topic", '".'),
+        told("Search intent to satisfy: ", "search_intent", "."),
+        told("Coverage state: ", "coverage", "."),
+        told("Why this is an opportunity: ", "opportunity"),
+        told("Suggested action: ", "suggested_action"),
+        listed("Existing evidence pages: ", "evidence_page_urls", ", "),
+        listed("Phrases from real content to address: ", "evidence_phrases", "; "),
+        "Write a concise content brief with exactly four labelled parts:",
+        "ANGLE: one recommended content angle in a single sentence.",
+        "TITLE: one concrete article title under 70 characters.",
+        "STRUCTURE: a 3-6 point bullet outline (H2 sections) with a short phrase per point.",
+        "KEY_POINTS: a 2-4 point bullet list of key points the article must address.",
+        "Ground everything in the provided evidence. Do not invent search volume, keyword difficulty, CPC, rankings, traffic or any other unsupported metric.",
+    )
+
+
+def draft_prompt(domain: Column) -> Column:
+    """What to ask for a draft article, from a row of ``opportunity_brief``, enhanced or not."""
+    told = lambda before, column, after="": F.concat(F.lit(before), F.col(column), F.lit(after))
+    numbered = F.transform("structure", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    return _lines(
+        F.concat(F.lit("You are writing a draft article for the website "), domain, F.lit(".")),
+        told('Target search query: "', "target_topic", '".'),
+        told("Search intent to satisfy: ", "search_intent", "."),
+        told("Recommended angle: ", "angle"),
+        told("Suggested title: ", "suggested_title"),
+        F.concat(F.lit("Use this structure: "), F.array_join(numbered, " ")),
+        F.concat(F.lit("Key points the article must address: "), F.array_join(F.transform("key_points", lambda x: F.concat(F.lit("- "), x)), " ")),
+        "Write a complete, useful draft article in Markdown with H1 and H2 headings that follows this structure.",
+        "The article must be genuinely helpful to a real reader and must not stuff keywords.",
+        "Do not invent statistics, studies, prices, dates or any facts that were not provided. Where a claim needs verification, write it in a neutral way or flag it as needing review.",
+        "End the draft with a short italic note: this is an AI-generated draft that requires human review before publication.",
+    )
+
+
 def apply_brief_enhancement(briefs: DataFrame, parsed: DataFrame) -> DataFrame:
     """Briefs overlaid with an answer's non-empty angle, title, structure and key points; the rest never changes."""
     p = parsed.select("opportunity_id", F.col("angle").alias("__a"), F.col("title").alias("__t"), F.col("structure").alias("__s"), F.col("key_points").alias("__k"))

@@ -186,6 +186,8 @@ QUERIES = {
     "opportunity_brief": lambda s, d: content.opportunity_brief(opportunities.rank_opportunities(crawled_pages(s, d))).select("crawl_run_id", "target_topic", "search_intent", "coverage", "angle", "suggested_title", "structure", "opportunity"),
     "plan_content": _plan(lambda p: p.select("crawl_run_id", "place", "topic", "source_type", "priority", "intent")),
     "plan_briefs": _plan(lambda p: content.plan_briefs(p, p.where("place % 2 = 0").select("crawl_run_id", "topic", F.concat(F.lit("T "), "topic").alias("title"), F.lit("x").alias("intent"), F.array(F.lit("a")).alias("structure")))),
+    "plan_prompts": _plan(lambda p: p.select("crawl_run_id", "place", content.plan_prompt(F.col("topic"), F.col("reference"), F.col("intent"), F.col("crawl_run_id")).alias("prompt"))),
+    "brief_prompts": lambda s, d: content.opportunity_brief(opportunities.rank_opportunities(crawled_pages(s, d))).select("opportunity_id", content.brief_prompt(F.col("crawl_run_id")).alias("brief_prompt"), content.draft_prompt(F.col("crawl_run_id")).alias("draft_prompt")),
     "content_action_counts": _plan(content.content_action_counts),
     "content_clusters": _plan(content.content_clusters),
     "stream_crawl_counters": _counters,
@@ -316,6 +318,21 @@ ORACLE_SQL = {
       ELSE 'Improve and expand the existing coverage of "' || query || '" so it fully satisfies the search intent.' END AS angle, {_cap('query')} AS suggested_title, {_outline('intent', 'query')} AS structure, reason AS opportunity FROM ranked""",
     "plan_content": _PLAN + "SELECT * FROM plan",
     "plan_briefs": _PLAN + f"SELECT crawl_run_id, place, topic, CASE WHEN place % 2 = 0 THEN 'T ' || topic ELSE {_cap('topic')} END AS title, CASE WHEN place % 2 = 0 THEN 'x' ELSE intent END AS intent, CASE WHEN place % 2 = 0 THEN ['a'] ELSE {_outline('intent', 'topic')} END AS structure, place % 2 = 0 AS ai_enhanced FROM plan",
+    "plan_prompts": search_with(OPP_SQL, PLAN_SQL.rstrip() + """, refs AS (
+      SELECT p.crawl_run_id, p.place, p.topic, p.intent, CASE p.source_type
+        WHEN 'SEO_FIX' THEN (SELECT 'Page ' || f.url || ' (' || f.types || ')' FROM fix_refs f WHERE f.crawl_run_id = p.crawl_run_id AND lower(trim(f.topic)) = lower(trim(p.topic)) ORDER BY f.o1 LIMIT 1)
+        WHEN 'CORE_TOPIC' THEN (SELECT 'Core topic "' || t.term || '" referenced on ' || t.doc_freq || ' pages, no dedicated page' FROM topics t WHERE t.crawl_run_id = p.crawl_run_id AND t.term = p.topic)
+        WHEN 'AI_VISIBILITY_GAP' THEN 'AI visibility gap: provider answered "' || p.topic || '" without mentioning the site'
+        ELSE (SELECT 'Search opportunity "' || r.query || '" (' || r.opportunity_type || ', priority ' || r.priority || '): ' || r.reason FROM ranked r WHERE r.crawl_run_id = p.crawl_run_id AND lower(trim(r.query)) = lower(trim(p.topic)) AND r.opportunity_type IN ('CONTENT_GAP', 'SEARCH_INTENT_GAP', 'WEAK_TOPIC_COVERAGE') ORDER BY r.score, r.opportunity_id LIMIT 1) END AS reference
+      FROM plan p
+    )""").replace("), seeds AS (", """), fix_refs AS (
+      SELECT i.crawl_run_id, CASE WHEN trim(coalesce(c.title, '')) <> '' THEN trim(c.title) WHEN c.slug <> '' THEN c.slug ELSE c.url END AS topic, c.url, min(c.page_seq) AS o1,
+        string_agg(issue_type, '; ' ORDER BY list_position(['MISSING_TITLE', 'TITLE_TOO_SHORT', 'MISSING_META_DESCRIPTION'], issue_type)) AS types
+      FROM issues i JOIN profiles c ON c.crawl_run_id = i.crawl_run_id AND c.page_id = i.page_id WHERE issue_type IN ('MISSING_TITLE', 'TITLE_TOO_SHORT', 'MISSING_META_DESCRIPTION') GROUP BY i.crawl_run_id, c.page_id, c.title, c.slug, c.url
+    ), seeds AS (""", 1)
+    + """SELECT crawl_run_id, place, concat_ws(chr(10), 'You are an SEO content strategist for the website ' || crawl_run_id || '.', 'Derived from a real crawl, this topic is relevant: "' || topic || '".', 'Evidence: ' || reference || '.', 'Target intent: ' || intent || '.',
+      'Write a short content brief with exactly three labelled parts:', 'TITLE: one concrete article title under 70 characters.', 'INTENT: the primary intent the page should satisfy.', 'STRUCTURE: a 3-6 point bullet outline (H2 sections) with a short phrase per point.',
+      'Base everything only on the provided evidence. Do not invent metrics such as search volume, CPC, rankings or traffic.') AS prompt FROM refs""",
     "content_action_counts": _PLAN + "SELECT crawl_run_id, CASE WHEN source_type IN ('SEARCH_INTENT_GAP', 'WEAK_TOPIC_COVERAGE') THEN 'Expand topic coverage' WHEN source_type = 'SEO_FIX' THEN 'Improve existing page' ELSE 'Create new content' END AS action, count(*) AS n FROM plan GROUP BY 1, 2",
     "crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",
     "stream_crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",

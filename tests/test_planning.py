@@ -39,8 +39,8 @@ def test_briefs(spark):
 
 def test_plan_and_clusters(spark):
     seeds = spark.createDataFrame(
-        [("c", "Tip guide", "SEO_FIX", "high", "r", 2), ("c", "tip guide ", "CONTENT_GAP", "low", "r", 1), ("c", "ab", "CONTENT_GAP", "high", "r", 1), ("c", "guide books", "CORE_TOPIC", "medium", "r", 3)],
-        "crawl_run_id string, topic string, source_type string, priority string, rationale string, seed_ord int",
+        [("c", "Tip guide", "SEO_FIX", "high", "r", 2, "x"), ("c", "tip guide ", "CONTENT_GAP", "low", "r", 1, "x"), ("c", "ab", "CONTENT_GAP", "high", "r", 1, "x"), ("c", "guide books", "CORE_TOPIC", "medium", "r", 3, "x")],
+        "crawl_run_id string, topic string, source_type string, priority string, rationale string, seed_ord int, reference string",
     )
     plan = content.plan_content(seeds)
     assert [(r["topic"], r["source_type"]) for r in plan.orderBy("place").collect()] == [("guide books", "CORE_TOPIC"), ("tip guide ", "CONTENT_GAP")]
@@ -133,3 +133,13 @@ def test_users_of_subscription_events(spark):
     rows = [(1, "subscription.active", "s1", {"userId": "u1"}, "b@x.org"), (2, "subscription.active", "s2", {"user_id": "u2"}, None), (3, "subscription.active", "s3", {"userId": "gone"}, "b@x.org"), (4, "payment.ok", "s4", {}, "a@x.org"), (5, "subscription.active", "s5", {}, "no@x.org")]
     events = spark.createDataFrame(rows, "event_id long, event_type string, subscription_id string, metadata map<string,string>, customer_email string")
     assert {r["event_id"]: r["user_id"] for r in jobs.resolve_users(events, users).collect()} == {1: "u1", 2: "u2", 3: "u2"}
+
+
+def test_prompts_of_briefs(spark):
+    row = [("c", "o", "tip guide", "commercial", "GAP", "why", "do it", ["https://c/x", "https://c/y"], ["tip", "guide"], "angle", "Title", ["one", "two"], ["k1", "k2"]), ("c", "p", "q", "i", "GAP", "w", "d", [], [], "a", "t", [], [])]
+    df = spark.createDataFrame(row, "crawl_run_id string, opportunity_id string, target_topic string, search_intent string, coverage string, opportunity string, suggested_action string, evidence_page_urls array<string>, evidence_phrases array<string>, angle string, suggested_title string, structure array<string>, key_points array<string>")
+    full, bare = df.select(content.brief_prompt(F.lit("c.org")).alias("b"), content.draft_prompt(F.lit("c.org")).alias("d")).collect()
+    lines = full["b"].split("\n")
+    assert len(lines) == 14 and lines[1] == 'Target search query: "tip guide".' and lines[6:8] == ["Existing evidence pages: https://c/x, https://c/y", "Phrases from real content to address: tip; guide"]
+    assert len(bare["b"].split("\n")) == 12
+    assert full["d"].split("\n")[5:7] == ["Use this structure: 1. one 2. two", "Key points the article must address: - k1 - k2"]

@@ -42,3 +42,21 @@ def test_each_stage_keeps_the_columns(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     codec = bpe.Codec(open(tokenizer()[0], "rb").read(), tokenizer()[1])
     assert all(codec.decode(r["ids"]).decode() == texts[r["doc_id"]] for r in ids)
+
+
+def test_empty_tables_repeated_rows_and_clashing_names(spark, tmp_path):
+    text = words(5, 80)
+    rows = [(1, text, "en", "s", len(text), "a", "b"), (1, text, "en", "s", len(text), "a", "b"), (None, text, None, None, None, "a", "b"), (2, words(6, 90), "en", "s", 1, "a", "b"), (None, None, None, None, None, None, None), (3, "", "en", "s", 0, "a", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words_id string, parts string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        got.collect()
+    language, near, cut = (dict(corpus_pipeline.STAGES)[n] for n in ("language ID", "n-gram Jaccard join", "substring dedup"))
+    assert Counter(r["doc_id"] for r in language(spark, docs, "").collect()) == Counter([1, 1, None, 2])
+    assert Counter((r["doc_id"], r["text"] is None) for r in near(spark, docs, "").collect()) == Counter([(1, False), (2, False), (None, True), (3, False)])
+    assert Counter((r["doc_id"], r["text"] == text) for r in cut(spark, docs, "").collect()) == Counter([(None, True), (1, False), (1, False), (2, False), (None, False), (3, False)])
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

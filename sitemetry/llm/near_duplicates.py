@@ -32,6 +32,8 @@ N, SIMILARITY = 5, 0.8
 RECALL, MAX_BANDS = 0.999, 16
 #: N-grams and classes in one block of a bucket, about: they bound what a task holds, and how often a set is sent.
 BLOCK_GRAMS, BLOCK = 1 << 18, 1024
+#: N-grams that a membership matrix spans at a time, and words whose hashes a task remembers: they bound its memory.
+WIDTH, REMEMBERED = 2048, 100_000
 #: Bytes of a row's name (id and hash of its text) in a broadcast, about.
 ROW_BYTES = 48
 
@@ -67,7 +69,7 @@ class _Grams:
     def word(self, word: str) -> int:
         value = self.seen.get(word)
         if value is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > REMEMBERED:
                 self.seen.clear()
             value = self.seen[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return value
@@ -159,11 +161,11 @@ def _similar(rows: list[np.ndarray], columns: list[np.ndarray], similarity: floa
     cuts = np.cumsum([len(x) for x in (*rows, *columns)])[:-1]
     parts = np.split(codes, cuts)
     width = int(codes.max()) + 1 if len(codes) else 0
-    for at in range(0, width, 8192):  # bounds the matrices whatever the vocabulary
-        a, b = np.zeros((len(rows), min(8192, width - at)), np.float32), np.zeros((len(columns), min(8192, width - at)), np.float32)
+    for at in range(0, width, WIDTH):
+        a, b = np.zeros((len(rows), min(WIDTH, width - at)), np.float32), np.zeros((len(columns), min(WIDTH, width - at)), np.float32)
         for matrix, sets in ((a, parts[: len(rows)]), (b, parts[len(rows) :])):
             for i, p in enumerate(sets):
-                matrix[i, p[(p >= at) & (p < at + 8192)] - at] = 1
+                matrix[i, p[(p >= at) & (p < at + WIDTH)] - at] = 1
         shared += a @ b.T
     union = sizes_a[:, None] + sizes_b[None, :] - shared
     return shared >= similarity * union - 1e-6

@@ -5,7 +5,7 @@
    cut further after its anchor words, and every ``LONG`` words where none comes. Whether a word is
    an anchor depends on the word alone, so a passage is cut at the same words wherever it stands.
 2. *Spans.* From every unit the shortest run onwards, and to every unit the shortest run up to
-   it, of at least ``SPAN`` units and ``MIN_WORDS`` words is hashed to 128 bits over its
+   it, of at least ``SPAN`` units and ``MIN_WORDS`` words is hashed to 96 bits over its
    lower-cased letters and digits. So every run that long has all its units in spans.
 3. *Global join.* Spans are written once. The first occurrence of a span, by (doc_id, place),
    stays; units covered by any other occurrence go. Spans that pile up beyond a bound are few by
@@ -141,41 +141,52 @@ class Reader:
         return hashes[0], hashes[1], head, last + 1, places[head], places[last + 1]
 
 
-_INTS = ["at", "to", "start", "stop"]
-
-
 def spans_of(rows: DataFrame) -> DataFrame:
-    """(a, b, doc, text_hash, at, to, start, stop): every span of (doc, text_hash, text)."""
+    """(a, b, doc, text_hash, units, chars): every span of (doc, text_hash, text).
+
+    ``a`` and ``b`` are its hash. ``units`` and ``chars`` hold two numbers each, the first 32 bits higher:
+    where it starts and where it ends, in units and in the text. Spans are many, so they are kept narrow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in pieces(batches, 64):
             found = [reader.spans(text) for text in batch.column(2).to_pylist()]
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-            a, b, *ints = (np.concatenate(x) for x in zip(*found, strict=True))
-            longs = [a, b, batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), *(pa.array(x.astype(np.int32)) for x in ints)], names=["a", "b", "doc", "text_hash", *_INTS])
+            a, b, at, to, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+            docs, keys = batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]
+            columns = [a, (b >> 32).astype(np.int32), docs, keys, (at << 32) | to, (start << 32) | stop]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "doc", "text_hash", "units", "chars"])
 
-    schema = "a bigint, b bigint, doc bigint, text_hash bigint, " + ", ".join(f"{c} int" for c in _INTS)
+    schema = "a bigint, b int, doc bigint, text_hash bigint, units bigint, chars bigint"
     return rows.select("doc", "text_hash", "text").where("text is not null").mapInArrow(run, schema)
 
 
+def _head(pair: Column) -> Column:
+    return F.shiftright(pair, 32).cast("int")
+
+
+def _tail(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def _joined(spans: Column) -> Column:
     """Parts (at, to, start, stop) that sorted spans cover together; spans that start later don't end earlier."""
-    apart = lambda x, y: F.coalesce(y["at"] > x["to"], F.lit(True))
+    apart = lambda x, y: F.coalesce(_head(y["units"]) > _tail(x["units"]), F.lit(True))
     heads = F.filter(spans, lambda x, i: (i == 0) | apart(F.get(spans, i - 1), x))
     tails = F.filter(spans, lambda x, i: apart(x, F.get(spans, i + 1)))
-    return F.zip_with(heads, tails, lambda h, t: F.struct(h["at"].alias("at"), t["to"].alias("to"), h["start"].alias("start"), t["stop"].alias("stop")))
+    part = lambda h, t: F.struct(_head(h["units"]).alias("at"), _tail(t["units"]).alias("to"), _head(h["chars"]).alias("start"), _tail(t["chars"]).alias("stop"))
+    return F.zip_with(heads, tails, part)
 
 
 def covered_parts(rows: DataFrame) -> DataFrame:
     """(doc, text_hash, parts): what each row's spans cover that are not the first occurrence."""
     with shared_table(spans_of(rows), "spans") as spans:
-        place = F.struct("doc", "text_hash", "at")
+        place = F.struct("doc", "text_hash", _head(F.col("units")).alias("at"))
         repeated = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         repeated = cut_lineage(repeated.where("n > 1"))
         met = join_counted(spans, repeated, ["a", "b"], spans.count())
-        later = met.where(place != F.col("first")).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct(*_INTS))).alias("spans"))
+        later = met.where(place != F.col("first")).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("units", "chars"))).alias("spans"))
         return cut_lineage(later.select("doc", "text_hash", _joined(F.col("spans")).alias("parts")))
 
 

@@ -63,7 +63,7 @@ def shared_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
         yield spark.read.parquet(folder)
     finally:
         delete_folder(spark, folder)

@@ -186,11 +186,12 @@ def with_next(df: DataFrame, key: str, text: str, columns: dict[str, str]) -> Da
     extra = F.struct(F.col("__back.r").alias("r"), F.col("__back.p").alias("p"), F.lit(1).alias("extra"))
     is_first = (F.col("__first.k") == F.col(key)) & (F.col("__first.t") == tie)
     placed = placed.withColumn("__sent", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
-    placed = placed.select(*df.columns, "__sent")
-    in_order = Window.partitionBy("__sent.r", "__sent.p").orderBy("__sent.extra", key, F.xxhash64(text), text)
-    for column, name in columns.items():
-        placed = placed.withColumn(name, F.lead(column).over(in_order))
-    return placed.where("__sent.extra = 0").drop("__sent")
+    sent = [F.col(f"__sent.{c}").alias(f"__sent_{c}") for c in ("r", "p", "extra")]
+    placed = placed.select(*df.columns, *sent, F.xxhash64(text).alias("__tie"))
+    # Plain columns, so that all copies come from one window over one shuffle.
+    in_order = Window.partitionBy("__sent_r", "__sent_p").orderBy("__sent_extra", key, "__tie", text)
+    copies = [F.lead(column).over(in_order).alias(name) for column, name in columns.items()]
+    return placed.select(*df.columns, "__sent_extra", *copies).where("__sent_extra = 0").drop("__sent_extra")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -214,6 +214,38 @@ WITH q AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'k': sha256(role || chr(10) || text), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))} ORDER BY turn NULLS FIRST, role, md5(text)) AS t FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT c.*, b.t AS head, list_reduce(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295::BIGINT) AS crc
+  FROM own c LEFT JOIN (SELECT conv_id AS block, t FROM own) b ON b.block = c.conv_id - c.conv_id % 20
+), paths AS (
+  SELECT conv_id, list_concat(coalesce(head, [])[:h], t[h + 1:]) AS t FROM (SELECT *, xor(crc, 4294967295) % 4 AS h FROM heads)
+), steps AS (
+  SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM paths
+), prefixes AS (
+  SELECT conv_id, size, depth, sha256(array_to_string(list_transform(t[:depth], lambda x: x.k), ',')) AS prefix, CASE WHEN depth > 0 THEN t[depth].w ELSE 0 END AS w FROM steps
+), members AS (
+  SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM prefixes
+), nodes AS (
+  SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM members GROUP BY node, depth
+), up AS (
+  SELECT n.node, n.depth, p.node AS parent FROM nodes n JOIN members p ON p.conv_id = n.node AND p.depth = n.depth - 1
+), kids AS (
+  SELECT parent, depth - 1 AS depth, count(*) AS n FROM up GROUP BY ALL
+), subtrees AS (
+  SELECT a.node, a.depth, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM nodes n JOIN members a ON a.conv_id = n.node AND a.depth <= n.depth LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth GROUP BY ALL
+)
+SELECT n.node AS conv_id, n.depth::BIGINT AS depth, u.parent AS parent_conv_id, n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM nodes n JOIN subtrees s ON s.node = n.node AND s.depth = n.depth LEFT JOIN up u ON u.node = n.node AND u.depth = n.depth LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth
+"""
+
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": OP6,
     "op7_exact_topk": OP7,
@@ -222,4 +254,5 @@ ORACLE_SQL = {
     "op3_html_extraction": OP3,
     "op4_url_filter": OP4,
     "op9_source_mixing": OP9,
+    "op11_prefix_trie": OP11,
 }

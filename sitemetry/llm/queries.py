@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, html_text, language_id, mixing, near_duplicates, passages, topk, url_filter
+from . import bpe, chat, fingerprints, html_text, language_id, mixing, near_duplicates, passages, prefix_trie, topk, url_filter
 from .runtime import short_text_batches, table
 
 #: (verdict, host and path) of the explicit URL rules.
@@ -72,6 +72,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(texts(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_rows(texts(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
@@ -83,4 +87,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
 }

@@ -246,6 +246,42 @@ SELECT n.node AS conv_id, n.depth::BIGINT AS depth, u.parent AS parent_conv_id,
 FROM nodes n JOIN subtrees s ON s.node = n.node AND s.depth = n.depth LEFT JOIN up u ON u.node = n.node AND u.depth = n.depth LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth
 """
 
+OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS terms FROM documents
+), words AS (
+  SELECT lang, source, d, term, count(*) AS n FROM (SELECT lang, source, d, unnest(terms) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(*) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source, false AS is_lang FROM docs UNION ALL SELECT DISTINCT lang, NULL, true FROM docs
+), counts AS (
+  SELECT lang, source, term, sum(n) AS n, false AS is_lang FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+  UNION ALL SELECT lang, NULL, term, sum(n), true FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, term
+), totals AS (
+  SELECT g.lang, g.source, g.is_lang, coalesce(sum(c.n), 0) + 2 * any_value(s.v) AS total
+  FROM groups g JOIN sizes s ON s.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.is_lang = g.is_lang AND c.source IS NOT DISTINCT FROM g.source GROUP BY ALL
+), shares AS (
+  SELECT t.lang, t.source, t.is_lang, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)::HUGEINT) // t.total::HUGEINT) AS p
+  FROM totals t JOIN kept k ON k.lang = t.lang LEFT JOIN counts c ON c.lang = t.lang AND c.is_lang = t.is_lang AND c.source IS NOT DISTINCT FROM t.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON NOT a.is_lang AND NOT b.is_lang AND a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON NOT a.is_lang AND NOT b.is_lang AND a.lang = b.lang AND a.source != b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT a.lang, a.source, 'term', a.term, (a.p - b.p) * (a.p - b.p) // (a.p + b.p)
+  FROM shares a JOIN shares b ON NOT a.is_lang AND b.is_lang AND a.lang = b.lang AND a.term = b.term AND a.n > 0 AND a.p > b.p
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL = {
     "op6_ngram_jaccard_join": OP6,
     "op7_exact_topk": OP7,
@@ -255,4 +291,5 @@ ORACLE_SQL = {
     "op4_url_filter": OP4,
     "op9_source_mixing": OP9,
     "op11_prefix_trie": OP11,
+    "op12_source_divergence": OP12,
 }

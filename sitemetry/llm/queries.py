@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, html_text, language_id, mixing, near_duplicates, passages, prefix_trie, topk, url_filter
+from . import bpe, chat, divergence, fingerprints, html_text, language_id, mixing, near_duplicates, neighbours, passages, prefix_trie, topk, url_filter
 from .runtime import short_text_batches, table
 
 #: (verdict, host and path) of the explicit URL rules.
@@ -76,6 +76,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_rows(texts(spark, sf_dir, "conversations"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(texts(spark, sf_dir))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
@@ -88,4 +97,6 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }

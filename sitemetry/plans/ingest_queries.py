@@ -161,7 +161,7 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.replace_results(rows.where(F.length("crawl_run_id") % 2 == 0), path, 8)
     for _ in range(2):
         tables.replace_results(rows, path, 8)
-    return tables.read_table(spark, path).select("crawl_run_id", "status_code", "pages")
+    return tables.kept_result(tables.read_table(spark, path).select("crawl_run_id", "status_code", "pages"), path)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import discussion_tokens, significant_tokens
 from ..operators import audit, content, discussions, opportunities, topics, visibility
-from ..sources.tables import checkpoint_folder
+from ..sources import versioned
+from ..sources.tables import checkpoint_folder, kept_result
 from ..streaming import jobs
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
 from .search_queries import OPP_SQL, priority_sql, search_with, tokens_sql
@@ -95,7 +96,7 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").alias("scanned_at"))
 
 
-def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscription_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         "user_id",
@@ -106,21 +107,47 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a payment provider sends them: without a user, whom metadata (two spellings) or an e-mail address names."""
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    named = F.when(k == 0, F.create_map(F.lit("userId"), user)).when(k == 1, F.create_map(F.lit("user_id"), user)).when(k == 2, F.create_map(F.lit("userId"), F.lit("gone")))
+    mail = F.when(k >= 2, F.concat(F.lit("u"), user, F.lit("@example.org"))).when(k == 1, "nobody@example.org")
+    return subscription_rows(spark, sf_dir).select("event_id", F.concat(F.lit("subscription."), "status").alias("event_type"), "subscription_id", named.alias("metadata"), mail.alias("customer_email"), "status", "event_ts")
+
+
+def _arriving(spark: SparkSession, folder: str, parts: list[DataFrame], start) -> None:
+    """Files arrive part by part in ``folder``/in, and the stream takes up each part where it left off."""
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{folder}/in"), k).trigger(availableNow=True).start().awaitTermination()
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _fetches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """First fetches of all pages, and later ones of every other page that fail."""
-    p = crawled_pages(spark, sf_dir).select("crawl_run_id", "url", "status_code", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_seq") % 1000).alias("fetched_at"), "page_seq")
-    later = p.where("page_seq % 2 = 0").withColumn("status_code", F.lit(500)).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
-    return [x.drop("page_seq") for x in (p, later)]
+    """Fetches of all pages, later ones of every other page that fail, and what runs start from, in two parts.
+
+    Of every fourth page the later fetch arrives first.
+    """
+    p = stored_pages(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_seq") % 1000)
+    first = p.select("crawl_run_id", "url", "status_code", "content_type", "internal_links", at.alias("fetched_at"), "page_seq")
+    later = first.where("page_seq % 2 = 0").withColumn("status_code", F.lit(500)).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
+    starts = crawl_runs(p).select(
+        "crawl_run_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("content_type"),
+        F.array(F.concat("website_url", F.lit("/"))).alias("internal_links"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("fetched_at"), F.lit(1).cast("bigint").alias("page_seq"),
+    )
+    turned = F.col("page_seq") % 4 == 0
+    parts = first.where(~turned).unionByName(later.where(turned)).unionByName(starts), first.where(turned).unionByName(later.where(~turned))
+    return [x.drop("page_seq") for x in parts]
 
 
 def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetches arrive as files in two parts, and the stream takes up each part where it left off."""
-    folder = f"{checkpoint_folder(spark)}/counters-{uuid.uuid4().hex}"
-    for part in _fetches(spark, sf_dir):
-        part.write.mode("append").parquet(f"{folder}/in")
-        arriving = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
-        jobs.stream_crawl_counters(arriving, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return jobs.counters_so_far(spark.read.parquet(f"{folder}/out"))
+    folder = _folder(spark, "counters")
+    _arriving(spark, folder, _fetches(spark, sf_dir), lambda arriving, k: jobs.stream_crawl_counters(arriving, f"{folder}/out", f"{folder}/state"))
+    return kept_result(jobs.counters_so_far(spark.read.parquet(f"{folder}/out")), folder)
 
 
 def _batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +155,33 @@ def _batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.crawl_counters(first.unionByName(later))
 
 
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage counted by the stream: the log arrives in two parts, split at the middle of its time."""
+    log, folder = usage_log(spark, sf_dir).withColumn("scanned_at", F.col("scanned_at").cast("timestamp")), _folder(spark, "usage")
+    middle = log.agg((F.unix_micros(F.min("scanned_at")) + F.unix_micros(F.max("scanned_at"))) / 2).first()[0] or 0
+    late = F.unix_micros("scanned_at") > middle
+    _arriving(spark, folder, [log.where(~late), log.where(late)], lambda arriving, k: jobs.stream_usage(arriving, f"{folder}/days", f"{folder}/state", buckets=8))
+    return kept_result(jobs.usage_so_far(spark, f"{folder}/days"), folder)
+
+
+def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans from the stream of raw events, which arrive in two parts; half of the users are known with the second part only."""
+    events, folder = subscription_events(spark, sf_dir), _folder(spark, "subscriptions")
+    users = subscription_rows(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("u"), "user_id", F.lit("@example.org")).alias("email")).distinct()
+    known = [users.where("cast(user_id as bigint) % 2 = 0"), users]
+    parts = [events.where("event_id % 3 > 0"), events.where("event_id % 3 = 0")]
+    _arriving(spark, folder, parts, lambda arriving, k: jobs.stream_subscriptions(arriving, lambda: known[k], f"{folder}/table", f"{folder}/state", patience_days=100_000, buckets=8))
+    plans = jobs.subscription_state(jobs.subscriptions_so_far(spark, f"{folder}/table"))
+    return kept_result(plans.select(F.col("user_id").cast("bigint").alias("user_id"), "plan"), folder)
+
+
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = subscription_events(spark, sf_dir)
-    return jobs.upsert_latest(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["subscription_id"], ["event_ts", "event_id"])
+    """Rows merged into a stored table in two parts, the later half of them first."""
+    rows, folder = subscription_rows(spark, sf_dir), _folder(spark, "upsert")
+    by = ["subscription_id"], ["event_ts", "event_id"]
+    for part in (rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0")):
+        versioned.upsert_table(part, folder, *by, buckets=8)
+    return kept_result(versioned.read_upserted(spark, folder, *by), folder)
 
 
 def _terms(operator):
@@ -193,7 +244,8 @@ QUERIES = {
     "stream_crawl_counters": _counters,
     "crawl_counters": _batch_counters,
     "usage_windows": lambda s, d: jobs.usage_windows(usage_log(s, d)),
-    "subscription_state": lambda s, d: jobs.subscription_state(subscription_events(s, d)),
+    "stream_usage": _usage,
+    "subscription_state": _subscriptions,
     "upsert_latest": _upsert,
 }
 
@@ -276,6 +328,10 @@ def _cap(x: str) -> str:
 _PROMPT = "'You are a neutral research assistant. Answer concisely with a short list, and only mention tools, services or websites you are reasonably confident exist. Do not invent anything.' || chr(10) || chr(10) || 'Question: What are the best tools, services or websites for \"' || {0} || '\"?'"
 _PLAN = search_with(OPP_SQL, PLAN_SQL)
 _SUBS = "WITH subs AS (SELECT user_id, user_id || '-' || (event_id % 3) AS subscription_id, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'signup' THEN 'renewed' ELSE 'cancelled' END AS status, ts AS event_ts, event_id FROM events) "
+_COUNTERS = search_with("found AS (SELECT crawl_run_id, website_url || '/' AS url FROM runs UNION SELECT crawl_run_id, unnest(internal_links) FROM content)") + """SELECT c.crawl_run_id, c.crawled, c.ok, f.discovered
+      FROM (SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1) c JOIN (SELECT crawl_run_id, count(*) AS discovered FROM found GROUP BY 1) f USING (crawl_run_id)"""
+_USAGE = """WITH u AS (SELECT user_id, 'week' AS period, date_trunc('week', ts)::TIMESTAMP AS start, count(*) AS scans, 2 AS most FROM events GROUP BY 1, 3
+      UNION ALL SELECT user_id, 'month', date_trunc('month', ts)::TIMESTAMP, count(*), 8 FROM events GROUP BY 1, 3) SELECT *, greatest(0, most - scans)::BIGINT AS left, CASE WHEN period = 'month' THEN least(40, scans * 10)::BIGINT END AS conversations FROM u"""
 
 ORACLE_SQL = {
     "parse_brief_text": f"WITH {POST_SQL} SELECT post_ord, CASE WHEN post_ord % 5 > 0 THEN trim('q ' || trim(query)) END AS title, CASE WHEN post_ord % 5 > 0 THEN CASE WHEN post_ord % 3 = 0 THEN 'commercial' ELSE 'informational' END END AS intent, CASE WHEN post_ord % 5 > 0 THEN ['one', 'two', subreddit] END AS structure FROM posts",
@@ -334,10 +390,10 @@ ORACLE_SQL = {
       'Write a short content brief with exactly three labelled parts:', 'TITLE: one concrete article title under 70 characters.', 'INTENT: the primary intent the page should satisfy.', 'STRUCTURE: a 3-6 point bullet outline (H2 sections) with a short phrase per point.',
       'Base everything only on the provided evidence. Do not invent metrics such as search volume, CPC, rankings or traffic.') AS prompt FROM refs""",
     "content_action_counts": _PLAN + "SELECT crawl_run_id, CASE WHEN source_type IN ('SEARCH_INTENT_GAP', 'WEAK_TOPIC_COVERAGE') THEN 'Expand topic coverage' WHEN source_type = 'SEO_FIX' THEN 'Improve existing page' ELSE 'Create new content' END AS action, count(*) AS n FROM plan GROUP BY 1, 2",
-    "crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",
-    "stream_crawl_counters": search_with() + "SELECT crawl_run_id, count(*) AS crawled, count(*) FILTER (status_code = 200) AS ok FROM crawled GROUP BY 1",
-    "usage_windows": """WITH u AS (SELECT user_id, 'week' AS period, date_trunc('week', ts)::TIMESTAMP AS start, count(*) AS scans, 2 AS most FROM events GROUP BY 1, 3
-      UNION ALL SELECT user_id, 'month', date_trunc('month', ts)::TIMESTAMP, count(*), 8 FROM events GROUP BY 1, 3) SELECT *, greatest(0, most - scans)::BIGINT AS left, CASE WHEN period = 'month' THEN least(40, scans * 10)::BIGINT END AS conversations FROM u""",
+    "crawl_counters": _COUNTERS,
+    "stream_crawl_counters": _COUNTERS,
+    "usage_windows": _USAGE,
+    "stream_usage": _USAGE,
     "subscription_state": _SUBS
     + """, last AS (SELECT * FROM subs QUALIFY row_number() OVER (PARTITION BY subscription_id ORDER BY event_ts DESC, event_id DESC) = 1)
       SELECT user_id, CASE WHEN arg_max(status, (event_ts, event_id)) IN ('active', 'renewed') OR count(*) FILTER (status = 'active') > 0 THEN 'pro' ELSE 'free' END AS plan FROM last GROUP BY 1""",

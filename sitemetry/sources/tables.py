@@ -5,26 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from . import versioned
 
+BUCKETS = versioned.BUCKETS
+#: Small sides of joins are broadcast up to this many bytes.
+BROADCAST_BYTES = 64_000_000
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, crawls: list[str] | None = None) -> DataFrame:
-    """A Parquet table with an explicit schema; with ``crawls`` only those, pruned by bucket where there is one."""
-    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    if crawls is None:
-        return df
-    if "crawl_bucket" in df.columns:
-        numbers = [r[0] for r in spark.createDataFrame([(c,) for c in crawls], "crawl_run_id string").select(crawl_bucket()).distinct().collect()]
-        df = df.where(F.col("crawl_bucket").isin(numbers))
-    return df.where(F.col("crawl_run_id").isin(crawls))
 
+def read_table(spark: SparkSession, path: str, schema: str | None = None, crawls: list[str] | None = None) -> DataFrame:
+    """A Parquet table with an explicit schema, or the newest version of a table that ``replace_results`` keeps.
 
-def crawl_bucket(buckets: int = BUCKETS):
-    """Partition of a crawl: its id hashed to a fixed number of folders."""
-    return F.pmod(F.xxhash64("crawl_run_id"), F.lit(buckets)).cast("int").alias("crawl_bucket")
+    With ``crawls`` only those are read; of a table with versions only their buckets.
+    """
+    wanted = None if crawls is None else spark.createDataFrame([(c,) for c in crawls], "crawl_run_id string")
+    if versioned.is_versioned(spark, path):
+        size = versioned.current(spark, path).buckets
+        df = versioned.read_version(spark, path, None if wanted is None else [r[0] for r in wanted.select(versioned.bucket_of(["crawl_run_id"], size)).distinct().collect()])
+    else:
+        df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    return df if crawls is None else df.where(F.col("crawl_run_id").isin(crawls))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -44,19 +46,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def measured(side: DataFrame, bytes_per_row: Column | int = 32) -> DataFrame:
+    """A small side of a join, computed once and measured: broadcast if it fits BROADCAST_BYTES, else joined by a shuffle."""
+    side = cut_lineage(side)
+    size = side.agg(F.sum(bytes_per_row if isinstance(bytes_per_row, Column) else F.lit(bytes_per_row))).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+
 def replace_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the rows of every crawl in ``results``; other crawls stay, and a rerun changes nothing.
 
-    The table is partitioned by ``crawl_bucket``; only touched buckets are rewritten. Their rows of
-    other crawls are carried over through a checkpoint, since a table can't be overwritten while read.
+    Crawls are dealt into buckets; only touched ones are rewritten, and readers (``read_table``) see
+    all of the new rows at once or none (see ``versioned``).
     """
-    spark = results.sparkSession
-    checkpoint_folder(spark)
-    new = results.withColumn("crawl_bucket", crawl_bucket(buckets)).checkpoint()
-    touched = [r[0] for r in new.select("crawl_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        old = spark.read.parquet(path).where(F.col("crawl_bucket").isin(touched))
-        kept = old.join(new.select("crawl_run_id").distinct(), "crawl_run_id", "left_anti").select(*new.columns)
-        new = kept.unionByName(new).checkpoint()
-    new.repartition("crawl_bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("crawl_bucket").parquet(path)
+    new = cut_lineage(results)
+    same = measured(new.select("crawl_run_id").distinct(), F.length("crawl_run_id") + 16)
+    versioned.replace_rows(new, path, "crawl_run_id", same, buckets)
+
+
+def kept_result(df: DataFrame, folder: str) -> DataFrame:
+    """``df``, computed now, whose sources in ``folder`` are then deleted."""
+    df = cut_lineage(df)
+    versioned.delete(df.sparkSession, folder)
+    return df

@@ -2,42 +2,92 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-WEEKLY_SCANS, MONTHLY_SCANS, POSTS_PER_SCAN, MONTHLY_POSTS = 2, 8, 10, 40
+from ..functions import rules as R
+from ..sources import versioned
+from ..sources.versioned import latest_by
 
+WEEKLY_SCANS, MONTHLY_SCANS, POSTS_PER_SCAN, MONTHLY_POSTS = 2, 8, 10, 40
+DAY_MS = 86_400_000
 
-def crawl_counters(pages: DataFrame) -> DataFrame:
-    """(crawl_run_id, crawled, ok): pages of each run, every URL once, by its first fetch.
 
-    ``pages``: (crawl_run_id, url, status_code, fetched_at).
-    """
-    once = pages.groupBy("crawl_run_id", "url").agg(F.min(F.struct("fetched_at", F.coalesce("status_code", F.lit(-1)).alias("s"))).alias("first"))
-    return once.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("crawled"), F.count_if(F.col("first.s") == 200).alias("ok"))
+def _facts(fetches: DataFrame) -> DataFrame:
+    """(crawl_run_id, url, fetched_at, fetched, status): a row for each fetch, and one for each URL that a fetch makes known."""
+    content = F.col("url").isNull() | R.is_content_page(F.col("status_code"), F.col("content_type"))
+    fact = lambda url, fetched, status: F.struct(url.alias("url"), F.lit(fetched).alias("fetched"), status.cast("bigint").alias("status"))
+    own = F.filter(F.array(fact(F.col("url"), True, F.coalesce("status_code", F.lit(-1)))), lambda f: f["url"].isNotNull())
+    linked = F.transform(F.array_distinct(F.coalesce("internal_links", F.array().cast("array<string>"))), lambda u: fact(u, False, F.lit(-1)))
+    every = F.when(content, F.concat(own, linked)).otherwise(own)
+    return fetches.where("fetched_at is not null").select("crawl_run_id", "fetched_at", F.explode(every).alias("f")).select("crawl_run_id", "f.url", "fetched_at", "f.fetched", "f.status").where("crawl_run_id is not null and url is not null")
 
 
-def stream_crawl_counters(pages: DataFrame, path: str, checkpoint: str, delay: str = "7 days"):
-    """The same over a stream of fetched pages, in the order of their fetches; read it with ``counters_so_far``.
+def crawl_counters(fetches: DataFrame) -> DataFrame:
+    """(crawl_run_id, crawled, ok, discovered) of each run: URLs fetched, those whose first fetch was fine, URLs known.
 
-    A URL is remembered until the watermark is ``delay`` past its fetch, so ``delay`` is the longest
-    that a crawl may take; no other state is held. Micro-batch n writes what it adds to the folder
-    ``batch=n``, so a batch that is repeated after a failure counts once.
+    ``fetches``: (crawl_run_id, url, status_code, content_type, internal_links, fetched_at). Links of
+    content pages make URLs known; a row without a url announces the start page and sitemaps' URLs as
+    its links. Every URL counts once, with the least (fetched_at, status) of its fetches. Rows without
+    a run or a time are left out.
+    """
+    by_url = _facts(fetches).groupBy("crawl_run_id", "url").agg(F.min(F.when(F.col("fetched"), F.struct("fetched_at", "status"))).alias("first"), F.bool_or(~F.col("fetched")).alias("known"))
+    return by_url.groupBy("crawl_run_id").agg(F.count("first").alias("crawled"), F.count_if(F.col("first.status") == 200).alias("ok"), F.count_if("known").alias("discovered"))
+
+
+_DELTA = "crawl_run_id string, crawled bigint, ok bigint, discovered bigint"
+
+
+def _url_changes(keep_ms: int):
+    """What new facts about one URL add to its run's counters, from what is remembered of it."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, status, known, last = state.get if state.exists else (None, None, False, 0)
+        before = at is not None, status == 200, known
+        for frame in frames:
+            own = frame[frame["fetched"]]
+            for new in zip(own["micros"].tolist(), own["status"].tolist(), strict=True):
+                if at is None or new < (at, status):
+                    at, status = new
+            known = known or bool((~frame["fetched"]).any())
+            last = max(last, int(frame["micros"].max()))
+        state.update((at, status, known, last))
+        state.setTimeoutTimestamp(max(last // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        change = [int(a) - int(b) for a, b in zip((at is not None, status == 200, known), before, strict=True)]
+        if any(change):
+            yield pd.DataFrame([[key[0], *change]], columns=[c.split()[0] for c in _DELTA.split(", ")])
+
+    return fold
+
+
+def stream_crawl_counters(fetches: DataFrame, path: str, checkpoint: str, days: int = 7):
+    """``crawl_counters`` over a stream of fetches in any order; read it with ``counters_so_far``.
+
+    The state holds two sets of URLs, those fetched (with their first fetch so far) and those known,
+    keyed by run and URL, so a large run is spread. A fetch before the first one seen corrects what
+    was counted. A URL is remembered for ``days`` behind the watermark, which is ``days`` late itself:
+    rows later than that are dropped. Micro-batch n writes what it changes to the folder ``batch=n``, so
+    a batch that is repeated after a failure counts once.
     """
-    once = pages.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["crawl_run_id", "url"])
+    facts = _facts(fetches.withWatermark("fetched_at", f"{days} days")).withColumn("micros", F.unix_micros("fetched_at"))
+    changes = facts.groupBy("crawl_run_id", "url").applyInPandasWithState(_url_changes(days * DAY_MS), _DELTA, "at bigint, status bigint, known boolean, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        crawl_counters(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counters_so_far(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
-def counters_so_far(added: DataFrame) -> DataFrame:
-    """(crawl_run_id, crawled, ok) from what ``stream_crawl_counters`` wrote."""
-    return added.groupBy("crawl_run_id").agg(F.sum("crawled").alias("crawled"), F.sum("ok").alias("ok"))
+def counters_so_far(changes: DataFrame) -> DataFrame:
+    """(crawl_run_id, crawled, ok, discovered) from what ``stream_crawl_counters`` wrote."""
+    return changes.groupBy("crawl_run_id").agg(*[F.sum(c).alias(c) for c in ("crawled", "ok", "discovered")])
 
 
 def usage_windows(scans: DataFrame) -> DataFrame:
@@ -45,17 +95,51 @@ def usage_windows(scans: DataFrame) -> DataFrame:
 
     ``scans`` holds (user_id, scanned_at). Weeks start on Monday, 00:00 UTC.
     """
-    periods = F.array(*[F.struct(F.lit(p).alias("period"), F.date_trunc(p, "scanned_at").alias("start")) for p in ("week", "month")])
-    counted = scans.select("user_id", F.explode(periods).alias("p")).groupBy("user_id", "p.period", "p.start").agg(F.count(F.lit(1)).alias("scans"))
+    return _windows(scans.select("user_id", "scanned_at", F.lit(1).cast("bigint").alias("scans")), F.col("scanned_at"))
+
+
+def _windows(counts: DataFrame, at: Column) -> DataFrame:
+    """Rows as of ``usage_windows`` from (user_id, scans) at a time."""
+    periods = F.array(*[F.struct(F.lit(p).alias("period"), F.date_trunc(p, at).alias("start")) for p in ("week", "month")])
+    counted = counts.select("user_id", "scans", F.explode(periods).alias("p")).groupBy("user_id", "p.period", "p.start").agg(F.sum("scans").alias("scans"))
     most = F.when(F.col("period") == "week", WEEKLY_SCANS).otherwise(MONTHLY_SCANS)
     talks = F.when(F.col("period") == "month", F.least(F.lit(MONTHLY_POSTS), F.col("scans") * POSTS_PER_SCAN).cast("bigint"))
     return counted.select("user_id", "period", "start", "scans", most.alias("most"), F.greatest(F.lit(0), most - F.col("scans")).cast("bigint").alias("left"), talks.alias("conversations"))
 
 
-def stream_usage_weeks(scans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Scans by user and week over a stream; later rows than ``delay`` are dropped. The epoch was a Thursday."""
-    week = F.window("scanned_at", "7 days", startTime="4 days")
-    return scans.withWatermark("scanned_at", delay).groupBy("user_id", week.alias("w")).agg(F.count(F.lit(1)).alias("scans")).select("user_id", F.col("w.start").alias("start"), "scans")
+_DAYS = (["user_id", "day"], ["scans"])
+
+
+def stream_usage(scans: DataFrame, path: str, checkpoint: str, delay: str = "1 day", buckets: int = versioned.BUCKETS):
+    """Count scans by user and UTC day over a stream into a stored table; read it with ``usage_so_far``.
+
+    Weeks and months differ in length and overlap, but both consist of whole days: a day is what the
+    state holds, until the watermark has passed its end. Rows for days that are over are dropped, see
+    ``late_rows``. Each micro-batch merges the new counts of the days that it changed.
+    """
+    day = F.window("scanned_at", "1 day")
+    counted = scans.withWatermark("scanned_at", delay).groupBy("user_id", day.alias("w")).agg(F.count(F.lit(1)).alias("scans")).select("user_id", F.col("w.start").alias("day"), "scans")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        versioned.upsert_table(batch, path, *_DAYS, buckets)  # a day's count only grows
+
+    return counted.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def usage_so_far(spark, path: str) -> DataFrame:
+    """Rows as of ``usage_windows`` from what ``stream_usage`` has counted."""
+    return _windows(versioned.read_upserted(spark, path, *_DAYS), F.col("day"))
+
+
+def late_rows(query) -> int:
+    """Rows that a finished or running query dropped behind its watermark, as its last progress reports tell.
+
+    Rows of one user and day that a task has counted together are one row there.
+    """
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+
+
+_OF_SUBSCRIPTIONS = "startswith(event_type, 'subscription.') and subscription_id is not null"
 
 
 def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -65,19 +149,13 @@ def resolve_users(events: DataFrame, users: DataFrame) -> DataFrame:
     other event types, events without a subscription and unknown users are dropped.
     """
     named = F.coalesce(F.try_element_at("metadata", F.lit("userId")), F.try_element_at("metadata", F.lit("user_id")))
-    rows = events.where("startswith(event_type, 'subscription.') and subscription_id is not null").withColumn("__named", named)
+    rows = events.where(_OF_SUBSCRIPTIONS).withColumn("__named", named)
     by_id = users.select(F.col("user_id").alias("__id"))
     by_mail = users.groupBy(F.col("email").alias("customer_email")).agg(F.min("user_id").alias("__mail_user"))
     rows = rows.join(by_id, rows["__named"] == by_id["__id"], "left").join(by_mail, "customer_email", "left")
     return rows.withColumn("user_id", F.coalesce("__id", "__mail_user")).where("user_id is not null").drop("__named", "__id", "__mail_user")
 
 
-def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``."""
-    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-
-
 def upsert_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Existing and incoming rows as one table with the last row of each key."""
     return latest_by(existing.unionByName(incoming), keys, order)
@@ -95,40 +173,42 @@ def subscription_state(events: DataFrame) -> DataFrame:
     return last.select("user_id", F.when(now | (F.col("active") > 0), "pro").otherwise("free").alias("plan"))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a table, in order."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(top)]
-    done = [n for n in names if re.fullmatch(r"v\d+", n) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
-
+_SUBSCRIPTIONS = (["subscription_id"], ["event_ts", "event_id"])
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table that ``stream_subscriptions`` keeps; None if there is none."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
 
+def stream_subscriptions(events: DataFrame, users: Callable[[], DataFrame], path: str, checkpoint: str, patience_days: int = 30, buckets: int = versioned.BUCKETS):
+    """Keep the latest row of each subscription in a stored table while raw events arrive; read it with ``subscriptions_so_far``.
 
-def stream_subscriptions(events: DataFrame, path: str, checkpoint: str):
-    """Keep the latest row of each subscription in a Parquet table while events arrive.
-
-    Every micro-batch is merged with the newest complete version into the next one; the two newest
-    stay. Merging a batch twice changes nothing, so it may be repeated after a failure, and a
-    restart with a fresh checkpoint goes on from the table that is there.
+    Each micro-batch reads ``users()`` (user_id, email) as it is then and resolves its events; those whose
+    user isn't known yet wait, and are tried again with later micro-batches until they are
+    ``patience_days`` older than the newest event. What is written follows the batch: changed
+    subscriptions are added to their buckets, and only waiting events are written anew. Merging a
+    batch twice changes nothing, so it may be repeated after a failure, and a restart with a fresh
+    checkpoint goes on from the tables that are there.
     """
     spark = events.sparkSession
+    done, waiting = f"{path}/subscriptions", f"{path}/waiting"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        found = _versions(spark, path)
-        new = latest_by(batch, ["subscription_id"], ["event_ts", "event_id"])
-        if found:
-            new = upsert_latest(spark.read.parquet(f"{path}/v{found[-1]}"), new, ["subscription_id"], ["event_ts", "event_id"])
-        new.write.mode("overwrite").parquet(f"{path}/v{found[-1] + 1 if found else 0}")
-        for old in found[:-1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        batch = batch.persist()
+        known = versioned.current(spark, waiting)
+        known.buckets = known.buckets if known.number >= 0 else buckets
+        tried = batch.where(_OF_SUBSCRIPTIONS)
+        if known.number >= 0:
+            tried = latest_by(tried.unionByName(versioned.read_version(spark, waiting)), ["event_id"], ["event_ts"])
+        found = resolve_users(tried, users()).persist()
+        versioned.upsert_table(found.drop("metadata", "customer_email", "event_type"), done, *_SUBSCRIPTIONS, buckets)
+        newest = tried.agg(F.max("event_ts")).first()[0]
+        late = F.lit(newest) - F.make_interval(days=F.lit(patience_days))
+        left = tried.join(found.select("event_id"), "event_id", "left_anti").where(F.col("event_ts") >= late) if newest else tried
+        layers = versioned.write_layer(left, waiting, ["event_id"], known.buckets)
+        versioned.commit(spark, waiting, known, left.schema, {k: [f] for k, f in layers.items()})
+        found.unpersist()
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def subscriptions_so_far(spark, path: str) -> DataFrame:
+    """The latest row of each subscription, from what ``stream_subscriptions`` wrote."""
+    return versioned.read_upserted(spark, f"{path}/subscriptions", *_SUBSCRIPTIONS)

@@ -81,46 +81,6 @@ def test_malformed_payloads(spark):
     assert [(r["title"], r["score"], r["created_at"]) for r in payloads.map_listing_posts(df).collect()] == [("t", 0, datetime(1970, 1, 1, 0, 0, 10))]
 
 
-def test_results_are_replaced_once(spark, tmp_path):
-    rows = lambda *cs: spark.createDataFrame([(c, n) for c, n in cs], "crawl_run_id string, n int")
-    path = str(tmp_path / "t")
-    tables.replace_results(rows(("a", 1), ("b", 1), ("b", 2)), path, 2)
-    for _ in range(2):
-        tables.replace_results(rows(("b", 5)), path, 2)
-    assert sorted((r["crawl_run_id"], r["n"]) for r in tables.read_table(spark, path).collect()) == [("a", 1), ("b", 5)]
-
-
-def test_counters_of_a_stream_are_those_of_its_batch(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    parts = [
-        [("c", "u", 200, start), ("c", "v", 404, start), ("d", "u", None, start)],
-        [("c", "u", 500, start + timedelta(hours=2)), ("c", "w", 200, start + timedelta(hours=2))],
-        [("d", "u", 200, start + timedelta(days=2)), ("d", "x", 200, start + timedelta(days=2))],
-    ]
-    schema, every = "crawl_run_id string, url string, status_code long, fetched_at timestamp", []
-    for part in parts:
-        every += part
-        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        jobs.stream_crawl_counters(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
-        got = jobs.counters_so_far(spark.read.parquet(str(tmp_path / "out"))).collect()
-        assert sorted(map(tuple, got)) == sorted(map(tuple, jobs.crawl_counters(spark.createDataFrame(every, schema)).collect()))
-    assert sorted(map(tuple, got)) == [("c", 3, 2), ("d", 2, 1)]
-
-
-def test_subscription_table_of_a_stream(spark, tmp_path):
-    path, schema = str(tmp_path / "subs"), "subscription_id string, user_id string, status string, event_ts timestamp, event_id long"
-    rows = [("s1", "u", "active", datetime(2024, 1, 1), 1), ("s1", "u", "cancelled", datetime(2024, 1, 2), 2), ("s2", "u", "active", datetime(2024, 1, 1), 3), ("s2", "u", "renewed", datetime(2024, 2, 1), 4), ("s1", "u", "active", datetime(2024, 1, 1), 1)]
-    assert jobs.latest_version(spark, path) is None
-    for i, row in enumerate(rows):
-        spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "ev"))
-        state = tmp_path / ("fresh" if i == 3 else "cp")  # one restart without its checkpoint
-        jobs.stream_subscriptions(spark.readStream.schema(schema).parquet(str(tmp_path / "ev")), path, str(state)).trigger(availableNow=True).start().awaitTermination(120)
-        got = {r["subscription_id"]: r["status"] for r in jobs.latest_version(spark, path).collect()}
-        assert got == {r["subscription_id"]: r["status"] for r in jobs.latest_by(spark.createDataFrame(rows[: i + 1], schema), ["subscription_id"], ["event_ts", "event_id"]).collect()}
-    assert len(jobs._versions(spark, path)) <= 2
-
-
 def test_plans_and_usage(spark):
     events = spark.createDataFrame([("s1", "u", "active", datetime(2024, 1, 1), 1), ("s1", "u", "cancelled", datetime(2024, 1, 2), 2), ("s2", "u", "active", datetime(2024, 1, 1), 3)], "subscription_id string, user_id string, status string, event_ts timestamp, event_id long")
     assert jobs.subscription_state(events).first()["plan"] == "pro"

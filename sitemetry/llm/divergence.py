@@ -26,9 +26,9 @@ from pyspark.sql.window import Window
 from .runtime import cut_lineage, measured, pieces, shared_table
 
 #: Terms of a shard, about; bytes of shards that one reading of the corpus takes along.
-SHARD_TERMS, ROUND_BYTES = 1_024, 64_000_000
-#: Terms and slots a task holds before it hands on what it has counted; bytes of a text worked on at a time.
-MOST_TERMS, MOST_SLOTS, MOST_BYTES = 200_000, 4_000_000, 1_000_000
+SHARD_TERMS, ROUND_BYTES = 8_192, 64_000_000
+#: Terms and slots a task holds before it hands on what it has counted; slots it remembers by term; bytes of a text worked on at a time.
+MOST_TERMS, MOST_SLOTS, MOST_KNOWN, MOST_BYTES = 400_000, 8_000_000, 400_000, 1_000_000
 #: Documents of a language that must have a term; terms shown for each group; what counts are smoothed by and scaled to.
 LEAST_DOCUMENTS, SHOWN, SMOOTHED, SCALE = 10, 10, 2, 1_000_000_000
 
@@ -173,7 +173,7 @@ def hash_shards(terms: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """The perfect hashes of some shards, flat arrays for all of them."""
+    """The perfect hashes of some shards, sorted by language, as flat arrays."""
 
     def __init__(self, shards: pa.Table, counts: dict[str, int]):
         self.counts = counts  # shards of each language, those that aren't here included
@@ -183,8 +183,14 @@ class Lookup:
         shifts, terms = shards["shifts"].combine_chunks(), shards["terms"].combine_chunks()
         self.shift_at, self.shifts = shifts.offsets.to_numpy(), shifts.values.to_numpy()
         self.term_at, self.terms = terms.offsets.to_numpy(), terms.values.cast(pa.binary())
+        self.first = {lang: i for i, (lang, _) in reversed([*enumerate(self.keys)])}
+        self.last = {lang: i + 1 for i, (lang, _) in enumerate(self.keys)}
         self.rows = {lang: np.array([self.row.get((lang, s), -1) for s in range(n)]) for lang, n in counts.items()}
 
+    def span(self, lang: str) -> tuple[int, int]:
+        """The slots of a language."""
+        return (int(self.term_at[self.first[lang]]), int(self.term_at[self.last[lang]])) if lang in self.first else (0, 0)
+
     def find(self, lang: str, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``terms``, slots) of the terms that are stored; slots count through all shards."""
         if lang not in self.counts or not terms:
@@ -211,38 +217,42 @@ def _counted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, counts = sent.value
         lookup = Lookup(pa.ipc.open_stream(shards).read_all(), counts)
-        size = len(lookup.terms)
         cuts = lookup.term_at
         dense: dict[tuple, np.ndarray] = {}
 
         def handed_on() -> Iterator[pa.RecordBatch]:
             for (lang, source), slots in dense.items():
-                used = np.flatnonzero(slots)
+                used = np.flatnonzero(slots) + lookup.span(lang)[0]
                 shard = np.searchsorted(cuts, used, side="right") - 1
                 parts = np.split(np.arange(len(used)), np.flatnonzero(np.diff(shard)) + 1) if len(used) else []
                 rows = [int(shard[p[0]]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(parts), pa.string()), pa.array([lookup.keys[r][1] for r in rows], pa.int32()), pa.array([source] * len(parts), pa.string()), pa.array([(used[p] - cuts[r]).astype(np.int32) for p, r in zip(parts, rows, strict=True)], pa.list_(pa.int32())), pa.array([slots[used[p]] for p in parts], pa.list_(pa.int64()))],
+                    [pa.array([lang] * len(parts), pa.string()), pa.array([lookup.keys[r][1] for r in rows], pa.int32()), pa.array([source] * len(parts), pa.string()), pa.array([(used[p] - cuts[r]).astype(np.int32) for p, r in zip(parts, rows, strict=True)], pa.list_(pa.int32())), pa.array([slots[used[p] - lookup.span(lang)[0]] for p in parts], pa.list_(pa.int64()))],
                     names=[c.split()[0] for c in _COUNTS.split(", ")],
                 )
             dense.clear()
 
         found: dict[str, dict[str, Counter]] = {}
 
+        known: dict[str, dict[bytes, int]] = {}
+
         def looked_up() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, known.values())) > MOST_KNOWN:
+                known.clear()
             for lang, by_source in found.items():
-                terms = list(set().union(*by_source.values()))
+                slot_of = known.setdefault(lang, {})
+                terms = [t for t in set().union(*by_source.values()) if t not in slot_of]
                 at, slots = lookup.find(lang, terms)
-                slot_of = dict(zip((terms[i] for i in at.tolist()), slots.tolist(), strict=True))
+                slot_of.update(dict.fromkeys(terms, -1))
+                slot_of.update(zip((terms[i] for i in at.tolist()), slots.tolist(), strict=True))
+                first, last = lookup.span(lang)
                 for source, held in by_source.items():
                     if (lang, source) not in dense:
-                        if (len(dense) + 1) * size > max(size, MOST_SLOTS):
+                        if dense and sum(map(len, dense.values())) + last - first > MOST_SLOTS:
                             yield from handed_on()
-                        dense[lang, source] = np.zeros(size, np.int64)
-                    known = [(slot_of[t], n) for t, n in held.items() if t in slot_of]
-                    if known:
-                        own, n = np.array(known, np.int64).T
-                        dense[lang, source][own] += n  # slots are distinct
+                        dense[lang, source] = np.zeros(last - first, np.int64)
+                    own, n = np.fromiter(map(slot_of.__getitem__, held), np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
+                    dense[lang, source][own[own >= 0] - first] += n[own >= 0]  # slots are distinct
             found.clear()
 
         for langs, sources, texts in _texts(batches):
@@ -363,7 +373,7 @@ def divergence(documents: DataFrame) -> DataFrame:
     with ExitStack() as stack:
         counted = None
         for k in range(rounds):
-            part = shards.where(F.pmod(F.xxhash64("lang", "shard"), F.lit(rounds)) == k).toArrow()
+            part = shards.where(F.pmod(F.xxhash64("lang", "shard"), F.lit(rounds)) == k).orderBy("lang", "shard").toArrow()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as writer:
                 writer.write_table(part)

@@ -100,6 +100,11 @@ def norm_internal_link(url: Column, domain: Column) -> Column:
     return F.when(within_domain(hostname_of(url), domain), norm_crawl_url(url))
 
 
+def internal_link(href: Column, base: Column, domain: Column) -> Column:
+    """The normalised target of ``href`` on the page ``base`` inside the domain, else null. ``html.internal_link`` has the same rules."""
+    return norm_internal_link(joined(href, base), domain)
+
+
 def origin_of(url: Column) -> Column:
     return F.when(is_http(url), F.concat(scheme_of(url), F.lit("://"), authority_of(url)))
 

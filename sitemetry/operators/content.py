@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.rules import CORE_TOPIC_PAGES, priority_rank
 from ..functions.text import capitalized, text_or_empty
 from ..functions.urls import link_key, slug_phrase
+from ..sources.tables import cut_lineage, measured
 from .visibility import planner_topic
 
 PLAN_LENGTH = 6
@@ -264,8 +265,11 @@ def content_clusters(plan: DataFrame, most: int = 6) -> DataFrame:
 def content_link_suggestions(plan: DataFrame, pages: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """(crawl_run_id, place, source, target, topic): pages of a planned topic that don't link each other.
 
-    A plan has at most six topics a crawl, so plan and pages meet on the crawl. Only the first eight
-    pairs of a crawl are kept. As long as earlier topics have fewer than ``most`` pairs, the first
+    Texts are matched by an index of four letters: a topic's word is looked up by its first four (all
+    such words are longer than three), so plan and pages meet on crawl and letters, and only those are
+    searched for the word. The plan has at most six topics a crawl and is broadcast if measured small;
+    the letters that any plan looks for number 36 to the 4 at most, so pages keep only these before they
+    are dealt. Only the first eight pairs of a crawl are kept. As long as earlier topics have fewer than ``most`` pairs, the first
     2 * ``most`` of a topic hold enough new ones; these start at its first 4 * ``most`` pages with an
     unlinked partner (see ``unlinked_topic_pairs``), and only such pages meet all pages of the topic.
     """
@@ -273,18 +277,25 @@ def content_link_suggestions(plan: DataFrame, pages: DataFrame, edges: DataFrame
     topics = plan.select("crawl_run_id", F.col("place").alias("t"), "topic", words.alias("w"))
     text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower("url"))
     shown = pages.select("crawl_run_id", "page_seq", link_key(F.col("url")).alias("key"), text.alias("text"))
-    hits = topics.join(shown, "crawl_run_id").where(F.exists("w", lambda w: F.contains(F.col("text"), w)))
+    looked_up = topics.withColumn("w", F.explode("w")).withColumn("four", F.substring("w", 1, 4)).distinct()
+    looked_up = measured(looked_up, F.length("crawl_run_id") + F.length("topic") + F.length("w") + 40)
+    fours = F.broadcast(looked_up.select("four").distinct())  # 36 ** 4 at most
+    places = F.when(F.length("text") >= 4, F.sequence(F.lit(1), F.length("text") - 3))
+    shown = shown.where("key is not null").withColumn("four", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(4)))))).join(fours, "four", "left_semi")
+    hits = shown.join(looked_up, ["crawl_run_id", "four"]).where(F.contains("text", F.col("w")))
     group = ["crawl_run_id", "t"]
-    hits = hits.where("key is not null").groupBy(*group, "topic", "key").agg(F.min("page_seq").alias("seq"))
+    hits = hits.groupBy(*group, "topic", "key").agg(F.min("page_seq").alias("seq"))
     hits = hits.select(*group, "topic", F.struct("seq", "key").alias("i"), F.col("key").alias("source"))
+    hits = cut_lineage(hits)
     targets = hits.select(*group, F.col("i").alias("j"), F.col("source").alias("target"))
     both = edges.select("crawl_run_id", "source", "target").union(edges.select("crawl_run_id", "target", "source")).where("source != target").distinct()
     linked = both.join(hits.select(*group, "source"), ["crawl_run_id", "source"]).join(targets.drop("j"), [*group, "target"], "left_semi")
     partners = linked.groupBy(*group, "source").agg(F.count(F.lit(1)).alias("linked"))
-    sizes = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("pages"))
+    sizes = measured(hits.groupBy(*group).agg(F.count(F.lit(1)).alias("pages")), F.length("crawl_run_id") + 24)
     nth = F.row_number().over(Window.partitionBy(*group).orderBy("i"))
     starts = hits.join(partners, [*group, "source"], "left").join(sizes, group).where("pages - 1 > coalesce(linked, 0)")
     starts = starts.withColumn("n", nth).where(F.col("n") <= 4 * most).drop("n", "linked", "pages")
+    starts = measured(starts, F.length("crawl_run_id") + F.length("topic") + 2 * F.length("source") + 48)  # 4 * most a topic at most
     pairs = starts.join(targets, group).where("i < j")
     open_ = pairs.join(both, ["crawl_run_id", "source", "target"], "left_anti").withColumn("pair", F.sort_array(F.array("source", "target")))
     first = F.row_number().over(Window.partitionBy("crawl_run_id", "pair").orderBy("t", "i", "j"))

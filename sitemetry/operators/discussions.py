@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.rules import CORE_TOPIC_PAGES, is_content_page, literals, priority_of
 from ..functions.text import bigrams, discussion_tokens, js_round, js_trim, significant_tokens
 from ..functions.urls import slug_phrase
+from ..sources.tables import measured
 
 DISCUSSIONS_KEPT = 10
 QUERIES_KEPT, TITLE_WORDS, SLUG_WORDS, PHRASE_CHARS = 8, 4, 5, 40
@@ -107,16 +108,21 @@ def score_discussions(posts: DataFrame, core_terms: DataFrame, as_of: datetime)
     """``posts`` (crawl_run_id, query, title, body_snippet, author, score, num_comments, created_at, ...) with
     relevance, impact, confidence, opportunity_score, priority and reason.
 
-    ``core_terms`` holds (crawl_run_id, term). Their words meet the posts' words in a join on (crawl,
-    word), so neither side of a large crawl is gathered.
+    ``core_terms`` holds (crawl_run_id, term). Their words meet the posts' words on crawl and word, the
+    crawls' words broadcast if they are measured small. A post travels with its first word and its words
+    come together again under a hash of the whole post, so posts are read and dealt once; repeated
+    posts are counted and repeated in the result.
     """
-    rows = posts.withColumn("__t", significant_tokens(F.col("title"))).withColumn("__b", significant_tokens(F.col("body_snippet"))).withColumn("__q", significant_tokens(F.col("query")))
-    row = F.sha2(F.to_json(F.struct(*posts.columns)), 256)
-    rows = rows.withColumn("__row", row)
-    words = core_terms.select("crawl_run_id", F.explode(significant_tokens(F.col("term"))).alias("w")).distinct()
-    spoken = rows.select("crawl_run_id", "__row", F.concat("__t", "__b").alias("w")).dropDuplicates(["__row"]).select("crawl_run_id", "__row", F.explode("w").alias("w"))
-    heard = spoken.join(words, ["crawl_run_id", "w"]).groupBy("__row").agg(F.count(F.lit(1)).alias("__core"))
-    rows = rows.join(heard, "__row", "left")
+    told = posts.select(F.struct("*").alias("__p"), significant_tokens(F.col("title")).alias("__t"), significant_tokens(F.col("body_snippet")).alias("__b"), F.col("crawl_run_id"))
+    told = told.select("__p", "__t", F.concat("__t", F.coalesce("__b", F.array().cast("array<string>"))).alias("__w"), "crawl_run_id", F.xxhash64("__p").alias("__h1"), F.xxhash64(F.lit(1), "__p").alias("__h2"))
+    spoken = told.select("crawl_run_id", "__h1", "__h2", "__p", "__t", F.posexplode_outer("__w").alias("__at", "w"))
+    first = F.coalesce(F.col("__at"), F.lit(0)) == 0
+    spoken = spoken.select("crawl_run_id", "w", "__h1", "__h2", F.when(first, F.struct("__p", "__t")).alias("__post"))
+    words = core_terms.select("crawl_run_id", F.explode(significant_tokens(F.col("term"))).alias("w")).distinct().withColumn("__core", F.lit(1))
+    words = measured(words, F.length("crawl_run_id") + F.length("w") + 32)
+    heard = spoken.join(words, ["crawl_run_id", "w"], "left").groupBy("__h1", "__h2").agg(F.first("__post", ignorenulls=True).alias("__post"), F.count("__post").alias("__copies"), F.count("__core").alias("__core"))
+    rows = heard.select("__post.__p.*", F.col("__post.__t").alias("__t"), (F.col("__core") / F.col("__copies")).cast("bigint").alias("__core"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copy"))
+    rows = rows.withColumn("__q", significant_tokens(F.col("query")))
     hit = F.size(F.filter("__q", lambda w: F.array_contains("__t", w)))
     match = F.when(F.size("__q") == 0, 0.0).otherwise(hit / F.size("__q"))
     core = F.coalesce("__core", F.lit(0))
@@ -136,7 +142,7 @@ def score_discussions(posts: DataFrame, core_terms: DataFrame, as_of: datetime)
     reason = F.concat(
         F.lit('"'), "title", F.lit('" in r/'), "subreddit", F.lit(" ("), many(F.col("num_comments"), "comment"), F.lit(" · "), many(F.col("score"), "point"), days, F.lit(') relates to topic "'), "query", F.lit('".')
     )
-    return rows.withColumn("priority", priority_of(F.col("opportunity_score"))).withColumn("reason", reason).drop("__core", "__t", "__b", "__q", "__row")
+    return rows.withColumn("priority", priority_of(F.col("opportunity_score"))).withColumn("reason", reason).drop("__core", "__t", "__q", "__copy")
 
 
 def rank_discussions(scored: DataFrame, most: int = DISCUSSIONS_KEPT) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules as R
 from ..functions.urls import hostname_of, link_key, path_of
+from ..sources.tables import measured
 from .audit import content_pages
 
 # IPv4 ranges that are no public target (first and last address).
@@ -73,17 +74,25 @@ def parse_robots(files: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """``urls`` (host, url) with ``allowed``: the agent's group or ``*``; the longest matching rule, first on ties."""
+    """``urls`` (host, url) with ``allowed``: the agent's group or ``*``; the longest matching rule, first on ties.
+
+    Rules are looked up by host and the literal start of their pattern: a path is cut at the lengths that
+    these starts have (a number, collected: patterns are short and lengths few), and only rules with
+    wildcards are compared further. Rules are broadcast if they are measured small; beyond that URLs
+    are dealt by host and start, and Spark splits what a large host has too much.
+    """
     token = agent.lower().split("/")[0].split(" ")[0]
     fit = robots.where(F.col("agent").isin(token, "*"))
     chosen = fit.groupBy("host").agg(F.min(F.struct((F.col("agent") == "*").alias("general"), "group_ord")).alias("c")).select("host", F.col("c.group_ord").alias("group_ord"))
-    rules = fit.join(chosen, ["host", "group_ord"]).where("pattern is not null").select("host", "rule_ord", "allow", "pattern").distinct()
+    rules = fit.join(chosen, ["host", "group_ord"]).where("pattern is not null").select("host", "rule_ord", "allow", "pattern", F.substring_index("pattern", "*", 1).alias("start")).distinct()
+    rules = measured(rules, F.length("host") + 2 * F.length("pattern") + 32)
+    sizes = [F.lit(r[0]) for r in rules.select(F.length("start")).distinct().collect()]
     path = path_of(F.col("url"))
-    literal = F.substring_index("pattern", "*", 1)
     regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split("pattern", r"\*"), lambda p: F.concat(F.lit("\\Q"), p, F.lit("\\E"))), ".*"))
-    matches = F.when(F.contains("pattern", F.lit("*")), F.regexp_like(path, regex)).otherwise(F.startswith(path, F.col("pattern")))
-    hit = urls.select("host", "url").distinct().join(rules, "host").where(matches)
-    best = hit.groupBy("host", "url").agg(F.max_by("allow", F.struct(F.length(literal).alias("n"), (-F.col("rule_ord")).alias("o"))).alias("rule"))
+    matches = ~F.contains("pattern", F.lit("*")) | F.regexp_like(path, regex)
+    starts = F.transform(F.filter(F.array(*sizes).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+    hit = urls.select("host", "url").distinct().withColumn("start", F.explode(starts)).join(rules, ["host", "start"]).where(matches)
+    best = hit.groupBy("host", "url").agg(F.max_by("allow", F.struct(F.length("start").alias("n"), (-F.col("rule_ord")).alias("o"))).alias("rule"))
     return urls.join(best, ["host", "url"], "left").withColumn("allowed", F.coalesce("rule", F.lit(True))).drop("rule")
 
 

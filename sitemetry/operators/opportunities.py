@@ -207,8 +207,8 @@ def search_intent_gap(rows: DataFrame) -> DataFrame:
 def orphan_pages(rows: DataFrame) -> DataFrame:
     """Content pages that no content page links to, in crawls with more than one content page."""
     linked = rows.select("crawl_run_id", F.explode("internal_links").alias("url")).distinct()
-    several = rows.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("crawl_run_id")
-    orphans = rows.join(linked, ["crawl_run_id", "url"], "left_anti").join(several, "crawl_run_id", "left_semi")
+    alone = rows.groupBy("crawl_run_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).where("n = 1").drop("n")
+    orphans = rows.join(linked, ["crawl_run_id", "url"], "left_anti").join(alone, ["crawl_run_id", "url"], "left_anti")
     freq = F.col("best_freq")
     rule = {
         "when": F.lit(True),

@@ -14,8 +14,8 @@ from ..functions import urls as U
 from ..operators import content, links, stats
 from ..sources import html, payloads, tables
 from .audit_queries import ORACLE_SQL as AUDIT_SQL
-from .planning_queries import _plan
-from .search_queries import search_with
+from .planning_queries import PLAN_SQL, _plan
+from .search_queries import OPP_SQL, search_with
 from .site_tables import HTML_SQL, crawl_runs, crawled_pages, stored_pages
 
 AGENT = "SiteBot/1.0 (+https://bot.example)"
@@ -170,10 +170,20 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other entry is relative to its sitemap, which lies in a folder."""
     p = crawled_pages(spark, sf_dir)
-    loc = F.concat(F.lit("<url>< loc> "), F.col("url"), F.lit("/?a=1&amp;b=2#x </loc></url><url><LOC>https://elsewhere.test/</LOC></url>"))
-    files = p.groupBy("crawl_run_id", _payload_of(F.col("page_seq"))).agg(F.array_join(F.collect_list(loc), "\n").alias("body")).withColumn("domain", F.col("crawl_run_id"))
-    return payloads.extract_sitemap_urls(files)
+    shown = F.when(F.col("page_seq") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^[a-z]+://[^/]*/", "../"))
+    loc = F.concat(F.lit("<url>< loc> "), shown, F.lit("/?a=1&amp;b=2#x </loc></url><url><LOC>https://elsewhere.test/</LOC></url>"))
+    files = p.groupBy("crawl_run_id", U.scheme_of(F.col("url")).alias("scheme"), _payload_of(F.col("page_seq"))).agg(F.array_join(F.collect_list(loc), "\n").alias("body"))
+    return payloads.extract_sitemap_urls(files.withColumn("domain", F.col("crawl_run_id")).withColumn("sitemap_url", F.concat("scheme", F.lit("://"), "crawl_run_id", F.lit("/maps/sitemap.xml"))))
+
+
+def _internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every kind on the given pages, seen from their addresses."""
+    i, url = F.col("page_id"), F.col("url")
+    kinds = ["../up/./a b/#x", None, "//www.Example.com:443/x/?q#f", "?page=2#top", "mailto:a@example.com", None, " ", "https://example.com.evil.test/"]
+    href = F.when(i % 8 == 1, F.concat(F.lit("/moved/"), i.cast("string"), F.lit("/"))).when(i % 8 == 5, url).otherwise(F.get(F.array(*[F.lit(k) for k in kinds]), (i % 8).cast("int")))
+    return _read(spark, sf_dir, "pages").select("page_id", U.internal_link(href, url, F.lit("Example.COM")).alias("normal"))
 
 
 def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +204,7 @@ QUERIES = {
     "read_tables": lambda s, d: tables.read_table(s, f"{d}/pages.parquet", "page_id bigint, url string").select("page_id", "url"),
     "replace_results": _replaced,
     "norm_crawl_url": _urls(normal=U.norm_crawl_url),
-    "norm_internal_link": lambda s, d: _read(s, d, "pages").select("page_id", U.norm_internal_link(F.col("url"), F.lit("Example.COM")).alias("normal")),
+    "norm_internal_link": _internal_links,
     "norm_website_url": lambda s, d: _read(s, d, "pages").select("page_id", *[f(F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("ftp"), "url")).when(F.col("page_id") % 10 == 1, F.lit(" ")).otherwise(F.concat(F.lit(" "), "url"))).alias(n) for n, f in (("website_url", U.norm_website_url), ("domain", U.website_domain), ("error", U.website_url_error))]),
     "origin_of": _urls(origin=U.origin_of),
     "extract_page_features": _features,
@@ -219,6 +229,18 @@ _PATH = "regexp_extract(url, '://[^/]*(/.*)', 1)"
 _ALLOWED = (
     f"CASE WHEN length(host) % 3 = 0 THEN NOT starts_with({_PATH}, '/en/a') WHEN starts_with({_PATH}, '/de/t') THEN true WHEN starts_with({_PATH}, '/de/') THEN false WHEN regexp_matches({_PATH}, '^/fr/.*th') THEN false ELSE true END"
 )
+_KEY = "regexp_replace(regexp_extract({0}, '://([^?#]*)', 1), '/+$', '')"
+#: Pages of planned topics, found by looking for every word in every page, and the links between pages.
+_PLAN = search_with(
+    OPP_SQL,
+    PLAN_SQL,
+    f"""hits AS (
+      SELECT p.crawl_run_id, p.place AS t, p.topic, {_KEY.format("c.url")} AS key, min(c.page_seq) AS seq FROM plan p JOIN crawled c ON c.crawl_run_id = p.crawl_run_id
+      WHERE len(list_filter(string_split_regex(lower(p.topic), '[^a-z0-9]+'), lambda w: length(w) > 3 AND (contains(lower(coalesce(c.title, '')), w) OR contains(lower(c.url), w)))) > 0 GROUP BY ALL
+    ), joined AS (
+      SELECT DISTINCT crawl_run_id, {_KEY.format("url")} AS source, {_KEY.format("link")} AS target FROM (SELECT crawl_run_id, url, unnest(internal_links) AS link FROM crawled WHERE contains(content_type, 'text/html') OR contains(content_type, 'application/xhtml+xml'))
+    ) """,
+)
 
 ORACLE_SQL = {
     "redirect_target": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN o || CASE WHEN len(string_split(p, '/')) > 3 THEN array_to_string(string_split(p, '/')[:len(string_split(p, '/')) - 2], '/') ELSE '' END || '/up/a%20b/' WHEN 1 THEN o || '/moved/' || page_id || '/' WHEN 3 THEN o || p || '?page=2' END AS target
@@ -226,7 +248,12 @@ ORACLE_SQL = {
     "read_tables": "SELECT page_id, url FROM pages",
     "replace_results": AUDIT_SQL["http_status_distribution"],
     "norm_crawl_url": f"SELECT page_id, {_NORMAL.format('url')} AS normal FROM pages",
-    "norm_internal_link": f"SELECT page_id, CASE WHEN regexp_matches(url, '://([^/?#]*\\.)?example\\.com([/?#]|$)') THEN {_NORMAL.format('url')} END AS normal FROM pages",
+    "norm_internal_link": """WITH p AS (
+        SELECT page_id, page_id % 8 AS k, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, coalesce(nullif(regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1), ''), '/') AS p,
+          regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS q, regexp_matches(url, '://([^/?#]*\\.)?example\\.com([/?#]|$)') AS inside FROM pages
+      ), n AS (SELECT *, coalesce(nullif(regexp_replace(p, '/+$', ''), ''), '/') AS same, string_split(p, '/') AS s FROM p)
+      SELECT page_id, CASE WHEN k = 2 THEN scheme || '://www.example.com' || CASE WHEN scheme = 'http' THEN ':443' ELSE '' END || '/x?q' WHEN inside THEN CASE k WHEN 0 THEN o || CASE WHEN len(s) > 3 THEN array_to_string(s[:len(s) - 2], '/') ELSE '' END || '/up/a%20b'
+        WHEN 1 THEN o || '/moved/' || page_id WHEN 3 THEN o || same || '?page=2' WHEN 5 THEN o || same || q WHEN 6 THEN o || same || q END END AS normal FROM n""",
     "norm_website_url": """SELECT page_id, CASE WHEN page_id % 10 > 1 THEN regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') END AS website_url, CASE WHEN page_id % 10 > 1 THEN regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\\.', '') END AS domain,
       CASE page_id % 10 WHEN 0 THEN 'Website URL must use HTTP or HTTPS' WHEN 1 THEN 'Website URL is required' END AS error FROM pages""",
     "origin_of": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages",
@@ -260,5 +287,11 @@ ORACLE_SQL = {
     "private_target_filter": """WITH t AS (SELECT event_id, event_id * 7 % 256 AS a, event_id * 3 % 256 AS b, event_id * 5 % 256 AS c, event_id % 256 AS d FROM events) SELECT event_id, CASE WHEN event_id % 50 = 1 THEN 'a' || event_id || '.example.org' ELSE a || '.' || b || '.' || c || '.' || d END AS host FROM t
       WHERE event_id % 50 = 1 OR (event_id % 50 <> 0 AND NOT (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19))
         OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 224))""",
+    "content_link_suggestions": _PLAN
+    + r"""SELECT crawl_run_id, place, source, target, topic FROM (SELECT *, row_number() OVER (PARTITION BY crawl_run_id ORDER BY t, i, j)::INTEGER AS place FROM (
+        SELECT *, row_number() OVER (PARTITION BY crawl_run_id, list_sort([source, target]) ORDER BY t, i, j) AS k FROM (
+          SELECT a.crawl_run_id, a.t, a.topic, a.key AS source, b.key AS target, {'s': a.seq, 'k': a.key} AS i, {'s': b.seq, 'k': b.key} AS j
+          FROM hits a JOIN hits b ON a.crawl_run_id = b.crawl_run_id AND a.t = b.t AND (a.seq < b.seq OR a.seq = b.seq AND a.key < b.key)
+          WHERE NOT EXISTS (SELECT 1 FROM joined e WHERE e.crawl_run_id = a.crawl_run_id AND ((e.source = a.key AND e.target = b.key) OR (e.source = b.key AND e.target = a.key))))) WHERE k = 1) WHERE place <= 8""",
     "detect_cdn": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Cloudflare' WHEN page_id % 5 = 0 THEN 'Vercel' WHEN page_id % 5 = 1 THEN 'Imperva' END AS cdn FROM pages",
 }

@@ -57,7 +57,8 @@ def normal_url(url: str) -> str | None:
 def internal_link(href: str, base: str, domain: str) -> str | None:
     """The normalised target of a link inside the domain, else None."""
     try:
-        url = urljoin(base, href.strip())
+        href = href.strip()
+        url = href if re.match("[A-Za-z][A-Za-z0-9+.-]*:", href) else urljoin(base, href)
         host = (urlsplit(url).hostname or "").lower()
     except ValueError:
         return None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import js_round, js_trim
-from ..functions.urls import hostname_of, norm_internal_link, path_of
+from ..functions.urls import hostname_of, internal_link, path_of
 
 BODY_CHARS, COMMENT_CHARS = 500, 2000
 GONE = ["", "[removed]", "[deleted]"]
@@ -176,12 +176,12 @@ def extract_answer_text(payload: Column) -> Column:
 
 
 def extract_sitemap_urls(files: DataFrame) -> DataFrame:
-    """Distinct (crawl_run_id, url) inside the domain from (crawl_run_id, domain, body) sitemaps."""
-    locs = files.select("crawl_run_id", "domain", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<\s*loc\s*>(.*?)<\s*/\s*loc\s*>"), F.lit(1))).alias("loc"))
+    """Distinct (crawl_run_id, url) inside the domain from (crawl_run_id, domain, sitemap_url, body) sitemaps; entries may be relative."""
+    locs = files.select("crawl_run_id", "domain", "sitemap_url", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<\s*loc\s*>(.*?)<\s*/\s*loc\s*>"), F.lit(1))).alias("loc"))
     url = js_trim(F.col("loc"))
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'")):
         url = F.replace(url, F.lit(entity), F.lit(char))
-    return locs.select("crawl_run_id", norm_internal_link(url, F.col("domain")).alias("url")).where("url is not null").distinct()
+    return locs.select("crawl_run_id", internal_link(url, F.col("sitemap_url"), F.col("domain")).alias("url")).where("url is not null").distinct()
 
 
 def detect_cdn(server: Column, headers: Column) -> Column:

@@ -3,8 +3,10 @@
 A page is read as a sequence of words and tags. Words score by where they stand, tags score
 below zero; the contiguous stretch of highest total score, found in one scan, is the content.
 The weights are learned from labelled pages, those that mark their content with ``article`` or
-``main``: they are log-odds of standing inside the mark. Inside the stretch, what stands in a
-menu, header, footer, sidebar, notice, advert, form, script, style or comment list is left out.
+``main``: they are log-odds of standing inside the mark. A stretch that touches a marked element
+grows to its edges, any other to those of the nearest element around it whose words it mostly has, so
+short first and last parts stay. Inside the stretch, what stands in a menu, header, footer,
+sidebar, notice, advert, form, script, style or comment list is left out.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +39,11 @@ BLOCKS = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre",
     "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "title",
 }
-NESTING = BLOCKS - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "title"} | {"button", "select", "svg", "math", "canvas", "object", "template", "video", "audio", "label"}
+NESTING = BLOCKS - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "title"} | {"button", "select", "svg", "annotation", "annotation-xml", "canvas", "object", "template", "video", "audio", "label"}
 CONTENT = {"article", "main"}
 LEFT_OUT = {
     "nav": "menu", "menu": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "fieldset": "form", "button": "form", "select": "form", "label": "form", "search": "form",
-    "svg": "script", "math": "script", "canvas": "script", "object": "script", "template": "script", "video": "script", "audio": "script", "dialog": "notice",
+    "svg": "script", "annotation": "script", "annotation-xml": "script", "canvas": "script", "object": "script", "template": "script", "video": "script", "audio": "script", "dialog": "notice",
 }
 ROLES = {"navigation": "menu", "banner": "header", "contentinfo": "footer", "complementary": "sidebar", "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "menu": "menu"}
 # Words of class and id names, by what they mark.
@@ -52,6 +56,12 @@ NAMES = {
     "advert": {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "adsbygoogle"},
     "comments": {"comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion", "reviews"},
 }
+# Names that a part of an article may have for its subject, as a paper's discussion.
+DOUBTFUL = NAMES["menu"] | {"related", "recommended", "trending", "share", "sharing", "social", "notice", "notices", "alert", "disclaimer", "promotion", "copyright", "replies", "respond", "discussion", "reviews"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A stretch grows to an element without mark around it if it has this share of the element's words that are not left out.
+FILLED = 0.7
+
 # Words that say where or how a part stands. A class or id name marks a part if it has no other words.
 PLAIN_NAME_WORDS = {
     "area", "article", "bar", "block", "blog", "body", "bottom", "box", "btn", "button", "col", "column", "container", "content", "entry", "extra", "fixed", "form", "global", "group",
@@ -68,36 +78,81 @@ _SPACE = re.compile(r"\s+")
 _LABEL = rf"(?i)<({'|'.join(sorted(CONTENT))})[\s/>]"
 
 
-def _marked(tag: str, attributes: str, in_content: bool) -> str | None:
-    """What a start tag opens that is left out, if anything."""
+def _marked(tag: str, attributes: str, in_content: bool) -> tuple[str | None, bool]:
+    """What a start tag opens that is left out, if anything, and whether only a doubtful name says so."""
     if tag in LEFT_OUT:
-        return LEFT_OUT[tag]
+        return LEFT_OUT[tag], False
     if tag == "header" and not in_content:
-        return "header"
+        return "header", False
     if not attributes or tag in ("html", "body", *CONTENT):
-        return None
+        return None, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return "script"
+        return "script", False
     if (role := found.get("role", "").lower()) in ROLES:
-        return ROLES[role]
+        return ROLES[role], False
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = [w.lower() for w in _NAME_WORDS(name)]
-        kinds = [_KIND_OF_NAME[w] for w in words if w in _KIND_OF_NAME]
-        if kinds and all(w in _KIND_OF_NAME or w in PLAIN_NAME_WORDS for w in words):
-            return kinds[0]
-    return None
+        telling = [w for w in words if w in _KIND_OF_NAME]
+        if telling and all(w in _KIND_OF_NAME or w in PLAIN_NAME_WORDS for w in words):
+            return _KIND_OF_NAME[telling[0]], all(w in DOUBTFUL for w in telling)
+    return None, False
+
+
+@dataclass
+class _Open:
+    """An open element: what it is left out as, or would be if it proves to be no part of the article."""
 
+    tag: str
+    start: int
+    kind: str | None = None
+    doubt: str | None = None
+    before: tuple[int, int, int] = (0, 0, 0)  # headings, words and words in links up to here
+
+
+def _without_furniture(items: list[tuple], furniture: list[tuple[int, int, str]]) -> list[tuple]:
+    """``items`` with those in the given ranges (from, to, kind) left out; ranges are nested or apart."""
+    ranges, open_, out, k = sorted(furniture, key=lambda r: (r[0], -r[1])), [], [], 0
+    for i, item in enumerate(items):
+        while open_ and open_[-1][1] <= i:
+            open_.pop()
+        while k < len(ranges) and ranges[k][0] <= i:
+            if ranges[k][1] > i:
+                open_.append(ranges[k])
+            k += 1
+        if open_ and item[0] == "text" and not item[3]:
+            item = ("text", item[1], (open_[-1][2], *item[2][1:]), True, *item[4:])
+        out.append(item)
+    return out
 
-def read_page(page: str) -> list[tuple]:
-    """The page as ('tag', name, inside) and ('text', text, feature, left out, block, inside) items.
+
+def read_page(page: str) -> tuple[list[tuple], list[tuple[str, int, int]]]:
+    """The page as ('tag', name, inside) and ('text', text, feature, left out, block, inside) items, and its elements.
 
     ``feature`` is (container, block element, in a link); ``inside`` says whether the item stands
-    in a content element; items of the same ``block`` are one block of text.
+    in a content element; items of the same ``block`` are one block of text. An element is (name, first item,
+    item behind it). A part of a content element with a doubtful name is left out if it has no heading of
+    its own or more words in links than others.
     """
     items: list[tuple] = []
-    stack: list[tuple[str, str | None]] = []
-    element, link, block, at, in_content, outside = "body", False, 0, 0, 0, 0
+    elements: list[tuple[str, int, int]] = []
+    furniture: list[tuple[int, int, str]] = []
+    stack: list[_Open] = []
+    element, link, block, at, in_content, outside, doubts = "body", False, 0, 0, 0, 0, 0
+    headings = words = linked = 0
+
+    def close() -> _Open:
+        nonlocal outside, in_content, doubts
+        top = stack.pop()
+        outside -= top.kind is not None
+        in_content -= top.tag in CONTENT
+        elements.append((top.tag, top.start, len(items)))
+        if top.doubt:
+            doubts -= 1
+            if headings == top.before[0] or 2 * (linked - top.before[2]) > words - top.before[1]:
+                furniture.append((top.start, len(items), top.doubt))
+        return top
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -107,7 +162,10 @@ def read_page(page: str) -> list[tuple]:
             if text[:2] in ("<!", "<?") and len(text) > 1:
                 continue
             if not text.isspace() or items:
-                container = next((k for _, k in reversed(stack) if k), "content" if in_content else "page")
+                container = next((e.kind for e in reversed(stack) if e.kind), "content" if in_content else "page")
+                if doubts and not outside:
+                    n = len(text.split())
+                    words, linked = words + n, linked + n * link
                 items.append(("text", text, (container, element, link), outside > 0, block, in_content > 0))
             continue
         if m[2] is None and not page[m.end() - 1] == ">":
@@ -127,33 +185,33 @@ def read_page(page: str) -> list[tuple]:
         elif tag == "br":
             items.append(("text", " ", ("page", element, link), outside > 0, block, in_content > 0))
         items.append(("tag", tag, in_content > 0))
+        headings += tag in HEADINGS and not closing and not outside
         if tag in NESTING:
             if closing:
-                if any(t == tag for t, _ in stack):
-                    while stack:
-                        t, kind = stack.pop()
-                        outside -= kind is not None
-                        in_content -= t in CONTENT
-                        if t == tag:
-                            break
-                element = next((t for t, _ in reversed(stack)), "body")
+                if any(e.tag == tag for e in stack):
+                    while close().tag != tag:
+                        pass
+                element = stack[-1].tag if stack else "body"
             elif not attributes.rstrip().endswith("/") or tag in BLOCKS:
-                if tag == "li" and stack and stack[-1][0] == "li":
-                    _, kind = stack.pop()
-                    outside -= kind is not None
-                kind = _marked(tag, attributes, in_content > 0)
-                stack.append((tag, kind))
-                outside += kind is not None
+                if tag == "li" and stack and stack[-1].tag == "li":
+                    close()
+                kind, doubtful = _marked(tag, attributes, in_content > 0)
+                doubtful = doubtful and in_content > 0
+                stack.append(_Open(tag, len(items) - 1, None if doubtful else kind, kind if doubtful else None, (headings, words, linked)))
+                doubts += doubtful
+                outside += kind is not None and not doubtful
                 in_content += tag in CONTENT
                 element = tag
         elif tag in BLOCKS:
-            element = next((t for t, _ in reversed(stack)), "body") if closing else tag
-    return items
+            element = (stack[-1].tag if stack else "body") if closing else tag
+    while stack:
+        close()
+    return _without_furniture(items, furniture) if furniture else items, elements
 
 
 def _counts(page: str) -> Counter:
     """(feature, inside) counts of a labelled page; empty if it has no content element."""
-    items = read_page(page)
+    items, _ = read_page(page)
     found: Counter = Counter()
     if not any(i[-1] for i in items):
         return found
@@ -216,9 +274,25 @@ def _score(item: tuple, weights: dict[str, float]) -> float:
     return specific * words
 
 
+def _grown(items: list[tuple], elements: list[tuple[str, int, int]], ends: list[int]) -> tuple[int, int]:
+    """The range of a stretch with the kept texts ``ends``, grown to the edges of the elements it belongs to."""
+    a, b = ends[0], ends[-1] + 1
+    touched = lambda x, y: (k := bisect_left(ends, x)) < len(ends) and ends[k] < y
+    marks = [(x, y) for tag, x, y in elements if tag in CONTENT and touched(x, y)]
+    if marks:
+        return min(a, min(m[0] for m in marks)), max(b, max(m[1] for m in marks))
+    around = [(y - x, x, y) for tag, x, y in elements if x <= a and y >= b and tag not in ("html", "body")]
+    if around:
+        _, x, y = min(around)
+        kept = lambda i: len(i[1].split()) if i[0] == "text" and not i[3] else 0
+        if sum(map(kept, items[a:b])) >= FILLED * sum(map(kept, items[x:y])):
+            return x, y
+    return a, b
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best stretch, white space collapsed, joined by line feeds; '' if nothing scores."""
-    items = read_page(page)
+    items, elements = read_page(page)
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, item in enumerate(items):
         if total <= 0:
@@ -231,7 +305,8 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     ends = [i for i in range(best_from, best_to) if items[i][0] == "text" and not items[i][3]]
     if not ends:
         return ""
-    first, last = items[ends[0]][4], items[ends[-1]][4]  # whole blocks only
+    best_from, best_to = _grown(items, elements, ends)
+    first, last = ([i[4] for i in items[best_from:best_to] if i[0] == "text" and not i[3]][k] for k in (0, -1))  # whole blocks only
     blocks: dict[int, list[str]] = {}
     for item in items:
         if item[0] == "text" and not item[3] and first <= item[4] <= last:

@@ -73,6 +73,43 @@ def test_references_end_at_tags_and_class_names_mark_as_a_whole(spark):
     assert got == "AT&amp; T\nKept words here.\nKept too."
 
 
+def whole(page, mark="article"):
+    """The text of a page by weights learned from pages of another kind."""
+    weights = {"word content p False": 4.0, "word p False": 4.0, "word page p False": 2.0, "word h2 False": 1.0, "tag td": -0.3, "tag tr": -0.3, "tag span": -0.3, "tag b": -0.3}
+    return html_text.main_text(page.replace("<article", f"<{mark}").replace("</article", f"</{mark}"), weights)
+
+
+LONG = "<p>" + "Many words of a long paragraph in the article. " * 12 + "</p>"
+
+
+def test_sections_named_like_furniture_stay_in_an_article():
+    for name in ("discussion", "reviews", "share", "related", "notice", "disclaimer", "respond", "menu", "navigation"):
+        page = f"<article><h1>Title</h1>{LONG}<section id='{name}'><h2>Its heading</h2><p>Prose of the section with a <a href=x>link</a> in it.</p></section>{LONG}</article>"
+        assert "Its heading\nProse of the section with a link in it." in whole(page), name
+        bare = f"<article><h1>Title</h1>{LONG}<div class='{name}-links'><p>Prose of the section in it.</p></div>{LONG}</article>"
+        assert "Prose" not in whole(bare), name
+        linked = f"<article><h1>Title</h1>{LONG}<div id='{name}'><h3>More</h3><ul><li><a href=x>Another article here</a></li><li><a href=y>And one more</a></li></ul></div>{LONG}</article>"
+        assert "Another" not in whole(linked) and "More" not in whole(linked), name
+    comments = f"<article>{LONG}<section id='comments'><h2>Comments</h2><p>I liked this a lot.</p></section></article><div id='discussion'><h2>Discussion</h2><p>So did I.</p></div>"
+    assert "liked" not in whole(comments) and "So did" not in whole(comments)
+    nested = "<article>" + "<div class='share'>" * 3_000 + "words" + "</div>" * 3_000 + LONG + "</article>"
+    assert whole(nested) == whole(f"<article>{LONG}</article>")
+
+
+def test_formulas_stay():
+    page = f"<article>{LONG}<p>With <math><semantics><mi>E</mi><annotation encoding='application/x-tex'>E_x</annotation></semantics></math> as energy.</p></article>"
+    assert whole(page).endswith("With E as energy.")
+
+
+def test_short_first_and_last_parts_stay():
+    rows = "".join(f"<tr><td><span><b>k{i}</b></span></td></tr>" for i in range(8))
+    want = "\n".join(f"k{i}" for i in range(8))
+    for mark in ("article", "main", "div"):
+        page = f"<body><nav><a href=x>Home</a></nav><article><table>{rows}</table>{LONG}<table>{rows}</table></article><footer>us</footer></body>"
+        got = whole(page, mark)
+        assert got.startswith(want) and got.endswith(want) and "Home" not in got and "us" not in got.split("\n"), mark
+
+
 def test_given_pages_without_their_mark(spark):
     """Weights learned from pages that mark their article find it on pages that don't."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import defaultdict
 
 from sitemetry.llm import url_filter as uf
@@ -87,6 +88,19 @@ def test_against_a_tree_built_path_by_path(spark):
         assert [(r["template"], round(r["purity"], 9), r["verdict"]) for _, r in sorted(got.items())] == brute(urls + deep + [None, "x"], rules)
 
 
+def test_deep_paths_that_many_urls_share(spark):
+    """Rounds follow branchings, not depth: 20 urls behind 50 shared segments, ends on the way, and branchings below."""
+    folder = "/".join(f"d{k}" for k in range(50))
+    urls = [f"http://x.example.com/de/{folder}/page-{i}" for i in range(20)] + [f"http://x.example.com/de/{'/'.join(f'd{k}' for k in range(n))}" for n in (3, 20, 20, 35)]
+    urls += [f"http://y.example.com/{folder}/{'de' if i % 2 else 'en'}/{folder}/{'a' if i % 3 else 'b'}/{i}x" for i in range(120)] + [f"http://y.example.com/{'a/' * n}" for n in range(25)]
+    rules = [*URL_RULES, ("allow", "x.example.com/de/d0/d1/d2/d3/")]
+    began = time.time()
+    got = judged(spark, urls, rules)
+    took = time.time() - began
+    assert [(r["template"], round(r["purity"], 9), r["verdict"]) for _, r in sorted(got.items())] == brute(urls, rules)
+    assert took < 100  # with one round a level it took minutes
+
+
 def test_labels_of_a_host_reach_its_other_pages(spark):
     pages = spark.read.parquet(PAGES).select("page_id", "url")
     free = [r for r in uf.judge(pages, URL_RULES).collect() if r["rule"] is None]

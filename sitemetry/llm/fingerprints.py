@@ -10,6 +10,8 @@ equal slots falls with the edit distance and not only with the set of k-mers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,10 +161,11 @@ def _pieces(rows: DataFrame, key: str, text: str, starts: list[int]) -> DataFram
     return dealt.withColumn("__piece", F.least(pieces - 1, F.floor(at * pieces)))
 
 
-def with_next(df: DataFrame, key: str, text: str, columns: dict[str, str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, text: str, columns: dict[str, str], prepared: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``df`` with columns of the next row by ascending (key, hash of the text, text); after the last comes the first.
 
-    ``columns`` maps columns to the names of their copies. Rows are dealt to pieces of about
+    ``columns`` maps columns to the names of their copies. ``prepared`` adds columns to the rows where they
+    have been dealt, so that its work is spread and its columns aren't shuffled. Rows are dealt to pieces of about
     PIECE_ROWS rows, and each piece also gets the first row of the next one. The ranges that pieces
     are cut from are known on the driver; the pieces themselves are a table that grows with ``df``.
     """
@@ -188,10 +191,12 @@ def with_next(df: DataFrame, key: str, text: str, columns: dict[str, str]) -> Da
     placed = placed.withColumn("__sent", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
     sent = [F.col(f"__sent.{c}").alias(f"__sent_{c}") for c in ("r", "p", "extra")]
     placed = placed.select(*df.columns, *sent, F.xxhash64(text).alias("__tie"))
+    helpers = ["__sent_r", "__sent_p", "__sent_extra", "__tie"]
+    placed = prepared(placed.repartition("__sent_r", "__sent_p"))
     # Plain columns, so that all copies come from one window over one shuffle.
     in_order = Window.partitionBy("__sent_r", "__sent_p").orderBy("__sent_extra", key, "__tie", text)
     copies = [F.lead(column).over(in_order).alias(name) for column, name in columns.items()]
-    return placed.select(*df.columns, "__sent_extra", *copies).where("__sent_extra = 0").drop("__sent_extra")
+    return placed.select("*", *copies).where("__sent_extra = 0").drop(*helpers)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -207,8 +212,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63))))
-    marked = with_fingerprint(rows, "text", "fp")
-    joined = with_next(marked, "__key", "text", {"text": "next_text", "fp": "next_fp"})
+    joined = with_next(rows, "__key", "text", {"text": "next_text", "fp": "next_fp"}, lambda dealt: with_fingerprint(dealt, "text", "fp"))
     joined = joined.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = joined.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.expr("substring(next_text, 1, cut)"))).drop("text", "next_text")
     both = with_fingerprint(edited, "edited", "edited_fp")

@@ -286,14 +286,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows; (words_id, copy_id, root, links) of all classes; (root, class_id, stays) of all groups.
+    """Sketches of all rows; (words_id, copy_id, rows, root, links) of all classes; (root, class_id, stays) of all groups.
 
     ``stays`` names the row that stands for a group: smallest doc_id (null comes last), then hash of the text.
     """
     bands, rows = choose_bands(similarity, recall)
     sketches = cut_lineage(sketch(docs, n, bands, rows))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min(row).alias("stays"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = sketches.where("words_id is not null").groupBy("words_id").agg(F.min("doc_id").alias("copy_id"), F.min(row).alias("stays"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     classes = cut_lineage(classes)
     exploded = classes.select("words_id", "size", F.posexplode("bands").alias("band", "hash"))
     blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
@@ -311,8 +311,8 @@ def _classes(docs: DataFrame, n: int, similarity: float, recall: float) -> tuple
     found = cut_lineage(_links(placed.repartition(*key).sortWithinPartitions(*key), similarity))
     roots = components(found.select(F.col("words_id").alias("a"), F.col("reached").alias("b")))
     linked = found.groupBy("words_id").agg(F.sum("links").alias("links"))
-    grouped = classes.select("words_id", "copy_id", "stays").join(roots.withColumnRenamed("node", "words_id"), "words_id", "left").join(linked, "words_id", "left")
-    grouped = cut_lineage(grouped.select("words_id", "copy_id", "stays", F.coalesce("root", "words_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    grouped = classes.select("words_id", "copy_id", "stays", "rows").join(roots.withColumnRenamed("node", "words_id"), "words_id", "left").join(linked, "words_id", "left")
+    grouped = cut_lineage(grouped.select("words_id", "copy_id", "stays", "rows", F.coalesce("root", "words_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     labels = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("stays").alias("stays"))
     return sketches, grouped.drop("stays"), labels
 
@@ -330,8 +330,10 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     stands alone; an empty table gives an empty one; other columns are not read.
     """
     sketches, grouped, labels = _classes(docs, n, similarity, recall)
-    named = grouped.join(labels.drop("stays"), "root").select("words_id", "copy_id", "class_id", "links")
-    out = sketches.select("doc_id", "words_id").join(named, "words_id", "left")
+    named = cut_lineage(grouped.join(labels.drop("stays"), "root").select("words_id", "copy_id", "class_id", "links", F.col("rows").alias("n")))
+    rows = sketches.select("doc_id", "words_id")
+    worded = join_counted(rows.where("words_id is not null"), named, ["words_id"], named.agg(F.sum("n")).first()[0] or 0)
+    out = worded.unionByName(rows.where("words_id is null"), allowMissingColumns=True)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 

@@ -26,8 +26,14 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return table(spark, sf_dir, name)
 
 
+def spread_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """``texts`` for operators that work on rows where they are read; where files have fewer parts than the session cores, rows are dealt to all of them."""
+    rows, cores = texts(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(texts(spark, sf_dir))
+    return language_id.identify(spread_texts(spark, sf_dir))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(texts(spark, sf_dir, "pages"))
+    return html_text.extract(spread_texts(spark, sf_dir, "pages"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +54,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(texts(spark, sf_dir), *tokenizer(), keep_ids=False)
+    return bpe.encode(spread_texts(spark, sf_dir), *tokenizer(), keep_ids=False)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(texts(spark, sf_dir))
+    return near_duplicates.near_duplicates(spread_texts(spark, sf_dir))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.dedup_passages(texts(spark, sf_dir).select("doc_id", "text"))
+    return passages.dedup_passages(spread_texts(spark, sf_dir).select("doc_id", "text"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +83,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.divergence(texts(spark, sf_dir))
+    return divergence.divergence(spread_texts(spark, sf_dir))
 
 
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

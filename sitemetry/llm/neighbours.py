@@ -296,7 +296,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     indexed = vectors.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "embedding")
     wanted = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    dealt = indexed.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "vec_id")
+    dealt = indexed.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query", "vec_id")
     local = dealt.mapInArrow(_search(dims, k), "query_id bigint, vec_id bigint, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

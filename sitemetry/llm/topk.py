@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in an index block, about. With fewer than BLOCKS blocks, each is built in several tasks that share the queries.
-INDEX_ROWS, BLOCKS = 8_192, 16
+#: Rows and bytes of an index block at most, about: the larger the blocks, the fewer times queries are sent. Small tables
+#: are cut into BLOCKS blocks of at least LEAST_ROWS rows, so that several tasks share the work.
+INDEX_ROWS, INDEX_BYTES, BLOCKS, LEAST_ROWS = 131_072, 64_000_000, 8, 2_048
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -157,18 +158,18 @@ def _padded(column: pa.ListArray, dims: int) -> np.ndarray:
 
 
 def _search(dims: int, k: int):
-    """Rows (query_id, vec_id, score) from (block, lane, is_query, vec_id, q), sorted by all but q."""
+    """Rows (query_id, vec_id, score) from (block, is_query, vec_id, q), sorted by all but q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, values, index = None, [], [], None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-            vec, q = batch.column(3).to_numpy(), _padded(batch.column(4), dims)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], axis=1)
+            vec, q = batch.column(2).to_numpy(), _padded(batch.column(3), dims)
             found = []
             for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys, axis=0).any(axis=1)) + 1):
                 if not len(part):
                     continue
-                block, is_query = tuple(keys[part[0], :2]), keys[part[0], 2]
+                block, is_query = keys[part[0]]
                 if block != current:
                     current, ids, values, index = block, [], [], None
                 if not is_query:
@@ -196,14 +197,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     stats = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("dims")).first()
     rows, dims = stats["n"], max(1, stats["dims"] or 0)
-    blocks = max(1, -(-rows // INDEX_ROWS))
-    lanes = -(-BLOCKS // blocks)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    indexed = vectors.select(hashed(blocks).alias("block"), each(lanes).alias("lane"), F.lit(False).alias("is_query"), "vec_id", "q")
+    size = max(1, min(INDEX_ROWS, INDEX_BYTES // (10 * dims)))  # a component has 8 bytes and its bitmaps about two
+    blocks = max(1, -(-rows // size), min(BLOCKS, rows // LEAST_ROWS))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    indexed = vectors.select(block, F.lit(False).alias("is_query"), "vec_id", "q")
     wanted = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    asked = wanted.select(each(blocks).alias("block"), hashed(lanes).alias("lane"), F.lit(True).alias("is_query"), "vec_id", "q")
-    dealt = indexed.unionByName(asked).repartition(blocks * lanes, "block", "lane").sortWithinPartitions("block", "lane", "is_query", "vec_id")
+    asked = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "vec_id", "q")
+    dealt = indexed.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "is_query", "vec_id")
     local = dealt.mapInArrow(_search(dims, k), "query_id bigint, vec_id bigint, score bigint")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

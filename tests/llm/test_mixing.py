@@ -58,3 +58,13 @@ def test_empty_and_null(spark):
     assert mixing.replicate(df.limit(0)).count() == 0
     got = Counter(r["doc_id"] for r in mixing.replicate(df, target_rows=30).collect())
     assert got[1] % 2 == 0 and got[1] > 0
+
+
+def test_rows_of_null_id_are_drawn_by_their_text(spark):
+    rows = [(None, f"text {i % 40}", "en", "a") for i in range(80)] + [(i, f"text {i}", "en", "a") for i in range(40)]
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.replicate(documents(spark, rows), target_rows=240).collect())
+    for doc, text, _, _ in rows:
+        name = str(doc) if doc is not None else hashlib.md5(text.encode()).hexdigest()
+        each = quantile(unit("0", name, "1"), 240 / 120)
+        assert got[doc, text] == each * (2 if doc is None else 1)
+    assert len({n for (doc, _), n in got.items() if doc is None}) > 2

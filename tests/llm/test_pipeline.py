@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         if n:
             want[d, hashlib.sha256(t.encode()).hexdigest()] = n
     assert got == want
-    assert [n for n, _ in corpus_pipeline.STAGES] and len(QUERIES) == 10
+    assert [n for n, _ in corpus_pipeline.STAGES] and len(QUERIES) == 13
 
 
 def test_each_stage_keeps_the_columns(spark):

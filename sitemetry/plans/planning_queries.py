@@ -389,6 +389,17 @@ ORACLE_SQL = {
     + """SELECT crawl_run_id, place, concat_ws(chr(10), 'You are an SEO content strategist for the website ' || crawl_run_id || '.', 'Derived from a real crawl, this topic is relevant: "' || topic || '".', 'Evidence: ' || reference || '.', 'Target intent: ' || intent || '.',
       'Write a short content brief with exactly three labelled parts:', 'TITLE: one concrete article title under 70 characters.', 'INTENT: the primary intent the page should satisfy.', 'STRUCTURE: a 3-6 point bullet outline (H2 sections) with a short phrase per point.',
       'Base everything only on the provided evidence. Do not invent metrics such as search volume, CPC, rankings or traffic.') AS prompt FROM refs""",
+    "content_clusters": _PLAN.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, t AS (
+      SELECT crawl_run_id, place, topic, list_filter(string_split_regex(lower(topic), '[^a-z0-9]+'), lambda w: length(w) > 3) AS words FROM plan
+    ), b AS (
+      SELECT DISTINCT crawl_run_id, 0 AS k, []::STRUCT(word VARCHAR, topics VARCHAR[])[] AS buckets FROM plan
+      UNION ALL
+      SELECT crawl_run_id, k + 1, CASE WHEN topic IS NULL OR len(words) = 0 THEN buckets WHEN home IS NULL THEN list_append(buckets, {'word': words[1], 'topics': [topic]})
+        ELSE list_transform(buckets, lambda x: CASE WHEN x.word = home THEN {'word': x.word, 'topics': list_append(x.topics, topic)} ELSE x END) END
+      FROM (SELECT b.*, t.topic, t.words, list_filter(t.words, lambda w: list_contains(list_transform(b.buckets, lambda x: x.word), w))[1] AS home FROM b LEFT JOIN t ON t.crawl_run_id = b.crawl_run_id AND t.place = b.k + 1 WHERE b.k < 6)
+    )
+    SELECT crawl_run_id, upper(x.word[1]) || x.word[2:] AS cluster, x.topics AS topics FROM (SELECT crawl_run_id, unnest(buckets) AS x FROM b WHERE k = 6) WHERE len(x.topics) >= 2""",
     "content_action_counts": _PLAN + "SELECT crawl_run_id, CASE WHEN source_type IN ('SEARCH_INTENT_GAP', 'WEAK_TOPIC_COVERAGE') THEN 'Expand topic coverage' WHEN source_type = 'SEO_FIX' THEN 'Improve existing page' ELSE 'Create new content' END AS action, count(*) AS n FROM plan GROUP BY 1, 2",
     "crawl_counters": _COUNTERS,
     "stream_crawl_counters": _COUNTERS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,42 +43,57 @@ def crawl_counters(fetches: DataFrame) -> DataFrame:
 _DELTA = "crawl_run_id string, crawled bigint, ok bigint, discovered bigint"
 
 
-def _url_changes(keep_ms: int):
-    """What new facts about one URL add to its run's counters, from what is remembered of it."""
+def _bucket_changes(keep_ms: int):
+    """What new facts about the URLs of a bucket add to their runs' counters, from what is remembered of them."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        at, status, known, last = state.get if state.exists else (None, None, False, 0)
-        before = at is not None, status == 200, known
+        urls = {(run, url): tuple(rest) for run, url, *rest in json.loads(state.get[0])} if state.exists else {}
+        before: dict[tuple, tuple] = {}
         for frame in frames:
-            own = frame[frame["fetched"]]
-            for new in zip(own["micros"].tolist(), own["status"].tolist(), strict=True):
-                if at is None or new < (at, status):
-                    at, status = new
-            known = known or bool((~frame["fetched"]).any())
-            last = max(last, int(frame["micros"].max()))
-        state.update((at, status, known, last))
-        state.setTimeoutTimestamp(max(last // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        change = [int(a) - int(b) for a, b in zip((at is not None, status == 200, known), before, strict=True)]
-        if any(change):
-            yield pd.DataFrame([[key[0], *change]], columns=[c.split()[0] for c in _DELTA.split(", ")])
+            for run, url, micros, fetched, code in zip(*[frame[c].tolist() for c in ("crawl_run_id", "url", "micros", "fetched", "status")], strict=True):
+                at, status, known, last = urls.get((run, url), (None, None, False, micros))
+                before.setdefault((run, url), (at is not None, status == 200, known))
+                if not fetched:
+                    known = True
+                elif at is None or (micros, code) < (at, status):
+                    at, status = micros, code
+                urls[run, url] = at, status, known, max(last, micros)
+        watermark, changes = state.getCurrentWatermarkMs(), {}
+        for one, was in before.items():
+            at, status, known, _ = urls[one]
+            counts = changes.setdefault(one[0], [0, 0, 0])
+            for k, (new, old) in enumerate(zip((at is not None, status == 200, known), was, strict=True)):
+                counts[k] += new - old
+        urls = {one: told for one, told in urls.items() if one in before or told[3] // 1000 + keep_ms >= watermark}
+        state.update((json.dumps([[*one, *told] for one, told in urls.items()], ensure_ascii=False, separators=(",", ":")),))
+        state.setTimeoutTimestamp(max(max(told[3] for told in urls.values()) // 1000 + keep_ms, watermark + 1))
+        changed = [[run, *counts] for run, counts in changes.items() if any(counts)]
+        if changed:
+            yield pd.DataFrame(changed, columns=[c.split()[0] for c in _DELTA.split(", ")])
 
     return fold
 
 
-def stream_crawl_counters(fetches: DataFrame, path: str, checkpoint: str, days: int = 7):
+#: Groups that the URLs of a stream's state are dealt into: Python is called for a bucket, not for a URL.
+URL_BUCKETS = 16_384
+
+
+def stream_crawl_counters(fetches: DataFrame, path: str, checkpoint: str, days: int = 7, buckets: int = URL_BUCKETS):
     """``crawl_counters`` over a stream of fetches in any order; read it with ``counters_so_far``.
 
-    The state holds two sets of URLs, those fetched (with their first fetch so far) and those known,
-    keyed by run and URL, so a large run is spread. A fetch before the first one seen corrects what
-    was counted. A URL is remembered for ``days`` behind the watermark, which is ``days`` late itself:
-    rows later than that are dropped. Micro-batch n writes what it changes to the folder ``batch=n``, so
-    a batch that is repeated after a failure counts once.
+    The state holds two sets of URLs, those fetched (with their first fetch so far) and those known, in
+    buckets by a hash of run and URL, so a large run is spread. A micro-batch writes the buckets that it
+    touches again, so ``buckets`` should grow with the URLs remembered; it is fixed for a checkpoint. A
+    fetch before the first one seen corrects what was counted. A URL is remembered for ``days`` behind
+    the watermark at least, which is ``days`` late itself: rows later than that are dropped. URLs that
+    are over go with the next change of their bucket, or with the bucket. Micro-batch n writes what it
+    changes to the folder ``batch=n``, so a batch that is repeated after a failure counts once.
     """
-    facts = _facts(fetches.withWatermark("fetched_at", f"{days} days")).withColumn("micros", F.unix_micros("fetched_at"))
-    changes = facts.groupBy("crawl_run_id", "url").applyInPandasWithState(_url_changes(days * DAY_MS), _DELTA, "at bigint, status bigint, known boolean, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    facts = _facts(fetches.withWatermark("fetched_at", f"{days} days")).withColumn("micros", F.unix_micros("fetched_at")).withColumn("bucket", versioned.bucket_of(["crawl_run_id", "url"], buckets))
+    changes = facts.groupBy("bucket").applyInPandasWithState(_bucket_changes(days * DAY_MS), _DELTA, "urls string", "append", GroupStateTimeout.EventTimeTimeout)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         counters_so_far(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

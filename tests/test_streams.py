@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -105,6 +106,27 @@ def test_counters_of_a_stream_are_those_of_its_batch(spark, tmp_path):
     assert counts == [[("c", 2, 1, 4), ("d", 1, 0, 0)], [("c", 3, 1, 5), ("d", 1, 0, 0)], [("c", 3, 2, 6), ("d", 2, 1, 3)]]
 
 
+def test_counters_keep_urls_in_buckets(spark, tmp_path):
+    start, page = datetime(2024, 1, 1), "text/html"
+    parts = [  # what the first two leave is over when the last one comes
+        [("c", f"u{i}", 200 if i % 2 else 404, page, [f"u{i + 1}", "home"], start, 0) for i in range(500)] + [(f"r{i}", "u", 200, page, None, start, 0) for i in range(100)],
+        [("c", f"u{i}", 500, page, ["home"], start + timedelta(days=4), 0) for i in range(400, 600)] + [("c", "u1", 404, page, [], start - timedelta(hours=1), 0)],
+        [("c", f"new{i}", 200, page, [], start + timedelta(days=30), 0) for i in range(500)],
+        [("c", f"last{i}", 200, page, [], start + timedelta(days=31), 0) for i in range(500)],
+    ]
+    every, remembered = [], []
+    for part in parts:
+        every += part
+        spark.createDataFrame(part, FETCHES).write.mode("append").parquet(str(tmp_path / "in"))
+        query = jobs.stream_crawl_counters(spark.readStream.schema(FETCHES).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), buckets=8).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert rows_of(jobs.counters_so_far(spark.read.parquet(str(tmp_path / "out")))) == rows_of(jobs.crawl_counters(spark.createDataFrame(every, FETCHES)))
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+        states = spark.read.format("statestore").load(str(tmp_path / "state")).select("value.*").collect()
+        remembered.append(sum(len(json.loads(text)) for r in states for text in [r["groupState"]["urls"]]))
+    assert remembered == [602, 701, 1201, 1000]
+
+
 # ---- usage
 
 
